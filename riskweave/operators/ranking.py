@@ -26,14 +26,19 @@ from riskweave.operators.skew import HOT_ROWS, SALTS, lookup_join
 BUCKETS = 32
 
 
+def _distinct_values(df: DataFrame, group_cols: list[str], value_col: str) -> DataFrame:
+    if not group_cols:
+        raise ValueError("rank statistics need at least one group column (e.g. target_date)")
+    v = F.col(value_col)
+    return df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_cnt"))
+
+
 def distinct_value_ranks(df: DataFrame, group_cols: list[str], value_col: str,
-                         buckets: int = BUCKETS) -> DataFrame:
+                         buckets: int = BUCKETS, dv: DataFrame | None = None) -> DataFrame:
     """One row per (group, distinct value): _cnt, _n_less, _n_greater, _n, _cnt_min, _cnt_max."""
     g = list(group_cols)
-    if not g:
-        raise ValueError("rank statistics need at least one group column (e.g. target_date)")
     v = F.col(value_col)
-    dv = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("_cnt"))
+    dv = _distinct_values(df, g, value_col) if dv is None else dv
     probs = [i / buckets for i in range(1, buckets)]
     stats = dv.groupBy(*g).agg(
         F.percentile_approx(value_col, probs, 10000).alias("_bounds"),
@@ -56,9 +61,10 @@ def distinct_value_ranks(df: DataFrame, group_cols: list[str], value_col: str,
 def with_rank_stats(df: DataFrame, group_cols: list[str], value_col: str, buckets: int = BUCKETS,
                     hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
     """Rows of ``df`` with a non-null, non-NaN value, plus the rank-statistic columns."""
-    ranks = distinct_value_ranks(df, group_cols, value_col, buckets)
+    dv = _distinct_values(df, list(group_cols), value_col)
+    ranks = distinct_value_ranks(df, group_cols, value_col, buckets, dv=dv)
     rows = df.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col)))
-    return lookup_join(rows, ranks, list(group_cols) + [value_col], "_cnt", hot_rows, salts)
+    return lookup_join(rows, ranks, list(group_cols) + [value_col], "_cnt", hot_rows, salts, counts=dv)
 
 
 def quantile_rows(df: DataFrame, group_cols: list[str], value_col: str, p: float,

@@ -17,9 +17,12 @@ SALTS = 64
 
 
 def lookup_join(fact: DataFrame, lookup: DataFrame, keys: list[str], count_col: str,
-                hot_rows: int = HOT_ROWS, salts: int = SALTS, spread_cols: list[str] | None = None) -> DataFrame:
+                hot_rows: int = HOT_ROWS, salts: int = SALTS, spread_cols: list[str] | None = None,
+                counts: DataFrame | None = None) -> DataFrame:
+    """``counts`` (keys + count_col) may be a cheaper frame than ``lookup`` to find the hot keys from."""
     hot_flag = "_hot"
-    hot = lookup.where(F.col(count_col) >= hot_rows).select(*keys, F.lit(True).alias(hot_flag))
+    hot = (lookup if counts is None else counts).where(F.col(count_col) >= hot_rows).select(
+        *keys, F.lit(True).alias(hot_flag))
     spread = [F.col(c) for c in (spread_cols or [c for c in fact.columns if c not in keys])]
     tagged = fact.join(F.broadcast(hot), keys, "left")
     tagged = tagged.withColumn(

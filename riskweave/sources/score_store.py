@@ -42,8 +42,12 @@ def instance_score_store(events: DataFrame) -> DataFrame:
     return _store_rows(ranked.withColumn("_name", name).withColumn("_v", r2("score")), F.col("_name"), "_v", "target_date")
 
 
-def score_store(events: DataFrame) -> DataFrame:
+def score_store(events: DataFrame, materialize=None) -> DataFrame:
+    """``materialize`` (e.g. a reliable checkpoint) is applied to the instance layer, which the risk
+    layer reads again -- as the real pipeline writes Layer 2 before Layer 3 reads it."""
     inst = instance_score_store(events)
+    if materialize is not None:
+        inst = materialize(inst)
     total = sum(RISK_WEIGHTS.values())
     w = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in RISK_WEIGHTS.items()))
     risk = (inst.where(F.col("feature_id").isin(list(RISK_WEIGHTS)))
