@@ -38,8 +38,11 @@ def r2(c) -> Column:
 
 
 def clip(c, lo: float, hi: float) -> Column:
+    """Clip like pandas: NULL and NaN stay missing (Spark's greatest/least would skip NULL and rank
+    NaN highest)."""
     a, b = min(lo, hi), max(lo, hi)
-    return F.least(F.greatest(col_of(c), F.lit(float(a))), F.lit(float(b)))
+    v = nan_to_null(col_of(c))
+    return F.when(v.isNull(), F.lit(None).cast("double")).otherwise(F.least(F.greatest(v, F.lit(float(a))), F.lit(float(b))))
 
 
 def nan_to_null(c) -> Column:

@@ -537,3 +537,29 @@ def _latest_sync_stream(spark, sf):
     root = os.path.join(ensure_checkpoint_dir(spark), "streams", f"sync-{uuid.uuid4().hex}")
     return run_sync_stream(spark, sf, os.path.join(root, "state"), os.path.join(root, "checkpoint"), D, days=30,
                            glob="events.parquet")
+
+
+# ------------------------------------------------------------------------------------------- step 12
+def registry_texts(f):
+    """A registry whose ``dependent_features`` texts are built from the feature ids present, covering
+    the mini-language's shapes: scalars, no spaces, a list, a map, quoted items, a comma inside a
+    filter, a list last, and an empty text."""
+    fid = F.col("feature_id")
+    t = (F.when(fid.startswith("click"), F.concat(F.lit("[scoring_method:rank_scoring, feature_id:"), fid,
+                                                  F.lit(", range_start:0.5, range_end:1, require_aggregation:True, is_inverse:False]")))
+          .when(fid.startswith("error"), F.concat(F.lit("[scoring_method:wilson_fraud_scoring,feature_id_numerator:"), fid,
+                                                  F.lit(",feature_id_denominator:any_count_daily_v1,period_in_days:30]")))
+          .when(fid.startswith("purchase"), F.concat(F.lit("[scoring_method:rank_scoring, feature_id:["), fid,
+                                                     F.lit(", click_count_daily_v1], weights:{"), fid,
+                                                     F.lit(":2, click_count_daily_v1:3}, method:weighted_average]")))
+          .when(fid.startswith("signup"), F.lit("['scoring_function:softmax_scoring', 'risk_weightage:{a:1, b:2.5}', 'softmax_weightage:0.9']"))
+          .when(fid.startswith("view"), F.concat(F.lit("[scoring_method:zscore, feature_id:"), fid,
+                                                 F.lit(", filter_condition:x in (1, 2), is_multiple_col:False, feature_ids:[a, b]]")))
+          .otherwise(F.lit("")))
+    return f.select("feature_id").distinct().select("feature_id", t.alias("dependent_features"))
+
+
+@job("registry_parsed", None)
+def _registry_parsed(spark, sf):
+    from riskweave.sources.registry import parse_dependent_features
+    return parse_dependent_features(registry_texts(fv(spark, sf, include_any=True)))

@@ -19,7 +19,7 @@ def r2(expr: str) -> str:
 
 def clip(expr: str, lo: float, hi: float) -> str:
     a, b = min(lo, hi), max(lo, hi)
-    return f"least(greatest({expr}, {dbl(a)}), {dbl(b)})"
+    return f"(CASE WHEN ({expr}) IS NULL OR isnan({expr}) THEN NULL ELSE least(greatest({expr}, {dbl(a)}), {dbl(b)}) END)"
 
 
 def fv_cte(name: str = "fv", measure: str = "count", include_any: bool = False) -> str:
