@@ -563,3 +563,122 @@ def registry_texts(f):
 def _registry_parsed(spark, sf):
     from riskweave.sources.registry import parse_dependent_features
     return parse_dependent_features(registry_texts(fv(spark, sf, include_any=True)))
+
+
+# ------------------------------------------------------------------------------------------- coverage additions
+@job("backfill_outcomes", f"""WITH {score_store_cte(RISK_WEIGHTS)}, {fv_cte()},
+feats AS (SELECT * FROM (VALUES {_PF_VALUES}) t(feature_id, source_feature_id)),
+ex AS (SELECT feature_id, {day_sql()} AS target_date, count(*) AS existing_rows FROM store GROUP BY 1, 2),
+srcd AS (SELECT feature_id AS source_feature_id, {day_sql()} AS day, count(*) AS n FROM fv GROUP BY 1, 2),
+j AS (SELECT coalesce(ex.existing_rows, 0) AS existing_rows,
+             coalesce((SELECT sum(n) FROM srcd WHERE srcd.source_feature_id = f.source_feature_id
+                       AND srcd.day BETWEEN d.d - 30 AND d.d), 0) AS source_rows
+      FROM feats f CROSS JOIN {_series(PLAN_START, PLAN_END)} d LEFT JOIN ex ON ex.feature_id = f.feature_id AND ex.target_date = d.d)
+SELECT CASE WHEN existing_rows > 0 THEN 'SKIP' WHEN source_rows = 0 THEN 'EMPTY' ELSE 'DRYRUN' END AS outcome, count(*) AS n_jobs
+FROM j GROUP BY 1""")
+def _backfill_outcomes(spark, sf):
+    """Outcome counts of the backfill plan (the run summary)."""
+    return _backfill_plan(spark, sf).groupBy("outcome").agg(F.count(F.lit(1)).alias("n_jobs"))
+
+
+@job("update_activeness", f"""WITH {dv.MASTER_SQL},
+st AS (SELECT CAST(c_custkey * 2 AS VARCHAR) AS id, CASE WHEN CASE WHEN c_acctbal > 0 THEN '1' ELSE '0' END = '1' THEN 1 ELSE 0 END AS is_active
+       FROM customer)
+SELECT t.id, t.name, CASE WHEN st.id IS NOT NULL THEN st.is_active END AS is_active,
+       CASE WHEN st.id IS NOT NULL THEN {NOW_SQL} ELSE t.updated_at END AS updated_at
+FROM tgt t LEFT JOIN st ON t.id = st.id""")
+def _update_activeness(spark, sf):
+    """P8 + S13: user status '1' -> 1 else 0, applied to existing master rows only (no insert)."""
+    t, _ = _master(spark, sf)
+    c = read_table(spark, sf, "customer")
+    status = F.when(F.col("c_acctbal") > 0, F.lit("1")).otherwise(F.lit("0"))
+    st = c.select((F.col("c_custkey") * 2).cast("string").alias("id"),
+                  F.when(status == F.lit("1"), F.lit(1)).otherwise(F.lit(0)).alias("is_active"))
+    base = t.select("id", "name", F.lit(None).cast("int").alias("is_active"), "updated_at")
+    return upsert(base, st, "id", {"is_active": "overwrite"}, _now(), insert=False)
+
+
+@job("master_cleanup", """WITH m AS (SELECT CASE WHEN c_custkey % 11 = 0 THEN ' ' || c_custkey || ' ' ELSE CAST(c_custkey AS VARCHAR) END AS id,
+            r_name AS ro FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+          UNION ALL SELECT CAST(s_suppkey AS VARCHAR) || ' ', 'EUROPE' FROM supplier WHERE s_suppkey % 11 = 0),
+c AS (SELECT trim(id) AS id, id <> trim(id) AS trimmed, CASE WHEN ro = 'EUROPE' THEN 'EU' ELSE ro END AS ro FROM m)
+SELECT id, ro, bool_or(trimmed) AS was_trimmed, count(*) AS n_rows, count(*) > 1 AS key_collision FROM c GROUP BY id, ro""")
+def _master_cleanup(spark, sf):
+    """P10: rename one value, trim ids, and surface keys that collide after trimming (counted, not
+    silently merged)."""
+    c = read_table(spark, sf, "customer")
+    n = read_table(spark, sf, "nation")
+    r = read_table(spark, sf, "region")
+    s = read_table(spark, sf, "supplier")
+    ck = F.col("c_custkey").cast("string")
+    m = (c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+          .select(F.when(F.col("c_custkey") % 11 == 0, F.concat(F.lit(" "), ck, F.lit(" "))).otherwise(ck).alias("id"),
+                  F.col("r_name").alias("ro")))
+    m = m.unionByName(s.where(F.col("s_suppkey") % 11 == 0).select(
+        F.concat(F.col("s_suppkey").cast("string"), F.lit(" ")).alias("id"), F.lit("EUROPE").alias("ro")))
+    cleaned = m.select(F.trim("id").alias("id"), (F.col("id") != F.trim("id")).alias("trimmed"),
+                       F.when(F.col("ro") == "EUROPE", F.lit("EU")).otherwise(F.col("ro")).alias("ro"))
+    return cleaned.groupBy("id", "ro").agg(F.bool_or("trimmed").alias("was_trimmed"), F.count(F.lit(1)).alias("n_rows")) \
+                  .withColumn("key_collision", F.col("n_rows") > 1)
+
+
+def _registry_with_status(f):
+    fid = F.col("feature_id")
+    reg = registry_texts(f)
+    return reg.withColumn("status", F.when(fid.startswith("view"), F.lit("DEV")).otherwise(F.lit("PROD")))
+
+
+@job("scoring_features", f"""WITH {fv_cte(include_any=True)},
+ids AS (SELECT DISTINCT feature_id FROM fv),
+reg AS (SELECT feature_id, CASE WHEN starts_with(feature_id, 'view') THEN 'DEV' ELSE 'PROD' END AS status,
+               CASE WHEN starts_with(feature_id, 'click') OR starts_with(feature_id, 'error') OR starts_with(feature_id, 'purchase')
+                         OR starts_with(feature_id, 'view') THEN 'scoring_method'
+                    WHEN starts_with(feature_id, 'signup') THEN 'scoring_function' ELSE '' END AS marker FROM ids)
+SELECT feature_id, status FROM reg WHERE status = 'PROD' AND marker <> ''""")
+def _scoring_features(spark, sf):
+    """PROD registry rows naming a scoring method or function."""
+    from riskweave.sources.registry import scoring_features
+    return scoring_features(_registry_with_status(fv(spark, sf, include_any=True))).select("feature_id", "status")
+
+
+@job("status_log_json", f"""WITH {dv.STATUS_SQL}
+SELECT run_id, dag_id, task_key, status, cadence FROM latest_status WHERE seq % 13 <> 0""")
+def _status_log_json(spark, sf):
+    """S16 write + S6 read: latest status records written as JSON under run/dag folders, a share of
+    them corrupted on purpose; read back with an explicit schema and DROPMALFORMED."""
+    from riskweave.sources.status import read_layer_status, write_status_records
+    latest = _latest_status(spark, sf)
+    path = scratch_table_path(spark, "status")
+    write_status_records(latest, path, corrupt=F.col("seq") % 13 == 0)
+    return read_layer_status(spark, path).select("run_id", "dag_id", "task_key", "status", "cadence")
+
+
+@job("category_gated_work", f"""WITH {dv.STATUS_SQL},
+r AS (SELECT *, (status IS NULL OR status <> 'skipped') AND (cadence IS NULL OR cadence <> 'hourly') AS relevant FROM latest_status),
+v AS (SELECT run_id, category FROM r GROUP BY run_id, category
+      HAVING coalesce(count(*) FILTER (WHERE relevant) > 0 AND bool_and(CASE WHEN relevant THEN coalesce(status = 'success', false) END), false)),
+work AS (SELECT DISTINCT run_id, 'dag_next' AS dag_id, category FROM slog2 WHERE category IS NOT NULL)
+SELECT w.* FROM work w WHERE EXISTS (SELECT 1 FROM v WHERE v.run_id = w.run_id AND v.category = w.category)""")
+def _category_gated_work(spark, sf):
+    """Next-layer work limited to the categories whose verdict is valid for the run."""
+    verdicts = q.category_verdicts(_latest_status(spark, sf)).where("valid")
+    work = (dv.status_log(read_table(spark, sf, "orders")).where(F.col("category").isNotNull())
+              .select("run_id", F.lit("dag_next").alias("dag_id"), "category").distinct())
+    return work.join(verdicts.select("run_id", "category"), ["run_id", "category"], "left_semi")
+
+
+@job("registry_drift", f"""WITH {fv_cte()},
+ids AS (SELECT DISTINCT feature_id FROM fv),
+reg AS (SELECT feature_id, {_REG_TEXT_SQL} AS dependent_features FROM ids),
+exp AS (SELECT feature_id, CASE WHEN starts_with(feature_id, 'signup') THEN '[scoring_method:zscore]' ELSE {_REG_TEXT_SQL} END AS expected_old,
+               '' AS new FROM ids)
+SELECT exp.feature_id, CASE WHEN trim(reg.dependent_features) = trim(expected_old) THEN 'dry_run' ELSE 'skip_mismatch' END AS outcome,
+       reg.dependent_features AS current, reg.dependent_features AS final_value FROM exp JOIN reg ON exp.feature_id = reg.feature_id""")
+def _registry_drift(spark, sf):
+    """Current vs expected registry text per row, no write (dry run)."""
+    ids = fv(spark, sf).select("feature_id").distinct()
+    fid = F.col("feature_id")
+    reg = ids.select("feature_id", _registry_text(fid).alias("dependent_features"))
+    exp = ids.select("feature_id", F.when(fid.startswith("signup"), F.lit("[scoring_method:zscore]"))
+                     .otherwise(_registry_text(fid)).alias("expected_old"), F.lit("").alias("new"))
+    return compare_and_set(reg, exp, apply=False)
