@@ -143,8 +143,9 @@ def location_rejects(loc: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------------------- M16
 def enrich_entities(users: DataFrame, organizations: DataFrame, contacts: DataFrame, offices: DataFrame) -> DataFrame:
     """Keep every user row; organisation looked up in two roles (ea, reg), contact phone/e-mail
-    coalesced from two columns, regional office name. Dimensions are broadcast: they are master data
-    (organisations, offices, contacts), orders of magnitude smaller than activity."""
+    coalesced from two columns, regional office name. Organisations and regional offices are small by
+    nature (one per office) and are broadcast; contacts grow with the users, so that join is left to
+    the planner and AQE's runtime size check (broadcast only if the measured side is small)."""
     org = organizations.select("org_key", "org_name", "org_code")
     ea = org.select(F.col("org_key").alias("ea_key"), F.col("org_name").alias("ea_name"), F.col("org_code").alias("ea_code"))
     reg = org.select(F.col("org_key").alias("reg_key"), F.col("org_name").alias("reg_name"), F.col("org_code").alias("reg_code"))
@@ -157,7 +158,7 @@ def enrich_entities(users: DataFrame, organizations: DataFrame, contacts: DataFr
                         "user_contact_key", "ro_key")
     out = (base.join(F.broadcast(ea), "ea_key", "left")
                .join(F.broadcast(reg), "reg_key", "left")
-               .join(F.broadcast(con), "user_contact_key", "left")
+               .join(con, "user_contact_key", "left")
                .join(F.broadcast(ro), "ro_key", "left"))
     return out.select("opt_id", "user_name", "user_uid", "ea_name", "ea_code", "reg_name", "reg_code",
                       "phone_number", "email", "ro_name")

@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from riskweave.operators.skew import HOT_ROWS, SALTS, lookup_join
 
-BUCKETS = 32
+# Value-range buckets per group: the within-bucket running count is one window partition per
+# (group, bucket), so a group of N distinct values is spread over ~BUCKETS tasks of N/BUCKETS rows.
+BUCKETS = 200
 
 
 def _distinct_values(df: DataFrame, group_cols: list[str], value_col: str) -> DataFrame:
