@@ -1,7 +1,8 @@
 """Category scoring methods M8-M10 over the latest value per (entity, feature) as of a date.
 
 Weights are configuration (a handful of features), so they travel as a literal map expression --
-no join. Output: (entity_id, risk_value).
+no join. Output: (entity_id, risk_value) for one as-of date, or (target_date, entity_id,
+risk_value) for a ``DateSpan``.
 """
 
 from __future__ import annotations
@@ -14,9 +15,20 @@ from pyspark.sql import functions as F
 
 from riskweave import constants as K
 from riskweave.functions.columns import nan_to_null
+from riskweave.operators.windows import as_span, asof_latest
 from riskweave.sources.feature_values import load_feature_values_asof
 
 
+def _latest(scores: DataFrame, ids: list[str], as_of) -> tuple[DataFrame, list[str]]:
+    """Latest value per (entity, feature) as of one date, or as of every date of a ``DateSpan``
+    (then grouped by ``target_date`` as well)."""
+    span = as_span(as_of)
+    if span.single:
+        return load_feature_values_asof(scores, ids, span.start), ["entity_id"]
+    rows = scores.where(F.col("feature_id").isin(ids)).select("entity_id", "feature_id", "feature_value", "timestamp")
+    return asof_latest(rows, ["entity_id", "feature_id"], span, ["feature_value"]), ["target_date", "entity_id"]
+
+
 def _weights(risk_weightage: dict) -> dict[str, float]:
     if not risk_weightage:
         raise ValueError("risk_weightage cannot be empty")
@@ -44,30 +56,30 @@ def softmax_scoring(scores: DataFrame, as_of: _dt.date, risk_weightage: dict,
     if not 0 <= alpha <= 1:
         raise ValueError("softmax_weightage must be between 0 and 1")
     total = sum(w.values())
-    latest = load_feature_values_asof(scores, list(w), as_of)
+    latest, g = _latest(scores, list(w), as_of)
     nw = _lookup({f: v / total for f, v in w.items()}, F.col("feature_id"))
     x = F.col("feature_value")
     e = F.exp(F.lit(k) * x)
-    s = latest.groupBy("entity_id").agg(
+    s = latest.groupBy(*g).agg(
         F.sum(nw * x * e).alias("_num"), F.sum(nw * e).alias("_den"), F.sum(nw * x).alias("_wm"))
     value = F.lit(alpha) * (F.col("_num") / F.col("_den")) + F.lit(1 - alpha) * F.col("_wm")
-    return s.select("entity_id", nan_to_null(value).alias("risk_value"))
+    return s.select(*g, nan_to_null(value).alias("risk_value"))
 
 
 def weighted_average(scores: DataFrame, as_of: _dt.date, risk_weightage: dict, **_ignored) -> DataFrame:
     """M9: sum(x * w / total) over present features; absent features count as 0 (no renormalising)."""
     w = _weights(risk_weightage)
     total = sum(w.values())
-    latest = load_feature_values_asof(scores, list(w), as_of)
+    latest, g = _latest(scores, list(w), as_of)
     term = F.col("feature_value") * _lookup(w, F.col("feature_id")) / F.lit(total)
-    return latest.groupBy("entity_id").agg(nan_to_null(F.sum(term)).alias("risk_value"))
+    return latest.groupBy(*g).agg(nan_to_null(F.sum(term)).alias("risk_value"))
 
 
 def max_scoring(scores: DataFrame, as_of: _dt.date, risk_weightage: dict, **_ignored) -> DataFrame:
     """Max of the latest values; the weights only select the features."""
     w = _weights(risk_weightage)
-    latest = load_feature_values_asof(scores, list(w), as_of)
-    return latest.groupBy("entity_id").agg(F.max("feature_value").alias("risk_value"))
+    latest, g = _latest(scores, list(w), as_of)
+    return latest.groupBy(*g).agg(F.max("feature_value").alias("risk_value"))
 
 
 CATEGORY_METHODS = {

@@ -16,7 +16,7 @@ from __future__ import annotations
 import datetime as _dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions.columns import day_end_exclusive, day_start
@@ -111,3 +111,25 @@ def latest_non_null_per_key(df: DataFrame, keys: list[str], order_col: str, valu
     for c in value_cols:
         aggs.append(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c))
     return df.groupBy(*keys).agg(*aggs)
+
+
+def asof_latest(df: DataFrame, keys: list[str], targets, value_cols: list[str], ts_col: str = "timestamp",
+                tie_breaks: list[str] | None = None) -> DataFrame:
+    """As-of read for many dates (J14 without a range join): for every target date D of the span and
+    every key, the newest row with day <= D, with NULL values skipped (W3).
+
+    Each key's daily cell is valid from its day until the day before the key's next cell (``lead``
+    over the key's daily cells -- at most one row per day, so no partition grows with a hot key) and
+    is exploded only to the target dates inside that interval: the fan-out equals the output size.
+    Rows before the span keep only the last one per key as the carry-in."""
+    span = as_span(targets)
+    rows = df.where(F.col(ts_col) < day_end_exclusive(df, ts_col, span.end))
+    for c in value_cols:
+        rows = rows.where(F.col(c).isNotNull())
+    rows = rows.withColumn("_day", F.to_date(ts_col))
+    cells = latest_per_key(rows, keys + ["_day"], [ts_col], value_cols, tie_breaks=tie_breaks)
+    nxt = F.lead("_day").over(Window.partitionBy(*keys).orderBy("_day"))
+    valid_to = F.coalesce(F.date_sub(nxt, 1), F.lit(span.end))
+    cells = cells.withColumn("_to", valid_to).where(F.col("_to") >= F.lit(span.start))
+    return cells.withColumn("target_date", F.explode(F.sequence(F.greatest(F.col("_day"), F.lit(span.start)), F.col("_to")))) \
+                .drop("_day", "_to")

@@ -18,6 +18,7 @@ from riskweave.operators.master import enrich_entities, latest_location, latest_
 from riskweave.operators.upsert import advance_watermark, compare_and_set, registry_mirror, upsert
 from riskweave.operators.windows import DateSpan
 from riskweave.plans.backfill import render_cumulative_day, replace_slices, score_rows, scratch_table_path
+from riskweave.plans.catalog import CAT_W as _CAT_W
 from riskweave.plans.catalog import (CLICK, DS, RISK_WEIGHTS, STORE_SQL, SUM30, D, _store, day_sql, entity_store, ev,
                                      fv, job)
 from riskweave.plans.serving import serving_document, serving_latest
@@ -682,3 +683,22 @@ def _registry_drift(spark, sf):
     exp = ids.select("feature_id", F.when(fid.startswith("signup"), F.lit("[scoring_method:zscore]"))
                      .otherwise(_registry_text(fid)).alias("expected_old"), F.lit("").alias("new"))
     return compare_and_set(reg, exp, apply=False)
+
+
+CAT_RANGE = DateSpan(_dt.date(2024, 1, 20), _dt.date(2024, 2, 1))
+
+
+@job("category_scores_range", f"""WITH {score_store_cte(RISK_WEIGHTS)},
+lt AS (SELECT * FROM (SELECT s.d AS target_date, st.entity_id, st.feature_id, st.feature_value,
+                             row_number() OVER (PARTITION BY s.d, st.entity_id, st.feature_id ORDER BY st."timestamp" DESC) AS rn
+                      FROM {_series(CAT_RANGE.start, CAT_RANGE.end)} s JOIN store st
+                        ON st.feature_id IN ({", ".join(repr(k) for k in _CAT_W)}) AND st.feature_value IS NOT NULL
+                       AND CAST(st."timestamp" AS DATE) <= s.d) WHERE rn = 1)
+SELECT CAST(target_date AS VARCHAR) AS target_date, entity_id,
+       {s6(f"sum(feature_value * CASE feature_id {' '.join(f"WHEN '{k}' THEN {dbl(v)}" for k, v in _CAT_W.items())} END / {dbl(sum(_CAT_W.values()))})")} AS risk_value
+FROM lt GROUP BY 1, 2""")
+def _category_scores_range(spark, sf):
+    """M9 as of each of 13 dates in one job (the span runs past the data, so carried-in values)."""
+    from riskweave.operators import category as cat
+    out = cat.weighted_average(_store(spark, sf), CAT_RANGE, _CAT_W)
+    return out.select(F.col("target_date").cast("string").alias("target_date"), "entity_id", r6("risk_value").alias("risk_value"))
