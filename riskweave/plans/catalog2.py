@@ -469,7 +469,8 @@ SELECT CAST(target_date AS VARCHAR) AS target_date, entity_id, {s6(_RANGE_SCORE)
 def _backfill_range(spark, sf):
     """Seven as-of dates in one job: cells fan out to the dates whose 30-day window holds them,
     then one rank per target date."""
-    out = inst.rank_scoring(fv(spark, sf), CLICK, RANGE, require_aggregation=True)
+    f = fv(spark, sf, start=RANGE.start - _dt.timedelta(days=30), end=RANGE.end, event_types=["click"])
+    out = inst.rank_scoring(f, CLICK, RANGE, require_aggregation=True)
     return out.select(F.col("target_date").cast("string").alias("target_date"), "entity_id", r6("score").alias("score"))
 
 
@@ -489,7 +490,8 @@ SELECT entity_id, 'click_score_v1' AS feature_id, 'click_score' AS feature_name,
        '2024-01-30' AS ds FROM m""")
 def _backfill_replace(spark, sf):
     """S7 + S8: write the slice twice with dynamic partition overwrite; the table equals one write."""
-    scores = inst.rank_scoring(fv(spark, sf), CLICK, D, require_aggregation=True)
+    f = fv(spark, sf, start=D - _dt.timedelta(days=30), end=D, event_types=["click"])
+    scores = inst.rank_scoring(f, CLICK, D, require_aggregation=True)
     rows = score_rows(scores, "click_score_v1", "click_score", 1)
     path = scratch_table_path(spark, "score_store")
     replace_slices(rows, path)
