@@ -66,3 +66,67 @@ def render_cumulative_day(spark: SparkSession, daily: DataFrame, store: DataFram
     string splicing, no wall clock."""
     return spark.sql(CUMULATIVE_DAY_SQL, args={"daily_id": daily_id, "cumulative_id": cumulative_id, "as_of": as_of},
                      daily=daily, store=store)
+
+
+def typed_params(parsed_rows) -> dict:
+    """Parameters of one registry row from its parsed items (kind-typed): bool, int, list, map
+    (numeric values as float where they parse), text."""
+    out = {}
+    for r in sorted(parsed_rows, key=lambda r: r["pos"]):
+        kind, text = r["kind"], r["value_text"]
+        if kind == "bool":
+            out[r["param"]] = text == "True"
+        elif kind == "int":
+            out[r["param"]] = int(text)
+        elif kind == "list":
+            out[r["param"]] = list(r["list_value"])
+        elif kind == "map":
+            m = {}
+            for k, v in dict(r["map_value"]).items():
+                try:
+                    m[k] = float(v)
+                except ValueError:
+                    m[k] = v
+            out[r["param"]] = m
+        else:
+            out[r["param"]] = text
+    return out
+
+
+def backfill_from_registry(registry: DataFrame, feature_values: DataFrame, score_store: DataFrame | None,
+                           targets) -> DataFrame:
+    """The score backfill as one plan: registry (feature_id, feature_name, version, dependent_features)
+    -> parsed parameters -> method dispatch (instance methods read ``feature_values``, category methods
+    read ``score_store``) -> store rows for every target date of the span, unioned.
+
+    Only the parsed *parameter rows* of the registry (configuration: one row per feature parameter)
+    reach the driver, to choose the method and its arguments; all scoring runs as Spark plans over
+    the whole span at once."""
+    from riskweave.operators.category import CATEGORY_METHODS
+    from riskweave.operators.instance import INSTANCE_METHODS
+    from riskweave.sources.registry import parse_dependent_features
+
+    meta = registry.select("feature_id", "feature_name", "version")
+    parsed = parse_dependent_features(registry).join(meta, "feature_id")
+    by_feature: dict[str, list] = {}
+    for r in parsed.toLocalIterator():
+        by_feature.setdefault(r["feature_id"], []).append(r.asDict())
+    parts = []
+    for fid in sorted(by_feature):
+        rows = by_feature[fid]
+        params = typed_params(rows)
+        name, version = rows[0]["feature_name"], rows[0]["version"]
+        if "scoring_method" in params:
+            fn = INSTANCE_METHODS[params.pop("scoring_method")]
+            scored = fn(feature_values, targets=targets, **params)
+            parts.append(score_rows(scored, fid, name, version, "score"))
+        elif "scoring_function" in params and score_store is not None:
+            fn = CATEGORY_METHODS[params.pop("scoring_function")]
+            scored = fn(score_store, targets, **params)
+            parts.append(score_rows(scored, fid, name, version, "risk_value"))
+    if not parts:
+        raise ValueError("no registry row names a known scoring method or function")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

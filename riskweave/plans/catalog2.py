@@ -704,3 +704,46 @@ def _category_scores_range(spark, sf):
     from riskweave.operators import category as cat
     out = cat.weighted_average(_store(spark, sf), CAT_RANGE, _CAT_W)
     return out.select(F.col("target_date").cast("string").alias("target_date"), "entity_id", r6("risk_value").alias("risk_value"))
+
+
+BF_SPAN = DateSpan(_dt.date(2024, 1, 28), D)
+
+
+def _backfill_registry(f):
+    """Two scoring features registered against the daily features present."""
+    fid = F.col("feature_id")
+    reg = f.select("feature_id").distinct().where(fid.isin(CLICK, "error_count_daily_v1"))
+    text = (F.when(fid == CLICK, F.concat(F.lit("[scoring_method:rank_scoring, feature_id:"), fid,
+                                          F.lit(", range_start:0.5, range_end:1, require_aggregation:True, is_inverse:False]")))
+             .otherwise(F.concat(F.lit("[scoring_method:log_based_scoring, feature_id:"), fid, F.lit(", period_in_days:30]"))))
+    name = F.regexp_replace(fid, "_count_daily_v1$", "_backfill_score")
+    return reg.select(F.concat(name, F.lit("_v1")).alias("feature_id"), name.alias("feature_name"),
+                      F.lit("1").alias("version"), text.alias("dependent_features"))
+
+
+def _bf_sql() -> str:
+    rank = clip(f"CASE WHEN n <= 1 OR mr <= 1 THEN {dbl(1.0)} ELSE {dbl(1.0)} - (r - 1) / (mr - 1) * {dbl(0.5)} END", 0.5, 1.0)
+    logs = clip(f"{dbl(0.0)} + {dbl(1.0)} * (ln(1 + v) / ln(1 + mx))", 0.0, 1.0)
+    return f"""WITH {fv_cte()},
+x AS (SELECT s.d AS target_date, f.feature_id, f.entity_id, sum(f.feature_value) AS v FROM {_series(BF_SPAN.start, BF_SPAN.end)} s
+      JOIN fv f ON f.feature_id IN ('{CLICK}', 'error_count_daily_v1') AND {day_sql('f."timestamp"')} BETWEEN s.d - 30 AND s.d
+      GROUP BY 1, 2, 3),
+rk AS (SELECT *, rank() OVER (PARTITION BY target_date ORDER BY v DESC) AS r, count(*) OVER (PARTITION BY target_date) AS n
+       FROM x WHERE feature_id = '{CLICK}'),
+rm AS (SELECT *, max(r) OVER (PARTITION BY target_date) AS mr FROM rk),
+lg AS (SELECT *, CASE WHEN max(v) OVER (PARTITION BY target_date) <= 0 THEN 1.0 ELSE max(v) OVER (PARTITION BY target_date) END AS mx
+       FROM x WHERE feature_id = 'error_count_daily_v1' AND v > 0),
+sc AS (SELECT target_date, entity_id, 'click_backfill_score' AS feature_name, {rank} AS score FROM rm
+       UNION ALL SELECT target_date, entity_id, 'error_backfill_score', {logs} FROM lg)
+SELECT entity_id, feature_name || '_v1' AS feature_id, feature_name, '1' AS feature_version, {s2('score')} AS feature_value,
+       CAST(target_date AS TIMESTAMP) AS "timestamp", CAST(NULL AS VARCHAR) AS comments, CAST(target_date AS VARCHAR) AS ds
+FROM sc WHERE score IS NOT NULL AND NOT isnan(score)"""
+
+
+@job("registry_backfill", _bf_sql())
+def _registry_backfill(spark, sf):
+    """Registry-driven backfill of three dates (parse -> dispatch -> store rows), one plan."""
+    from riskweave.plans.backfill import backfill_from_registry
+    f = fv(spark, sf, start=BF_SPAN.start - _dt.timedelta(days=30), end=BF_SPAN.end, event_types=["click", "error"])
+    reg = _backfill_registry(fv(spark, sf, event_types=["click", "error"]))
+    return backfill_from_registry(reg, f, None, BF_SPAN)
