@@ -72,9 +72,8 @@ def target_window(df: DataFrame, targets, lookback_days: int, ts_col: str = "tim
                   feature_ids: list[str] | None = None) -> DataFrame:
     """Rows whose day lies in the closed window [D - lookback_days, D] of each target date D.
 
-    Adds ``day`` and ``target_date``. One target: a literal filter and a constant column. Many
-    targets: one literal filter over the union of windows, then each row is exploded to exactly the
-    target dates whose window contains its day.
+    Adds ``day`` and ``target_date``: one literal (pushed-down) filter over the union of windows, then
+    each row is exploded to exactly the target dates whose window contains its day (one date: fan-out 1).
     """
     span = as_span(targets)
     n = int(lookback_days)
@@ -83,8 +82,8 @@ def target_window(df: DataFrame, targets, lookback_days: int, ts_col: str = "tim
         out = out.where(F.col("feature_id").isin(list(feature_ids)))
     out = out.where(between_days(out, ts_col, span.start - _dt.timedelta(days=n), span.end))
     out = out.withColumn("day", F.to_date(F.col(ts_col)))
-    if span.single:
-        return out.withColumn("target_date", F.lit(span.start))
+    # One code path for one or many dates: target_date is derived from the row's day, never a bare
+    # literal, so Catalyst cannot fold the per-date joins into key-less (nested-loop) joins.
     first = F.greatest(F.col("day"), F.lit(span.start))
     last = F.least(F.date_add(F.col("day"), n), F.lit(span.end))
     return out.withColumn("target_date", F.explode(F.sequence(first, last)))

@@ -21,11 +21,12 @@ from riskweave.plans.backfill import render_cumulative_day, replace_slices, scor
 from riskweave.plans.catalog import CAT_W as _CAT_W
 from riskweave.plans.catalog import (CLICK, DS, RISK_WEIGHTS, STORE_SQL, SUM30, D, _store, day_sql, entity_store, ev,
                                      fv, job)
+from riskweave.plans.materialize import materialize
 from riskweave.plans.serving import serving_document, serving_latest
 from riskweave.plans.sqlfrag import clip, dbl, fv_cte, r2 as s2, r6 as s6, score_store_cte
 from riskweave.session import ensure_checkpoint_dir
 from riskweave.sources import derived as dv
-from riskweave.sources.feature_values import missing_feature_ids
+from riskweave.sources.feature_values import event_feature_ids, missing_feature_ids
 from riskweave.sources.tables import read_table
 from riskweave.streaming.sync_stream import run_sync_stream
 
@@ -170,6 +171,14 @@ def _update_matched_only(spark, sf):
 MARK = "2024-01-25 00:00:00"
 
 
+def _per_type_history(spark, sf):
+    """Per daily count feature: its name and the first/last daily-cell timestamp (one aggregate over
+    the daily cells)."""
+    f = fv(spark, sf)
+    return f.groupBy("feature_id").agg(F.any_value("feature_name").alias("feature_name"),
+                                       F.min("timestamp").alias("min_ts"), F.max("timestamp").alias("max_ts"))
+
+
 @job("watermark_advance", f"""WITH {fv_cte()},
 reg AS (SELECT feature_id, CASE WHEN starts_with(feature_id, 'view') THEN NULL
                                 WHEN starts_with(feature_id, 'click') OR starts_with(feature_id, 'error') THEN max("timestamp")
@@ -177,11 +186,11 @@ reg AS (SELECT feature_id, CASE WHEN starts_with(feature_id, 'view') THEN NULL
 SELECT feature_id, CASE WHEN old IS NULL OR old < TIMESTAMP '{MARK}' THEN TIMESTAMP '{MARK}' ELSE old END AS last_successful_run
 FROM reg""")
 def _watermark(spark, sf):
-    f = fv(spark, sf)
+    f = _per_type_history(spark, sf)
     fid = F.col("feature_id")
-    reg = f.groupBy("feature_id").agg(
-        F.when(fid.startswith("view"), F.lit(None)).when(fid.startswith("click") | fid.startswith("error"), F.max("timestamp"))
-         .otherwise(F.min("timestamp")).alias("last_successful_run"))
+    reg = f.select(
+        "feature_id", F.when(fid.startswith("view"), F.lit(None)).when(fid.startswith("click") | fid.startswith("error"), F.col("max_ts"))
+         .otherwise(F.col("min_ts")).alias("last_successful_run"))
     marks = reg.select("feature_id", F.lit(MARK).cast("timestamp_ntz").alias("last_successful_run"))
     return advance_watermark(reg, "feature_id", "last_successful_run", marks)
 
@@ -205,7 +214,7 @@ o AS (SELECT *, CASE WHEN NOT found THEN 'skip_not_found' WHEN NOT coalesce(trim
                      ELSE 'applied' END AS outcome FROM j)
 SELECT feature_id, outcome, current, CASE WHEN outcome = 'applied' THEN new ELSE current END AS final_value FROM o""")
 def _registry_migration(spark, sf):
-    ids = fv(spark, sf).select("feature_id").distinct()
+    ids = event_feature_ids(ev(spark, sf)).select("feature_id")
     fid = F.col("feature_id")
     reg = ids.select("feature_id", _registry_text(fid).alias("dependent_features"))
     mig = ids.select(
@@ -229,16 +238,16 @@ SELECT feature_id AS id, feature_name AS name, description, CAST(coalesce(is_act
        strftime(coalesce(created_at, {NOW_SQL}), '%Y-%m-%d %H:%M:%S') AS created_at,
        strftime(coalesce(updated_at, {NOW_SQL}), '%Y-%m-%d %H:%M:%S') AS updated_at FROM reg""")
 def _registry_mirror(spark, sf):
-    f = fv(spark, sf)
+    f = _per_type_history(spark, sf)
     fid = F.col("feature_id")
-    reg = f.groupBy("feature_id").agg(
-        F.any_value("feature_name").alias("feature_name"), F.lit("1").alias("version"),
-        F.concat(F.lit("daily count of "), F.any_value("feature_name")).alias("description"),
+    reg = f.select(
+        "feature_id", "feature_name", F.lit("1").alias("version"),
+        F.concat(F.lit("daily count of "), F.col("feature_name")).alias("description"),
         F.when(fid.startswith("error"), F.lit(None)).otherwise(F.lit(1)).alias("is_active"),
         F.when(fid.startswith("error") | fid.startswith("purchase"), F.lit(1)).alias("is_risk"),
-        F.array(F.any_value("feature_name"), F.lit("v1")).alias("dependent_features"),
-        F.when(fid.startswith("signup"), F.lit(None)).otherwise(F.min("timestamp")).alias("created_at"),
-        F.max("timestamp").alias("updated_at"))
+        F.array(F.col("feature_name"), F.lit("v1")).alias("dependent_features"),
+        F.when(fid.startswith("signup"), F.lit(None)).otherwise(F.col("min_ts")).alias("created_at"),
+        F.col("max_ts").alias("updated_at"))
     return registry_mirror(reg, _now())
 
 
@@ -278,7 +287,8 @@ FROM f WHERE "timestamp" >= TIMESTAMP '{PF_END + _dt.timedelta(days=1)} 00:00:00
 UNION ALL SELECT '{CUM}', 'missing_daily', CAST(d AS VARCHAR), 0, true FROM {_series(PF_START, PF_END)}
 WHERE d NOT IN (SELECT {day_sql()} FROM cstore WHERE feature_id = '{CLICK}')""")
 def _preflight(spark, sf):
-    out = q.preflight(_cum_store(fv(spark, sf)), CUM, CLICK, PF_START, PF_END)
+    store = materialize(_cum_store(fv(spark, sf, event_types=["click"])))     # the destination table
+    out = q.preflight(store, CUM, CLICK, PF_START, PF_END)
     return out.withColumn("day", F.col("day").cast("string"))
 
 
@@ -290,7 +300,7 @@ ids AS (SELECT DISTINCT feature_id FROM fv), present AS (SELECT DISTINCT feature
 SELECT ids.feature_id, CAST(s.d AS VARCHAR) AS day FROM ids, {_series(MD_START, MD_END)} s
 WHERE NOT EXISTS (SELECT 1 FROM present p WHERE p.feature_id = ids.feature_id AND p.d = s.d)""")
 def _missing_days(spark, sf):
-    f = fv(spark, sf)
+    f = fv(spark, sf, start=MD_START, end=MD_END)
     return q.missing_days(f, ["feature_id"], MD_START, MD_END).withColumn("day", F.col("day").cast("string"))
 
 
@@ -302,7 +312,7 @@ REQUESTED = [CLICK, "error_count_daily_v1", "purchase_count_daily_v1", "signup_c
 SELECT feature_id FROM (VALUES {', '.join(f"('{r}')" for r in REQUESTED)}) t(feature_id)
 WHERE feature_id NOT IN (SELECT feature_id FROM fv WHERE {day_sql()} <= {DS})""")
 def _missing_features(spark, sf):
-    return missing_feature_ids(fv(spark, sf), REQUESTED, D)
+    return missing_feature_ids(fv(spark, sf, end=D), REQUESTED, D)
 
 
 PLAN_FEATURES = [(f"{t}_score_v1", f"{t}_count_daily_v1") for t in ("click", "error", "purchase", "signup", "view", "refund")]
@@ -323,7 +333,8 @@ SELECT feature_id, CAST(target_date AS VARCHAR) AS target_date, existing_rows, s
        CASE WHEN existing_rows > 0 THEN 'SKIP' WHEN source_rows = 0 THEN 'EMPTY' ELSE 'DRYRUN' END AS outcome FROM j""")
 def _backfill_plan(spark, sf):
     feats = spark.createDataFrame(PLAN_FEATURES, "feature_id string, source_feature_id string")
-    out = q.backfill_plan(feats, F.sequence(F.lit(PLAN_START), F.lit(PLAN_END)), _store(spark, sf), fv(spark, sf), 30)
+    src = fv(spark, sf, start=PLAN_START - _dt.timedelta(days=30), end=PLAN_END)
+    out = q.backfill_plan(feats, F.sequence(F.lit(PLAN_START), F.lit(PLAN_END)), _store(spark, sf), src, 30)
     return out.withColumn("target_date", F.col("target_date").cast("string"))
 
 
@@ -506,8 +517,8 @@ run AS (SELECT entity_id, {day_sql()} AS day,
 SELECT entity_id, '{CUM}' AS feature_id, v AS feature_value, TIMESTAMP '2024-01-30 23:59:59' AS "timestamp" FROM run WHERE day = {DS}""")
 def _cumulative_sql_day(spark, sf):
     """The rendered insert-select for D, reading the cumulative history written before D."""
-    f = fv(spark, sf)
-    hist = _cum_store(fv(spark, sf, end=D - _dt.timedelta(days=1)))
+    f = fv(spark, sf, start=D, end=D, event_types=["click"])
+    hist = _cum_store(fv(spark, sf, end=D - _dt.timedelta(days=1), event_types=["click"]))
     return render_cumulative_day(spark, f, hist, CLICK, CUM, D)
 
 
@@ -562,10 +573,16 @@ def registry_texts(f):
     return f.select("feature_id").distinct().select("feature_id", t.alias("dependent_features"))
 
 
+def _ids_with_any(spark, sf):
+    """Feature ids of the count features plus the all-events feature, from the event types alone."""
+    types = ev(spark, sf).select(F.explode(F.array(F.col("event_type"), F.lit("any"))).alias("event_type"))
+    return event_feature_ids(types).select("feature_id")
+
+
 @job("registry_parsed", None)
 def _registry_parsed(spark, sf):
     from riskweave.sources.registry import parse_dependent_features
-    return parse_dependent_features(registry_texts(fv(spark, sf, include_any=True)))
+    return parse_dependent_features(registry_texts(_ids_with_any(spark, sf)))
 
 
 # ------------------------------------------------------------------------------------------- coverage additions
@@ -641,7 +658,7 @@ SELECT feature_id, status FROM reg WHERE status = 'PROD' AND marker <> ''""")
 def _scoring_features(spark, sf):
     """PROD registry rows naming a scoring method or function."""
     from riskweave.sources.registry import scoring_features
-    return scoring_features(_registry_with_status(fv(spark, sf, include_any=True))).select("feature_id", "status")
+    return scoring_features(_registry_with_status(_ids_with_any(spark, sf))).select("feature_id", "status")
 
 
 @job("status_log_json", f"""WITH {dv.STATUS_SQL}
@@ -679,7 +696,7 @@ SELECT exp.feature_id, CASE WHEN trim(reg.dependent_features) = trim(expected_ol
        reg.dependent_features AS current, reg.dependent_features AS final_value FROM exp JOIN reg ON exp.feature_id = reg.feature_id""")
 def _registry_drift(spark, sf):
     """Current vs expected registry text per row, no write (dry run)."""
-    ids = fv(spark, sf).select("feature_id").distinct()
+    ids = event_feature_ids(ev(spark, sf)).select("feature_id")
     fid = F.col("feature_id")
     reg = ids.select("feature_id", _registry_text(fid).alias("dependent_features"))
     exp = ids.select("feature_id", F.when(fid.startswith("signup"), F.lit("[scoring_method:zscore]"))
@@ -745,5 +762,5 @@ def _registry_backfill(spark, sf):
     """Registry-driven backfill of three dates (parse -> dispatch -> store rows), one plan."""
     from riskweave.plans.backfill import backfill_from_registry
     f = fv(spark, sf, start=BF_SPAN.start - _dt.timedelta(days=30), end=BF_SPAN.end, event_types=["click", "error"])
-    reg = _backfill_registry(fv(spark, sf, event_types=["click", "error"]))
+    reg = _backfill_registry(event_feature_ids(ev(spark, sf)))
     return backfill_from_registry(reg, f, None, BF_SPAN)

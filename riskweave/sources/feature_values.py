@@ -64,6 +64,14 @@ def daily_event_features(events: DataFrame, measure: str = "count", suffix: str
     )
 
 
+def event_feature_ids(events: DataFrame, measure: str = "count", version: str = "1") -> DataFrame:
+    """Distinct feature ids of ``daily_event_features`` without building the daily cells: one
+    distinct over the event-type column (pruned scan, partial aggregation)."""
+    return events.select("event_type").distinct().select(
+        F.concat(F.col("event_type"), F.lit(f"_{measure}_daily_v{version}")).alias("feature_id"),
+        F.concat(F.col("event_type"), F.lit(f"_{measure}_daily")).alias("feature_name"))
+
+
 def load_feature_values(fv: DataFrame, feature_ids: list[str], min_date: _dt.date, max_date: _dt.date) -> DataFrame:
     """Rows of the listed features with day in the closed range [min_date, max_date]; value as
     double; duplicates kept; rows with a NULL entity dropped (pandas group-bys drop them, Q21)."""
