@@ -26,7 +26,9 @@ def write_status_records(records: DataFrame, path: str, corrupt: Column | None =
     if corrupt is not None:
         payload = F.when(corrupt, F.substring(payload, 1, 25)).otherwise(payload)
     out = records.select(sanitize_run_id("run_id").alias("run_id"), "dag_id", payload.alias("value"))
-    out.write.mode("overwrite").partitionBy("run_id", "dag_id").text(path)
+    # cluster by the folder keys first: one writer (one file) per run/DAG folder instead of one per
+    # task and folder
+    out.repartition("run_id", "dag_id").write.mode("overwrite").partitionBy("run_id", "dag_id").text(path)
 
 
 def read_layer_status(spark: SparkSession, path: str) -> DataFrame:
