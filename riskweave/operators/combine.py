@@ -16,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.functions.columns import to_float
 from riskweave.operators.windows import target_window
 
 _PER_FEATURE = {"MAX": F.max, "MIN": F.min, "AVERAGE": F.avg}
@@ -82,5 +81,3 @@ def combine_features(fv: DataFrame, feature_ids, targets, period_in_days: float
         out = out.where(F.col("_nn") > 0)
     return out.select("target_date", "entity_id", value.alias(out_col))
 
-
-__all__ = ["combine_features", "to_float"]

@@ -1,13 +1,11 @@
 """Exact rank statistics / quantiles against brute force, including hot values that take the salted
 path and more buckets than distinct values."""
 
-import datetime as dt
 import random
 
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from riskweave.operators.instance import rank_values
 from riskweave.operators.ranking import quantile_rows, with_rank_stats
