@@ -48,6 +48,15 @@ def test_rank_score_against_pandas(spark):
             assert got[str(i)] == pytest.approx(e)
 
 
+def test_window_strategy_matches_distributed(spark):
+    rows = [("t" + str(i % 3), str(i), float(v)) for i, v in enumerate([3, 3, 1, 1, 1, 7, 9, 9, 0, 4, 4, 2])]
+    df = spark.createDataFrame(rows, "target_date string, entity_id string, feature_value double")
+    for inverse in (False, True):
+        a = sorted(rank_values(df, 0.2, 0.9, is_inverse=inverse).collect())
+        b = sorted(rank_values(df, 0.2, 0.9, is_inverse=inverse, strategy="window").collect())
+        assert a == b
+
+
 def test_rank_score_edges(spark):
     one = spark.createDataFrame([("t", "a", 4.0)], "target_date string, entity_id string, feature_value double")
     assert rank_values(one, 0.2, 0.9).first().score == pytest.approx(0.9)
