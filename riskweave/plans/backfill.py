@@ -130,3 +130,21 @@ def backfill_from_registry(registry: DataFrame, feature_values: DataFrame, score
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def write_scores(scores: DataFrame, path: str, feature_id: str, feature_name: str, feature_version,
+                 value_col: str = "score", date_col: str = "target_date") -> dict:
+    """S7 + S8 + P11/A18: write one feature's scores as store rows (slice replacement) and return the
+    run summary -- rows written and NULL/NaN scores dropped -- counted with an ``Observation`` on the
+    write itself (no extra job)."""
+    from pyspark.sql import Observation
+
+    v = F.col(value_col)
+    bad = v.isNull() | F.isnan(v)
+    obs = Observation(f"write_{feature_id}")
+    observed = scores.observe(obs, F.count(F.lit(1)).alias("rows_in"), F.count_if(bad).alias("rows_dropped"))
+    rows = score_rows(observed, feature_id, feature_name, feature_version, value_col, date_col)
+    replace_slices(rows, path)
+    m = obs.get
+    return {"feature_id": feature_id, "rows_written": int(m["rows_in"] - m["rows_dropped"]),
+            "rows_dropped": int(m["rows_dropped"])}

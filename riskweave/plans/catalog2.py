@@ -764,3 +764,21 @@ def _registry_backfill(spark, sf):
     f = fv(spark, sf, start=BF_SPAN.start - _dt.timedelta(days=30), end=BF_SPAN.end, event_types=["click", "error"])
     reg = _backfill_registry(event_feature_ids(ev(spark, sf)))
     return backfill_from_registry(reg, f, None, BF_SPAN)
+
+
+@job("backfill_summary", f"""WITH b AS ({_bf_sql()})
+SELECT feature_id, count(*) AS rows_written, CAST(0 AS BIGINT) AS rows_dropped FROM b GROUP BY feature_id""")
+def _backfill_summary(spark, sf):
+    """The per-feature run summary of writing the registry backfill (rows written, NULL/NaN
+    scores dropped), counted by Observations on the writes."""
+    from riskweave.operators.instance import log_based_scoring, rank_scoring
+    from riskweave.plans.backfill import write_scores
+    f = fv(spark, sf, start=BF_SPAN.start - _dt.timedelta(days=30), end=BF_SPAN.end, event_types=["click", "error"])
+    path = scratch_table_path(spark, "score_store")
+    summary = [
+        write_scores(rank_scoring(f, CLICK, BF_SPAN, range_start=0.5, range_end=1, require_aggregation=True), path,
+                     "click_backfill_score_v1", "click_backfill_score", 1),
+        write_scores(log_based_scoring(f, "error_count_daily_v1", BF_SPAN, period_in_days=30), path,
+                     "error_backfill_score_v1", "error_backfill_score", 1),
+    ]
+    return spark.createDataFrame(summary, "feature_id string, rows_written long, rows_dropped long")

@@ -168,3 +168,17 @@ def test_registry_parse(spark, sf_small):
     assert rows[("view_count_daily_v1", "feature_ids")][2] == ["a", "b"]          # a list last keeps its bracket
     assert rows[("error_count_daily_v1", "period_in_days")][:2] == ("int", "30")
     assert not [k for k in rows if k[0] == "any_count_daily_v1"]                   # empty text -> no params
+
+
+def test_write_scores_counts_dropped_and_replaces(spark):
+    import os
+    import tempfile
+    from riskweave.plans.backfill import write_scores
+    scores = spark.createDataFrame([(D, "a", 0.123), (D, "b", None), (D, "c", float("nan")), (D, "d", 0.995)],
+                                   "target_date date, entity_id string, score double")
+    path = os.path.join(tempfile.mkdtemp(prefix="riskweave-store-"), "t")
+    s1 = write_scores(scores, path, "f_v1", "f", 1)
+    s2 = write_scores(scores, path, "f_v1", "f", 1)
+    assert s1 == s2 == {"feature_id": "f_v1", "rows_written": 2, "rows_dropped": 2}
+    got = {r.entity_id: r.feature_value for r in spark.read.parquet(path).collect()}
+    assert got == {"a": 0.12, "d": 1.0}                     # rounded to 2 decimals, slice replaced not appended
