@@ -90,13 +90,24 @@ def resume_points(destination: DataFrame, features: DataFrame, start: _dt.date,
 
 
 # ------------------------------------------------------------------------------------------ status plane
-def latest_status(status_log: DataFrame) -> DataFrame:
-    """Last write wins per (run, dag, task); error keeps its first 2000 characters, the
-    traceback its last 4000."""
-    cols = [c for c in status_log.columns if c not in ("run_id", "dag_id", "task_key", "written_at", "seq")]
-    last = latest_per_key(status_log, ["run_id", "dag_id", "task_key"], ["written_at", "seq"], cols)
-    return (last.withColumn("error", F.left("error", F.lit(K.ERROR_MAX_CHARS)))
-                .withColumn("traceback", F.right("traceback", F.lit(K.TRACEBACK_MAX_CHARS))))
+def truncate_status_text(status_log: DataFrame) -> DataFrame:
+    """S16 write rule: error keeps its first 2000 characters, the traceback its last 4000."""
+    out = status_log
+    if "error" in out.columns:
+        out = out.withColumn("error", F.left("error", F.lit(K.ERROR_MAX_CHARS)))
+    if "traceback" in out.columns:
+        out = out.withColumn("traceback", F.right("traceback", F.lit(K.TRACEBACK_MAX_CHARS)))
+    return out
+
+
+def latest_status(status_log: DataFrame, value_cols: list[str] | None = None) -> DataFrame:
+    """Last write wins per (run, dag, task). Only ``value_cols`` travel through the
+    newest-per-key reduction (the packed struct is not pruned by the optimizer, so long error and
+    traceback texts are carried only when asked for), already truncated as written."""
+    keys, order = ["run_id", "dag_id", "task_key"], ["written_at", "seq"]
+    cols = value_cols or [c for c in status_log.columns if c not in keys + order]
+    slim = truncate_status_text(status_log.select(*keys, *order, *cols))
+    return latest_per_key(slim, keys, order, cols)
 
 
 def category_verdicts(latest: DataFrame, category_key: str = "category", exclude_cadences=K.EXCLUDED_CADENCES) -> DataFrame:

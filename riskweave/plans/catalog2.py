@@ -354,8 +354,11 @@ def _resume_points(spark, sf):
     return out.withColumn("resume_from", F.col("resume_from").cast("string"))
 
 
-def _latest_status(spark, sf):
-    return q.latest_status(dv.status_log(read_table(spark, sf, "orders")))
+GATE_COLS = ["status", "cadence", "category"]
+
+
+def _latest_status(spark, sf, cols=None):
+    return q.latest_status(dv.status_log(read_table(spark, sf, "orders")), cols)
 
 
 @job("status_latest", f"""WITH {dv.STATUS_SQL}
@@ -373,7 +376,7 @@ SELECT run_id, category, count(*) FILTER (WHERE relevant) AS n_relevant,
        coalesce(count(*) FILTER (WHERE relevant) > 0 AND bool_and(CASE WHEN relevant THEN coalesce(status = 'success', false) END), false) AS valid
 FROM r GROUP BY run_id, category""")
 def _category_verdicts(spark, sf):
-    return q.category_verdicts(_latest_status(spark, sf))
+    return q.category_verdicts(_latest_status(spark, sf, GATE_COLS))
 
 
 def _work(spark, sf):
@@ -385,7 +388,7 @@ work AS (SELECT DISTINCT run_id, dag_id, task_key, category FROM slog2)
 SELECT * FROM work w WHERE NOT EXISTS (SELECT 1 FROM latest_status s WHERE s.status = 'success' AND s.run_id = w.run_id
                                        AND s.dag_id = w.dag_id AND s.task_key = w.task_key)""")
 def _pending_work(spark, sf):
-    return q.pending_work(_work(spark, sf), _latest_status(spark, sf))
+    return q.pending_work(_work(spark, sf), _latest_status(spark, sf, GATE_COLS))
 
 
 def _deps_col():
@@ -407,7 +410,7 @@ FROM work w LEFT JOIN deps d ON d.run_id = w.run_id AND d.dag_id = w.dag_id AND
 LEFT JOIN succ s ON s.run_id = d.run_id AND s.dag_id = d.d_dag AND s.task_key = d.d_task
 GROUP BY w.run_id, w.dag_id, w.task_key""")
 def _ready_work(spark, sf):
-    return q.ready_work(_work(spark, sf).withColumn("dependencies", _deps_col()), _latest_status(spark, sf))
+    return q.ready_work(_work(spark, sf).withColumn("dependencies", _deps_col()), _latest_status(spark, sf, GATE_COLS))
 
 
 # ------------------------------------------------------------------------------------------- step 13
@@ -667,7 +670,7 @@ def _status_log_json(spark, sf):
     """S16 write + S6 read: latest status records written as JSON under run/dag folders, a share of
     them corrupted on purpose; read back with an explicit schema and DROPMALFORMED."""
     from riskweave.sources.status import read_layer_status, write_status_records
-    latest = _latest_status(spark, sf)
+    latest = _latest_status(spark, sf, ["category", "status", "error", "traceback", "cadence"])
     path = scratch_table_path(spark, "status")
     write_status_records(latest, path, corrupt=F.col("seq") % 13 == 0)
     return read_layer_status(spark, path).select("run_id", "dag_id", "task_key", "status", "cadence")
@@ -681,7 +684,7 @@ work AS (SELECT DISTINCT run_id, 'dag_next' AS dag_id, category FROM slog2 WHERE
 SELECT w.* FROM work w WHERE EXISTS (SELECT 1 FROM v WHERE v.run_id = w.run_id AND v.category = w.category)""")
 def _category_gated_work(spark, sf):
     """Next-layer work limited to the categories whose verdict is valid for the run."""
-    verdicts = q.category_verdicts(_latest_status(spark, sf)).where("valid")
+    verdicts = q.category_verdicts(_latest_status(spark, sf, GATE_COLS)).where("valid")
     work = (dv.status_log(read_table(spark, sf, "orders")).where(F.col("category").isNotNull())
               .select("run_id", F.lit("dag_next").alias("dag_id"), "category").distinct())
     return work.join(verdicts.select("run_id", "category"), ["run_id", "category"], "left_semi")
