@@ -18,10 +18,12 @@ number of groups (feature x target date), which is configuration, not data.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.operators.skew import HOT_ROWS, SALTS, lookup_join
+from riskweave.operators.skew import HOT_ROWS, SALTS, salted_join
 
 # Value-range buckets per group: the within-bucket running count is one window partition per
 # (group, bucket), so a group of N distinct values is spread over ~BUCKETS tasks of N/BUCKETS rows.
@@ -35,21 +37,45 @@ def _distinct_values(df: DataFrame, group_cols: list[str], value_col: str) -> Da
     return df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_cnt"))
 
 
-def distinct_value_ranks(df: DataFrame, group_cols: list[str], value_col: str,
-                         buckets: int = BUCKETS, dv: DataFrame | None = None) -> DataFrame:
-    """One row per (group, distinct value): _cnt, _n_less, _n_greater, _n, _cnt_min, _cnt_max."""
-    g = list(group_cols)
-    v = F.col(value_col)
-    dv = _distinct_values(df, g, value_col) if dv is None else dv
+def _count_below(df: DataFrame, bounds: str, value_col: str, n_bounds: int, out: str = "_b") -> DataFrame:
+    """Number of (sorted) bounds strictly below the value: a lower-bound binary search written as
+    ceil(log2(n+1)) small projections (codegen'd), instead of a per-row scan of the whole array."""
+    lo, hi = "_lo", "_hi"
+    df = df.withColumn(lo, F.lit(0)).withColumn(hi, F.lit(n_bounds))
+    for _ in range(max(1, math.ceil(math.log2(n_bounds + 1)))):
+        mid = F.floor((F.col(lo) + F.col(hi)) / 2).cast("int")
+        go_right = (F.col(lo) < F.col(hi)) & (F.get(F.col(bounds), mid) < F.col(value_col))
+        go_left = (F.col(lo) < F.col(hi)) & ~(F.get(F.col(bounds), mid) < F.col(value_col))
+        df = df.select("*", F.when(go_right, mid + 1).otherwise(F.col(lo)).alias("_lo2"),
+                       F.when(go_left, mid).otherwise(F.col(hi)).alias("_hi2"))
+        df = df.drop(lo, hi).withColumnRenamed("_lo2", lo).withColumnRenamed("_hi2", hi)
+    return df.withColumnRenamed(lo, out).drop(hi)
+
+
+def _group_stats(dv: DataFrame, g: list[str], value_col: str, buckets: int, hot_rows: int) -> DataFrame:
+    """One row per group: bucket bounds, size, multiplicity of min and max, and the group's hot values
+    (at most n/hot_rows of them -- a proven bound for the broadcast)."""
     probs = [i / buckets for i in range(1, buckets)]
-    stats = dv.groupBy(*g).agg(
+    return dv.groupBy(*g).agg(
         F.percentile_approx(value_col, probs, 10000).alias("_bounds"),
         F.sum("_cnt").alias("_n"),
         F.min_by("_cnt", value_col).alias("_cnt_min"),
         F.max_by("_cnt", value_col).alias("_cnt_max"),
+        F.collect_list(F.when(F.col("_cnt") >= hot_rows, F.col(value_col))).alias("_hot_values"),
     )
-    dvb = dv.join(F.broadcast(stats), g)
-    dvb = dvb.withColumn("_b", F.size(F.filter(F.col("_bounds"), lambda b: b < v))).drop("_bounds")
+
+
+def distinct_value_ranks(df: DataFrame, group_cols: list[str], value_col: str,
+                         buckets: int | None = None, dv: DataFrame | None = None, stats: DataFrame | None = None,
+                         hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row per (group, distinct value): _cnt, _n_less, _n_greater, _n, _cnt_min, _cnt_max."""
+    g = list(group_cols)
+    buckets = buckets or BUCKETS
+    v = F.col(value_col)
+    dv = _distinct_values(df, g, value_col) if dv is None else dv
+    stats = _group_stats(dv, g, value_col, buckets, hot_rows) if stats is None else stats
+    dvb = dv.join(F.broadcast(stats.drop("_hot_values")), g)
+    dvb = _count_below(dvb, "_bounds", value_col, buckets - 1).drop("_bounds")
     per_bucket = dvb.groupBy(*g, "_b").agg(F.sum("_cnt").alias("_bcnt"))
     before = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(*g, "_b", F.coalesce(F.sum("_bcnt").over(before), F.lit(0)).alias("_off"))
@@ -60,17 +86,26 @@ def distinct_value_ranks(df: DataFrame, group_cols: list[str], value_col: str,
     return out.drop("_b", "_off")
 
 
-def with_rank_stats(df: DataFrame, group_cols: list[str], value_col: str, buckets: int = BUCKETS,
+def with_rank_stats(df: DataFrame, group_cols: list[str], value_col: str, buckets: int | None = None,
                     hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
-    """Rows of ``df`` with a non-null, non-NaN value, plus the rank-statistic columns."""
-    dv = _distinct_values(df, list(group_cols), value_col)
-    ranks = distinct_value_ranks(df, group_cols, value_col, buckets, dv=dv)
-    rows = df.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col)))
-    return lookup_join(rows, ranks, list(group_cols) + [value_col], "_cnt", hot_rows, salts, counts=dv)
+    """Rows of ``df`` with a non-null, non-NaN value, plus the rank-statistic columns. The per-group
+    stats broadcast also carries the hot values, so tagging hot rows costs no extra pass."""
+    g = list(group_cols)
+    buckets = buckets or BUCKETS
+    dv = _distinct_values(df, g, value_col)
+    stats = _group_stats(dv, g, value_col, buckets, hot_rows)
+    ranks = distinct_value_ranks(df, g, value_col, buckets, dv=dv, stats=stats, hot_rows=hot_rows)
+    v = F.col(value_col)
+    rows = (df.where(v.isNotNull() & ~F.isnan(v))
+              .join(F.broadcast(stats.select(*g, "_hot_values")), g)
+              .withColumn("_is_hot", F.array_contains("_hot_values", v)).drop("_hot_values"))
+    spread = [c for c in df.columns if c not in g + [value_col]] or [value_col]
+    out = salted_join(rows, ranks, g + [value_col], F.col("_is_hot"), F.col("_cnt") >= hot_rows, salts, spread_cols=spread)
+    return out.drop("_is_hot")
 
 
 def quantile_rows(df: DataFrame, group_cols: list[str], value_col: str, p: float,
-                  buckets: int = BUCKETS, out_col: str = "quantile") -> DataFrame:
+                  buckets: int | None = None, out_col: str = "quantile") -> DataFrame:
     """Exact linear-interpolated quantile per group (same as pandas ``quantile`` / ``quantile_cont``):
     with h = (n-1)p, the value at 0-based ascending position k is the distinct value with
     n_less <= k < n_less + cnt."""
