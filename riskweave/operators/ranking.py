@@ -38,18 +38,25 @@ def _distinct_values(df: DataFrame, group_cols: list[str], value_col: str) -> Da
 
 
 def _count_below(df: DataFrame, bounds: str, value_col: str, n_bounds: int, out: str = "_b") -> DataFrame:
-    """Number of (sorted) bounds strictly below the value: a lower-bound binary search written as
-    ceil(log2(n+1)) small projections (codegen'd), instead of a per-row scan of the whole array."""
-    lo, hi = "_lo", "_hi"
-    df = df.withColumn(lo, F.lit(0)).withColumn(hi, F.lit(n_bounds))
-    for _ in range(max(1, math.ceil(math.log2(n_bounds + 1)))):
-        mid = F.floor((F.col(lo) + F.col(hi)) / 2).cast("int")
-        go_right = (F.col(lo) < F.col(hi)) & (F.get(F.col(bounds), mid) < F.col(value_col))
-        go_left = (F.col(lo) < F.col(hi)) & ~(F.get(F.col(bounds), mid) < F.col(value_col))
-        df = df.select("*", F.when(go_right, mid + 1).otherwise(F.col(lo)).alias("_lo2"),
-                       F.when(go_left, mid).otherwise(F.col(hi)).alias("_hi2"))
-        df = df.drop(lo, hi).withColumnRenamed("_lo2", lo).withColumnRenamed("_hi2", hi)
-    return df.withColumnRenamed(lo, out).drop(hi)
+    """Number of (sorted) bounds strictly below the value: a lower-bound binary search of
+    ceil(log2(n+1)) steps, instead of a per-row scan of the whole array.
+
+    The search is ONE ``aggregate`` expression over the step sequence, carrying (lo, hi). Written as
+    chained projections instead, each step re-references the previous step's CASE several times, and
+    once the optimizer collapses the projections the expression tree grows exponentially with the
+    number of steps (planning never finishes)."""
+    steps = max(1, math.ceil(math.log2(n_bounds + 1)))
+    zero = F.struct(F.lit(0).alias("lo"), F.lit(n_bounds).alias("hi"))
+
+    def step(acc, _i):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.floor((lo + hi) / 2).cast("int")
+        below = F.coalesce(F.get(F.col(bounds), mid) < F.col(value_col), F.lit(False))
+        return (F.when(lo >= hi, acc)
+                 .when(below, F.struct((mid + 1).alias("lo"), hi.alias("hi")))
+                 .otherwise(F.struct(lo.alias("lo"), mid.alias("hi"))))
+
+    return df.withColumn(out, F.aggregate(F.sequence(F.lit(1), F.lit(steps)), zero, step)["lo"])
 
 
 def _group_stats(dv: DataFrame, g: list[str], value_col: str, buckets: int, hot_rows: int) -> DataFrame:
