@@ -95,3 +95,21 @@ def test_no_row_level_single_partition(spark, sf_small):
         plan = e.queries()[name](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
         for child in single_partition_inputs(plan):
             assert child.startswith(("HashAggregate", "ObjectHashAggregate", "SortAggregate")), (name, child)
+
+
+@pytest.mark.parametrize("n_bounds", [1, 2, 7, 199])
+def test_count_below_matches_bisect_and_plans_small(spark, n_bounds):
+    """The bucket lookup equals bisect_left on the sorted bounds, and stays one small expression:
+    the optimized plan must not grow with the number of search steps (a chained-projection form
+    grew exponentially and never finished planning)."""
+    import bisect
+
+    from riskweave.operators.ranking import _count_below
+    rnd = random.Random(n_bounds)
+    bounds = sorted(float(rnd.randint(0, 50)) for _ in range(n_bounds))
+    vals = [float(x) for x in range(-2, 53)] + [b for b in bounds]
+    df = spark.createDataFrame([(v, bounds) for v in vals], "v double, bounds array<double>")
+    out = _count_below(df, "bounds", "v", n_bounds)
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    got = {(r.v, r._b) for r in out.collect()}
+    assert got == {(v, bisect.bisect_left(bounds, v)) for v in vals}
