@@ -49,7 +49,7 @@ def scratch_table_path(spark: SparkSession, name: str) -> str:
 CUMULATIVE_DAY_SQL = """
 WITH daily AS (
   SELECT entity_id, max_by(feature_value, struct(`timestamp`, feature_value)) AS feature_value
-  FROM {daily} WHERE feature_id = :daily_id AND to_date(`timestamp`) = :as_of GROUP BY entity_id),
+  FROM {daily} WHERE feature_id = :daily_id AND to_date(`timestamp`) = :input_day GROUP BY entity_id),
 prior AS (
   SELECT entity_id, max_by(feature_value, struct(`timestamp`, feature_value)) AS feature_value
   FROM {store} WHERE feature_id = :cumulative_id AND to_date(`timestamp`) < :as_of GROUP BY entity_id)
@@ -59,12 +59,25 @@ FROM daily d LEFT JOIN prior p ON d.entity_id = p.entity_id
 """
 
 
+# fixed values: the daily input window per category (days relative to D); other categories read D itself
+CATEGORY_INPUT_DAY_OFFSET = {"work": 0, "bio": -1}
+
+
 def render_cumulative_day(spark: SparkSession, daily: DataFrame, store: DataFrame, daily_id: str,
-                          cumulative_id: str, as_of: _dt.date) -> DataFrame:
+                          cumulative_id: str, as_of: _dt.date, category: str | None = None,
+                          filter_condition: str | None = None) -> DataFrame:
     """The cumulative-feature insert-select for one day, with every parameter bound (named
     arguments and DataFrame references) and the 'now' of the template pinned to D 23:59:59 -- no
-    string splicing, no wall clock."""
-    return spark.sql(CUMULATIVE_DAY_SQL, args={"daily_id": daily_id, "cumulative_id": cumulative_id, "as_of": as_of},
+    string splicing, no wall clock.
+
+    P5: the daily input is read from the category's window -- work ``[D, D+1)``, bio ``[D-1, D)``.
+    P6: an optional registry predicate (trusted registry text) is applied to the daily input as a
+    DataFrame filter before the template, so it is analysed as an expression, never spliced into SQL."""
+    input_day = as_of + _dt.timedelta(days=CATEGORY_INPUT_DAY_OFFSET.get(category or "", 0))
+    if filter_condition:
+        daily = daily.where(F.expr(filter_condition))
+    return spark.sql(CUMULATIVE_DAY_SQL, args={"daily_id": daily_id, "cumulative_id": cumulative_id, "as_of": as_of,
+                                               "input_day": input_day},
                      daily=daily, store=store)
 
 

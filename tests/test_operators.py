@@ -182,3 +182,19 @@ def test_write_scores_counts_dropped_and_replaces(spark):
     assert s1 == s2 == {"feature_id": "f_v1", "rows_written": 2, "rows_dropped": 2}
     got = {r.entity_id: r.feature_value for r in spark.read.parquet(path).collect()}
     assert got == {"a": 0.12, "d": 1.0}                     # rounded to 2 decimals, slice replaced not appended
+
+
+def test_cumulative_day_category_window_and_filter(spark):
+    """S18 with P5/P6: work reads D's daily value, bio reads D-1's; a registry predicate filters the
+    daily input; the prior cumulative value (< D) is added; the stamp is D 23:59:59."""
+    from riskweave.plans.backfill import render_cumulative_day
+    daily = fv(spark, [("a", "d", 2.0, ts(D - dt.timedelta(days=1))), ("a", "d", 5.0, ts(D)),
+                       ("b", "d", 7.0, ts(D)), ("c", "d", 1.0, ts(D - dt.timedelta(days=1)))])
+    store = fv(spark, [("a", "c", 10.0, ts(D - dt.timedelta(days=2))), ("b", "c", 3.0, ts(D))])
+    got = lambda **kw: {r.entity_id: (r.feature_value, r.timestamp) for r in
+                        render_cumulative_day(spark, daily, store, "d", "c", D, **kw).collect()}
+    stamp = dt.datetime(D.year, D.month, D.day, 23, 59, 59)
+    assert got() == {"a": (15.0, stamp), "b": (7.0, stamp)}
+    assert got(category="work") == got()
+    assert got(category="bio") == {"a": (12.0, stamp), "c": (1.0, stamp)}
+    assert got(filter_condition="feature_value > 5") == {"b": (7.0, stamp)}
