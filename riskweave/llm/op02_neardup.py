@@ -186,6 +186,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     flat = keys.select("node", F.posexplode("keys").alias("band", "key")).select(
         F.xxhash64("band", "key").alias("bucket"), "node")
     low = flat.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("high")).where("lead < high").drop("high")
+    low = stored(low, "dup-low")              # as a table, so that the join can split a hot bucket
     # the buckets of two texts or more, copies counted once
     shared = stored(flat.join(low, "bucket").where("node != lead").groupBy("bucket", "lead", "node").agg(F.count(F.lit(1)).alias("c")).drop("c"),
                     "dup-shared")
