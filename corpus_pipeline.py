@@ -38,10 +38,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times (0 to 2) as the mix to target weights takes it."""
-    docs = docs.select(*COLUMNS)
-    taken = op01_mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("d_"), "copies").distinct()
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("d_")))
-    return joined.select(*COLUMNS, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_")).select(*COLUMNS)
+    return op01_mixing.repeat(docs.select(*COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

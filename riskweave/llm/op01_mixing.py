@@ -93,21 +93,43 @@ def _cuts(sized: DataFrame, goals: DataFrame) -> DataFrame:
     return state.select(F.col("source").alias("s_"), F.col("base").alias("cut"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-        share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken), one row per input row."""
-    sized = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
-                               size_of(F.col(text)).alias("size"), point_of(F.col(doc_id)).alias("point")), "mix-sized")
+def _sized(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
+    return stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
+                              size_of(F.col(text)).alias("size"), point_of(F.col(doc_id)).alias("point")), "mix-sized")
+
+
+def _plan(sized: DataFrame, share: float, cap: float) -> DataFrame:
+    """(s_, source_size, target, whole, cut) by source: every document is taken ``whole`` times, those with
+    ``point < cut`` once more."""
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = stored(targets(per_source, share, cap), "mix-target")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     plan = plan.withColumn("whole", whole.cast("long"))
     goals = plan.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("goal"))
-    cuts = _cuts(sized, goals)
-    plan = plan.join(cuts, F.col("source").eqNullSafe(F.col("s_")), "left").drop("s_")
-    plan = plan.select(F.col("source").alias("s_"), "source_size", "target", "whole",
-                       F.coalesce("cut", F.lit(0)).alias("cut"))
-    out = sized.join(plan, F.col("source").eqNullSafe(F.col("s_")))
-    copies = F.col("whole") + F.when(F.col("point") < F.col("cut"), F.lit(1)).otherwise(F.lit(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"),
-                      (F.col("size") * copies).cast("long").alias("taken"))
+    plan = plan.join(_cuts(sized, goals), F.col("source").eqNullSafe(F.col("s_")), "left").drop("s_")
+    return stored(plan.select(F.col("source").alias("s_"), "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut")), "mix-plan")
+
+
+def _copies(point: Column) -> Column:
+    return (F.col("whole") + F.when(point < F.col("cut"), F.lit(1)).otherwise(F.lit(0))).cast("long")
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+        share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken), one row per input row."""
+    sized = _sized(docs, doc_id, text, source)
+    out = sized.join(_plan(sized, share, cap), F.col("source").eqNullSafe(F.col("s_")))
+    return out.withColumn("copies", _copies(F.col("point"))).select(
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def repeat(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+           share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The input rows, each as many times as the mix takes it. Texts stay where they are: only the plan, a
+    row per source, is joined to them."""
+    plan = _plan(_sized(docs, doc_id, text, source), share, cap)
+    plan = plan.select(F.col("s_").alias("_mix_source"), "whole", "cut").withColumnsRenamed({"whole": "_mix_whole", "cut": "_mix_cut"})
+    copies = F.col("_mix_whole") + F.when(point_of(F.col(doc_id)) < F.col("_mix_cut"), F.lit(1)).otherwise(F.lit(0))
+    rows = docs.join(plan, F.col(source).eqNullSafe(F.col("_mix_source"))).withColumn("_mix_copies", copies.cast("int"))
+    each = F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies"))).alias("_mix_one")
+    return rows.select(*[F.col(c) for c in docs.columns], each).select(*docs.columns)

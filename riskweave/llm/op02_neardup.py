@@ -17,9 +17,12 @@ ever collected or paired up in full:
 
 1. each member is compared with the smallest text of its bucket (a join on the pre-aggregated minimum,
    which Spark splits where it is skewed), exactly, on the whole texts; the links give components;
-2. members of one bucket that ended in different components are compared with each other, but for those
-   that the triangle inequality of the Jaccard distance rules out (their distances to the bucket's
-   smallest text differ by more than a link allows).
+2. members of one bucket that ended in different components meet in cells of at most two blocks (a bucket
+   of over ``BLOCK`` members or ``BLOCK_WEIGHT`` shingles is dealt to all pairs of its blocks). There their
+   whole signatures tell which members have a partner whose agreement is at most ``MARGIN`` standard
+   deviations under the threshold; these members alone get their texts, and the cell compares such pairs
+   exactly, each pair in the first band it shares. A cell returns only links that join components. So
+   neither a passage that many unlike texts share nor a large group of half-alike texts makes rows of pairs.
 
 Exact copies are one node throughout (the MD5 of the text).
 
@@ -49,6 +52,10 @@ SIZE = 5
 THRESHOLD = 0.8
 BANDS = 28
 ROWS = 5
+BLOCK = 512
+BLOCK_WEIGHT = 400_000
+#: Standard deviations that the agreement of signatures may lie under the threshold.
+MARGIN = 5.3
 _FIRST_LAYER = 2.0 ** -6
 
 
@@ -126,7 +133,10 @@ def _bands(size: int, bands: int, rows: int):
                 at = np.flatnonzero(some)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * bands, pa.int32()),
                                                  pa.array(key[at].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a).take(pa.array(at)), lists], ["node", "keys"])
+                short = (bits >> U(16)).astype(np.uint16).reshape(b - a, -1)[at]
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a).take(pa.array(at)), lists,
+                                                  pa.array([x.tobytes() for x in short], pa.binary()),
+                                                  pa.array(np.bincount(text, minlength=b - a)[at])], ["node", "keys", "signature", "weight"])
 
     return run
 
@@ -161,6 +171,74 @@ def _similar(size: int):
     return run
 
 
+def _likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of (ascending shingles, counts)."""
+    at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+    same = a[0][at] == b[0]
+    both = int(np.minimum(a[1][at], b[1])[same].sum())
+    return both / (int(a[1].sum()) + int(b[1].sum()) - both)
+
+
+_CELL = "cell long, node binary, part long, block int, one int, band int, signature binary"
+
+
+def _cells(threshold: float, bands: int, rows: int, size: int, exact: bool):
+    """Over cells: their members that have a likely partner, or (``exact``, with texts) the links found."""
+    least = threshold * bands * rows - MARGIN * math.sqrt(threshold * (1 - threshold) * bands * rows)
+
+    def work(cell: pa.Table) -> pa.Table:
+        m = cell.num_rows
+        part, block, one, band = (cell.column(x).to_numpy() for x in ("part", "block", "one", "band"))
+        signs = np.frombuffer(b"".join(cell.column("signature").to_pylist()), dtype=np.uint16).reshape(m, bands * rows)
+        sets, top, likely, links = [], {int(x): int(x) for x in part}, np.zeros(m, dtype=bool), []
+        if exact:
+            for text in cell.column("text").to_pylist():
+                data = np.frombuffer(text.encode(), dtype=np.uint8)
+                sets.append(weighted_shingles(np.array([0, len(data)]), data, size)[1:])
+
+        def root(x: int) -> int:
+            while top[x] != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        for i in range(m - 1):
+            meet = i + 1 + np.flatnonzero((part[i + 1:] != part[i]) & (bool(one[i]) | (block[i + 1:] != block[i])))
+            if not len(meet):
+                continue
+            equal = signs[meet] == signs[i]
+            near = equal.sum(axis=1) >= least
+            first = equal[near].reshape(-1, bands, rows).all(axis=2).argmax(axis=1) == band[i]
+            meet = meet[near][first]
+            if not exact:
+                likely[meet] = True
+                likely[i] |= len(meet) > 0
+                continue
+            for j in meet:
+                x, y = root(int(part[i])), root(int(part[j]))
+                if x != y and _likeness(sets[i], sets[j]) >= threshold:
+                    top[x] = y
+                    links.append((i, int(j)))
+        if exact:
+            node = cell.column("node").to_pylist()
+            return pa.table([pa.array([node[k[s]] for k in links], pa.binary()) for s in (0, 1)], ["a", "b"])
+        return cell.filter(pa.array(likely))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+            cell = table.column("cell").to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1])
+            for a, b in zip(edges[:-1], edges[1:]):
+                yield from work(table.slice(a, b - a)).combine_chunks().to_batches()
+            held = table.slice(edges[-1])
+        if held is not None and held.num_rows:
+            yield from work(held).combine_chunks().to_batches()
+
+    return run
+
+
 def _compare(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """(a, b, sim) of pairs of nodes; ``texts`` has (node, text)."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
@@ -175,20 +253,20 @@ def _node(text: Column) -> Column:
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = SIZE,
             bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, node (binary key of the text), part (smallest node of the class), class_id (smallest id of the
-    class), class_size and links (similar other texts that the search linked to this text directly), one
-    row per input row."""
+    class) and class_size, one row per input row."""
     ship(docs.sparkSession)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     base = base.select("doc_id", "text", _node(F.col("text")).alias("node"))
     members = stored(base.select("doc_id", "node"), "dup-node")
     one = members.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    keys = stored(base.select("node", "text").mapInArrow(_bands(size, bands, rows), "node binary, keys array<long>"), "dup-keys")
+    keys = stored(base.select("node", "text").mapInArrow(_bands(size, bands, rows), "node binary, keys array<long>, signature binary, weight long"),
+                  "dup-keys")
     flat = keys.select("node", F.posexplode("keys").alias("band", "key")).select(
-        F.xxhash64("band", "key").alias("bucket"), "node")
+        F.xxhash64("band", "key").alias("bucket"), "band", "node")
     low = flat.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("high")).where("lead < high").drop("high")
     low = stored(low, "dup-low")              # as a table, so that the join can split a hot bucket
     # the buckets of two texts or more, copies counted once
-    shared = stored(flat.join(low, "bucket").where("node != lead").groupBy("bucket", "lead", "node").agg(F.count(F.lit(1)).alias("c")).drop("c"),
+    shared = stored(flat.join(low, "bucket").where("node != lead").groupBy("bucket", "lead", "node").agg(F.min("band").alias("band")),
                     "dup-shared")
     star = shared.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     wanted = shared.select("node").unionByName(shared.select(F.col("lead").alias("node"))).distinct()
@@ -198,27 +276,32 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     compared = stored(_compare(star, texts, size), "dup-star")
     found = compared.where(F.col("sim") >= threshold).select("a", "b")
     parts = components(found)
-    # members of one bucket in different components: the rest of the pairs, in a join on the bucket
-    named = (shared.join(compared.select(F.col("a").alias("node"), F.col("b").alias("lead"), "sim").distinct(), ["node", "lead"])
-             .join(parts.withColumnRenamed("id", "node"), "node", "left")
-             .select("bucket", "node", F.coalesce("part", "node").alias("part"), "sim"))
-    mixed = named.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("bucket")
-    named = stored(named.join(mixed, "bucket", "left_semi"), "dup-mixed")
-    other = named.select("bucket", F.col("node").alias("b"), F.col("part").alias("part_b"), F.col("sim").alias("sim_b"))
-    rest = named.withColumnRenamed("node", "a").join(other, "bucket").where(
-        (F.col("part") < F.col("part_b")) & (F.abs(F.col("sim") - F.col("sim_b")) <= 1 - threshold + 1e-9)).select("a", "b").distinct()
-    more = stored(_compare(rest, texts, size).where(F.col("sim") >= threshold).select("a", "b"), "dup-rest")
+    # members of one bucket in different components
+    signs = keys.dropDuplicates(["node"]).select("node", "signature", "weight")
+    named = (shared.join(parts.withColumnRenamed("id", "node"), "node", "left")
+             .select("bucket", "band", "node", F.coalesce("part", "node").alias("part")).join(signs, "node"))
+    mixed = named.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("weight") / BLOCK_WEIGHT)).cast("int").alias("blocks")).where("x != y")
+    mixed = stored(mixed.select("bucket", "blocks"), "dup-mixed")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    cells = (named.join(mixed, "bucket").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "node",
+                     F.xxhash64("part").alias("part"), "block", (F.col("block") == F.col("other")).cast("int").alias("one"), "band", "signature"))
+
+    def in_cells(rows_: DataFrame, schema: str, exact: bool) -> DataFrame:
+        return rows_.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells(threshold, bands, rows, size, exact), schema)
+
+    likely = stored(in_cells(cells, _CELL, False), "dup-likely")
+    more = stored(in_cells(likely.join(texts, "node").select("cell", "node", "part", "block", "one", "band", "signature", "text")
+                           .dropDuplicates(["cell", "node"]), "a binary, b binary", True), "dup-rest")
     if not more.isEmpty():
-        found = found.unionByName(more)
-        parts = components(found)
-    found = found.distinct()
-    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    nodes = one.join(parts.withColumnRenamed("id", "node"), "node", "left").join(ends, "node", "left").select(
-        "node", F.coalesce("part", "node").alias("part"), F.coalesce("links", F.lit(0)).alias("links"), "first", "copies")
+        parts = components(found.unionByName(more))
+    nodes = one.join(parts.withColumnRenamed("id", "node"), "node", "left").select(
+        "node", F.coalesce("part", "node").alias("part"), "first", "copies")
     nodes = stored(nodes, "dup-nodes")
     sizes = nodes.groupBy("part").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = nodes.join(sizes, "part").select("node", "part", "class_id", "class_size", "links")
-    return members.join(named, "node").select("doc_id", "node", "part", "class_id", "class_size", "links")
+    named = nodes.join(sizes, "part").select("node", "part", "class_id", "class_size")
+    return members.join(named, "node").select("doc_id", "node", "part", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:

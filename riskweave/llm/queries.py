@@ -23,7 +23,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op02_neardup.classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "links")
+    return op02_neardup.classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,13 +15,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SCRATCH: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="riskweave-llm-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        if app not in _SCRATCH:
+            _SCRATCH[app] = "file://" + tempfile.mkdtemp(prefix="riskweave-llm-")
+        path = _SCRATCH[app]
     return path.rstrip("/")
 
 
