@@ -20,6 +20,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,24 +44,31 @@ def _grams(word: str, n: int) -> list[str]:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of words and n-grams; flushed when they get many, summed up by Spark."""
+    """Partial counts of words and n-grams; flushed when words get many, summed up by Spark."""
     held: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
-        rows = [(lang, size, piece, n) for (lang, size, piece), n in held.items()]
+        rows = []
+        for lang in {k[0] for k in held}:
+            own = {w: n for (x, w), n in held.items() if x == lang}
+            rows += [(lang, 0, w, n) for w, n in own.items()]
+            for size in range(1, LONGEST + 1):
+                counts: Counter = Counter(chain.from_iterable(_grams(w, size) for w in own))
+                for word, n in own.items():
+                    if n > 1:
+                        for gram in _grams(word, size):
+                            counts[gram] += n - 1
+                rows += [(lang, size, gram, n) for gram, n in counts.items()]
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in
                                            enumerate((pa.string(), pa.int32(), pa.string(), pa.int64()))],
                                           ["lang", "size", "piece", "n"])
 
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            for word, n in Counter(_WORD.findall((text or "").lower())).items():
-                held[lang, 0, word[:64], ] += n
-                for size in range(1, LONGEST + 1):
-                    for gram in _grams(word[:64], size):
-                        held[lang, size, gram] += n
-            if len(held) > 200_000:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+            for word, n in Counter(_WORD.findall((text.as_py() or "").lower())).items():
+                held[lang, word[:64]] += n
+            if len(held) > 50_000:
                 yield flush()
     if held:
         yield flush()
@@ -77,31 +85,34 @@ class Model:
         for lang, size, piece, n in rows:
             raw[size].setdefault(piece, np.zeros(len(langs)))[at[lang]] += n
             totals[size, at[lang]] += n
-        self.tables = [{p: np.log((c + 0.5) / (totals[s] + 0.5 * (len(t) + 1))) for p, c in t.items()}
-                       for s, t in enumerate(raw)]
+        #: All known pieces are rows of one matrix; ``tables[size]`` has the row of each piece.
+        self.tables: list[dict[str, int]] = []
+        logs = [np.zeros((1, len(langs)))]
+        for size, table in enumerate(raw):
+            first = sum(map(len, logs))
+            self.tables.append({p: first + i for i, p in enumerate(table)})
+            if table:
+                logs.append(np.log((np.array(list(table.values())) + 0.5) / (totals[size] + 0.5 * (len(table) + 1))[:len(langs)]))
+        self.logs = np.concatenate(logs)
 
     def of_word(self, word: str) -> np.ndarray:
         known = self.tables[0].get(word)
-        return known if known is not None else self._back_off(word)
+        return self.logs[known] if known is not None else self._back_off(word)
 
     def _back_off(self, word: str) -> np.ndarray:
-        total, pending = np.zeros(len(self.langs)), [word[:64]]
+        """The mean over the pieces of each length, longest first; pieces of a length that are not known are
+        cut into pieces of the next."""
+        rows, shares, pending = [], [], [f" {word[:64]} "]
         for size in range(LONGEST, 0, -1):
-            table, unseen, found, tried = self.tables[size], [], np.zeros(len(self.langs)), 0
-            for piece in pending:
-                for gram in (_grams(piece, size) if size == LONGEST else
-                             [piece[i:i + size] for i in range(max(1, len(piece) - size + 1))]):
-                    tried += 1
-                    known = table.get(gram)
-                    if known is None:
-                        unseen.append(gram)
-                    else:
-                        found += known
-            total += found / max(1, tried)
-            pending = list(dict.fromkeys(unseen))
+            table = self.tables[size]
+            grams = [p[i:i + size] for p in pending for i in range(max(1, len(p) - size + 1))]
+            found = [table[g] for g in grams if g in table]
+            rows += found
+            shares += [1.0 / len(grams)] * len(found)
+            pending = list(dict.fromkeys(g for g in grams if g not in table))
             if not pending:
                 break
-        return total
+        return np.array(shares) @ self.logs[rows] if rows else np.zeros(len(self.langs))
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order_by: Column | None = None,
@@ -126,23 +137,40 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order_by: Colum
     return Model(sorted({r[0] for r in got}), sorted(got))
 
 
-def predict(model: Model, text: str | None, cache: dict[str, np.ndarray]) -> tuple[str, float]:
-    """(language, score); the score is the posterior at an evidence of at most 20 words, so it says
-    how clear the case is and does not saturate with length."""
-    counts = Counter(_WORD.findall((text or "").lower()))
-    if not counts or not model.langs:
-        return UNKNOWN, 0.0
-    total = np.zeros(len(model.langs))
-    for word, n in counts.items():
-        known = cache.get(word)
-        if known is None:
-            if len(cache) > 200_000:
-                cache.clear()
-            known = cache[word] = model.of_word(word)
-        total += n * known
-    words = sum(counts.values())
-    scaled = (total - total.max()) * (min(words, 20) / words)
-    return model.langs[int(np.argmax(total))], float(1.0 / np.exp(scaled).sum())
+class Scorer:
+    """Scores texts; keeps the scores of the words met so far as rows of one matrix, up to a bound."""
+
+    def __init__(self, model: Model, most: int = 300_000):
+        self.model, self.most = model, most
+        self.place: dict[str, int] = {}
+        self.rows = np.zeros((1024, max(1, len(model.langs))))
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.place) + len(new) > self.most:
+            self.place.clear()
+        need = len(self.place) + len(new)
+        if need > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((need, self.rows.shape[1]))])
+        for word in new:
+            self.rows[len(self.place)] = self.model.of_word(word)
+            self.place[word] = len(self.place)
+
+    def __call__(self, text: str | None) -> tuple[str, float]:
+        """(language, score); the score is the posterior at an evidence of at most 20 words, so it says
+        how clear the case is and does not saturate with length."""
+        found, langs = _WORD.findall((text or "").lower()), self.model.langs
+        if not found or not langs:
+            return UNKNOWN, 0.0
+        try:
+            at = [self.place[w] for w in found]
+        except KeyError:
+            different = set(found)
+            new = {w for w in different if w not in self.place}
+            self._learn(different if len(self.place) + len(new) > self.most else new)
+            at = [self.place[w] for w in found]
+        total = self.rows[np.array(at)].sum(axis=0)
+        scaled = (total - total.max()) * (min(len(found), 20) / len(found))
+        return langs[int(np.argmax(total))], float(1.0 / np.exp(scaled).sum())
 
 
 def tag(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -154,9 +182,9 @@ def tag(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
     schema = f"{schema + ', ' if schema else ''}lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted, cache = sent.value, {}
+        score = Scorer(sent.value)
         for batch in batches:
-            out = [predict(fitted, t.as_py(), cache) for t in batch.column(batch.num_columns - 1)]
+            out = [score(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())],

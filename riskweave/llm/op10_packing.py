@@ -35,7 +35,7 @@ CAPACITY = 4096
 ITEM = 512
 SLACK = 6
 BATCH_TOKENS = 128 * CAPACITY
-_CHUNK = 200_000
+_CHUNK = 600_000
 
 
 def karmarkar_karp(sizes: list[int], k: int) -> list[list[int]]:
@@ -124,14 +124,23 @@ class Encoder:
         self.tok.encode_special_tokens = True
         self.known: dict[str, list[int]] = {"": []}
 
+    def _learn(self, new: list[str]) -> None:
+        """Encode many words in one go and tell their ids apart by where the tokens start."""
+        starts = np.cumsum([0] + [len(w) + 1 for w in new[:-1]])
+        got = self.tok.encode(" ".join(new), add_special_tokens=False)
+        ids, place = got.ids, np.fromiter((a for a, _ in got.offsets), dtype=np.int64, count=len(got.ids))
+        edges = np.append(np.searchsorted(place, starts), len(ids)).tolist()
+        for word, a, b in zip(new, edges[:-1], edges[1:]):
+            self.known[word] = ids[a:b]
+
     def __call__(self, texts: list[str], end: int) -> list[np.ndarray]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         new = list({w for ws in split for w in ws if w not in self.known})
         if len(self.known) + len(new) > _CHUNK:
             self.known = {"": []}
             new = list({w for ws in split for w in ws if w})
-        for word, got in zip(new, self.tok.encode_batch(new, add_special_tokens=False)):
-            self.known[word] = got.ids
+        for a in range(0, len(new), 1024):
+            self._learn(new[a:a + 1024])
         known, out = self.known, []
         for ws in split:
             ids: list[int] = []
