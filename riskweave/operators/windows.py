@@ -68,6 +68,17 @@ def between_days(df: DataFrame, ts_col: str, first: _dt.date, last: _dt.date) ->
     return (F.col(ts_col) >= day_start(df, ts_col, first)) & (F.col(ts_col) < day_end_exclusive(df, ts_col, last))
 
 
+def normalised(df: DataFrame) -> DataFrame:
+    """Missing values in one form before any statistic: NaN feature values become NULL (Spark would rank
+    and average NaN), rows without an entity go."""
+    kinds, out = dict(df.dtypes), df
+    if "entity_id" in kinds:
+        out = out.where(F.col("entity_id").isNotNull())
+    if kinds.get("feature_value") in ("double", "float"):
+        out = out.withColumn("feature_value", F.when(~F.isnan("feature_value"), F.col("feature_value")))
+    return out
+
+
 def target_window(df: DataFrame, targets, lookback_days: int, ts_col: str = "timestamp",
                   feature_ids: list[str] | None = None) -> DataFrame:
     """Rows whose day lies in the closed window [D - lookback_days, D] of each target date D.
@@ -77,7 +88,7 @@ def target_window(df: DataFrame, targets, lookback_days: int, ts_col: str = "tim
     """
     span = as_span(targets)
     n = int(lookback_days)
-    out = df
+    out = normalised(df)
     if feature_ids is not None:
         out = out.where(F.col("feature_id").isin(list(feature_ids)))
     out = out.where(between_days(out, ts_col, span.start - _dt.timedelta(days=n), span.end))
@@ -122,7 +133,7 @@ def asof_latest(df: DataFrame, keys: list[str], targets, value_cols: list[str],
     is exploded only to the target dates inside that interval: the fan-out equals the output size.
     Rows before the span keep only the last one per key as the carry-in."""
     span = as_span(targets)
-    rows = df.where(F.col(ts_col) < day_end_exclusive(df, ts_col, span.end))
+    rows = normalised(df.where(F.col(ts_col) < day_end_exclusive(df, ts_col, span.end)))
     for c in value_cols:
         rows = rows.where(F.col(c).isNotNull())
     rows = rows.withColumn("_day", F.to_date(ts_col))

@@ -59,7 +59,7 @@ FROM daily d LEFT JOIN prior p ON d.entity_id = p.entity_id
 """
 
 
-# fixed values: the daily input window per category (days relative to D); other categories read D itself
+# fixed values: the daily input window per category (days relative to D); other categories read D-1
 CATEGORY_INPUT_DAY_OFFSET = {"work": 0, "bio": -1}
 
 
@@ -70,10 +70,11 @@ def render_cumulative_day(spark: SparkSession, daily: DataFrame, store: DataFram
     arguments and DataFrame references) and the 'now' of the template pinned to D 23:59:59 -- no
     string splicing, no wall clock.
 
-    P5: the daily input is read from the category's window -- work ``[D, D+1)``, bio ``[D-1, D)``.
+    P5: the daily input is read from the category's window -- work ``[D, D+1)``, bio and unlisted categories
+    ``[D-1, D)``; without a category D itself.
     P6: an optional registry predicate (trusted registry text) is applied to the daily input as a
     DataFrame filter before the template, so it is analysed as an expression, never spliced into SQL."""
-    input_day = as_of + _dt.timedelta(days=CATEGORY_INPUT_DAY_OFFSET.get(category or "", 0))
+    input_day = as_of + _dt.timedelta(days=0 if category is None else CATEGORY_INPUT_DAY_OFFSET.get(category, -1))
     if filter_condition:
         daily = daily.where(F.expr(filter_condition))
     return spark.sql(CUMULATIVE_DAY_SQL, args={"daily_id": daily_id, "cumulative_id": cumulative_id, "as_of": as_of,

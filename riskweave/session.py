@@ -28,15 +28,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+#: Scratch folders of local sessions by application.
+_SCRATCH: dict[str, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared (distributed) folder and is always respected. Only when
-    it is unset -- local tests -- a fresh scratch folder is created.
+    it is unset -- local tests -- a fresh scratch folder is created; any other master without it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="riskweave-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = _SCRATCH.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="riskweave-ckpt-")
+        _SCRATCH[spark.sparkContext.applicationId] = path
     spark.sparkContext.setCheckpointDir(path)
     return path

@@ -19,16 +19,20 @@ STATUS_JSON_SCHEMA = ("task_key string, category string, status string, error st
 def write_status_records(records: DataFrame, path: str, corrupt: Column | None = None) -> None:
     """One JSON object per (run, dag, task); ``corrupt`` marks records written truncated (to exercise
     the reader's tolerance)."""
+    def optional(name: str, kind: str):
+        return (F.col(name) if name in records.columns else F.lit(None)).cast(kind).alias(name)
+
     payload = F.to_json(F.struct(
-        "task_key", "category", "status", "error", F.lit(None).cast("string").alias("error_type"), "traceback", "cadence",
-        F.lit(None).cast("string").alias("log_url"), F.lit(None).cast("int").alias("try_number"),
+        "task_key", "category", "status", "error", optional("error_type", "string"), "traceback", "cadence",
+        optional("log_url", "string"), optional("try_number", "int"),
         F.date_format("written_at", "yyyy-MM-dd'T'HH:mm:ss").alias("written_at")))
     if corrupt is not None:
         payload = F.when(corrupt, F.substring(payload, 1, 25)).otherwise(payload)
     out = records.select(sanitize_run_id("run_id").alias("run_id"), "dag_id", payload.alias("value"))
     # cluster by the folder keys first: one writer (one file) per run/DAG folder instead of one per
     # task and folder
-    out.repartition("run_id", "dag_id").write.mode("overwrite").partitionBy("run_id", "dag_id").text(path)
+    # only the folders of the written runs are replaced; those of other runs stay
+    out.repartition("run_id", "dag_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "dag_id").text(path)
 
 
 def read_layer_status(spark: SparkSession, path: str) -> DataFrame:
