@@ -24,7 +24,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -115,68 +114,59 @@ def pack(lengths: list[int], capacity: int = CAPACITY, item: int = ITEM) -> list
     return out
 
 
-class Encoder:
+class Encoder(dict):
     """Ids of texts. A text is encoded word by word at blanks and line ends, where this vocabulary never
-    joins tokens, and the ids of words are remembered as bytes, up to a bound.
+    joins tokens, and the ids of words are remembered as bytes (the items of this dict), up to a bound.
 
-    A new word of printable ASCII is cut by the tokenizer's own pre-tokenizer pattern, and its pieces go to
-    the tokenizer's model, once for each different piece. All other words go through the whole tokenizer, as
-    do all words if the file has another normalizer or pre-tokenizer than lower case, one pattern and bytes."""
+    A new word passes the tokenizer's own steps: normalizer, pre-tokenizer, and once for each different piece
+    the model. For a word of printable ASCII the first two are lower case and the pre-tokenizer's pattern, if
+    the file has these steps."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.model = self.tok.model
-        self.known: dict[str, bytes] = {"": b""}
+        super().__init__({"": b""})
+        tok = Tokenizer.from_file(path)
+        self.model, self.normalizer, self.pre_tokenizer = tok.model, tok.normalizer, tok.pre_tokenizer
         self.pieces: dict[str, bytes] = {}
-        self.cut = self._ascii_pattern()
-
-    def _ascii_pattern(self):
-        """The pattern of the pre-tokenizer with its classes as they are in ASCII, None for other files."""
-        made = json.loads(self.tok.to_str())
-        lower = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
-        steps = (made["pre_tokenizer"] or {}).get("pretokenizers", [])
-        if not lower or [x["type"] for x in steps] != ["Split", "ByteLevel"]:
-            return None
-        split, as_bytes = steps
-        if (split["behavior"], split["invert"], as_bytes["add_prefix_space"], as_bytes["use_regex"]) != ("Removed", True, False, False):
-            return None
-        return re.compile(split["pattern"]["Regex"].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9"))
+        self.cut = _ascii_pattern(json.loads(tok.to_str()))
 
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            got = self.pieces[piece] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(piece))
+            got = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(piece)], dtype="<u4").tobytes()
         return got
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode many words in one go and tell their ids apart by where the tokens start."""
-        starts = np.cumsum([0] + [len(w) + 1 for w in new[:-1]])
-        got = self.tok.encode(" ".join(new), add_special_tokens=False)
-        ids, place = np.array(got.ids, dtype="<u4"), np.fromiter((a for a, _ in got.offsets), dtype=np.int64, count=len(got.ids))
-        edges = np.append(np.searchsorted(place, starts), len(ids)).tolist()
-        for word, a, b in zip(new, edges[:-1], edges[1:]):
-            self.known[word] = ids[a:b].tobytes()
+    def __missing__(self, word: str) -> bytes:
+        if self.cut is not None and word.isascii() and word.isprintable():
+            pieces = self.cut.findall(word.lower())
+        else:
+            pieces = [p for p, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(word))]
+        got = self[word] = b"".join(map(self._piece, pieces))
+        return got
 
     def __call__(self, texts: list[str], end: int) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set(chain.from_iterable(split))
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > _CHUNK:
-            self.known, self.pieces = {"": b""}, {}
-            new = words - {""}
-        other, last = [], end.to_bytes(4, "little")
-        for w in new:
-            if self.cut is not None and w.isascii() and w.isprintable():
-                self.known[w] = b"".join(map(self._piece, self.cut.findall(w.lower())))
-            else:
-                other.append(w)
-        for a in range(0, len(other), 1024):
-            self._learn(other[a:a + 1024])
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, ws)) + last, dtype="<u4") for ws in split]
+        out, last = [], end.to_bytes(4, "little")
+        for text in texts:
+            if len(self) > _CHUNK:
+                self.clear()
+                self.pieces.clear()
+                self[""] = b""
+            out.append(np.frombuffer(b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) + last, dtype="<u4"))
+        return out
+
+
+def _ascii_pattern(made: dict):
+    """The pattern of the pre-tokenizer with its classes as they are in ASCII; None for a file of other steps."""
+    lower = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+    steps = (made["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if not lower or [x["type"] for x in steps] != ["Split", "ByteLevel"]:
+        return None
+    split, as_bytes = steps
+    if (split["behavior"], split["invert"], as_bytes["add_prefix_space"], as_bytes["use_regex"]) != ("Removed", True, False, False):
+        return None
+    return re.compile(split["pattern"]["Regex"].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9"))
 
 
 def sequences(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 2,
