@@ -159,7 +159,7 @@ class Scorer:
         """(language, score); the score is the posterior at an evidence of at most 20 words, so it says
         how clear the case is and does not saturate with length."""
         found, langs = _WORD.findall((text or "").lower()), self.model.langs
-        if not found or not langs:
+        if not langs or not any(c.isalpha() for w in found for c in w):     # _WORD also takes signs like ½
             return UNKNOWN, 0.0
         try:
             at = [self.place[w] for w in found]

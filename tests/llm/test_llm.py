@@ -213,9 +213,9 @@ def test_language(spark):
     made = [(i, " ".join(RNG.choice(words[k]) for _ in range(20)), k) for i in range(40) for k in words]
     table = spark.createDataFrame(made, "doc_id long, text string, lang string")
     model = op05_langid.fit(table)
-    asked = spark.createDataFrame([(0, "gamma beta", "yy"), (1, "cuatros dose", None), (2, None, "xx"), (3, "12 !?", "xx"), (4, "", "yy")], table.schema)
+    asked = spark.createDataFrame([(0, "gamma beta", "yy"), (1, "cuatros dose", None), (2, None, "xx"), (3, "12 !?", "xx"), (4, "", "yy"), (5, "½ ²", "yy")], table.schema)
     got = {r.doc_id: (r.lang_pred, r.score) for r in op05_langid.tag(asked, model, keep=("doc_id",)).collect()}
-    assert [got[i][0] for i in range(5)] == ["xx", "yy", "und", "und", "und"] and 0.5 < got[0][1] <= 1
+    assert [got[i][0] for i in range(6)] == ["xx", "yy", "und", "und", "und", "und"] and 0.5 < got[0][1] <= 1
 
 
 def test_top_k(spark):
