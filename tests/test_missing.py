@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from riskweave.operators.instance import exponential_decay_scoring, rank_scoring, wilson_fraud_scoring
 from riskweave.operators.windows import normalised, target_window
 
 
@@ -17,6 +18,21 @@ def test_normalised_and_window(spark):
     assert {r.entity_id: r.feature_value for r in seen.collect()} == got
 
 
+def test_sums_of_missing_values_are_zero(spark):
+    day = dt.date(2024, 1, 30)
+    rows = [("a", "up", None), ("a", "n", 10.0), ("b", "up", 4.0), ("b", "n", 10.0)]
+    fv = spark.createDataFrame(rows, "entity_id string, feature_id string, feature_value double").withColumn(
+        "timestamp", F.lit(dt.datetime(2024, 1, 30, 5)).cast("timestamp_ntz"))
+
+    def scores(df):
+        return {r.entity_id: r.score for r in df.collect()}
+
+    wilson = scores(wilson_fraud_scoring(fv, "up", "n", day))
+    assert abs(wilson["a"]) < 1e-12 and wilson["b"] > 0.1
+    assert scores(exponential_decay_scoring(fv, "up", day, 30)) == {"a": 0.0, "b": 1.0}
+    assert scores(rank_scoring(fv, "up", day, require_aggregation=True)) == {"a": 0.0, "b": 1.0}
+
+
 def test_two_status_runs_survive(spark, tmp_path):
     from riskweave.sources.status import read_layer_status, write_status_records
 
