@@ -35,3 +35,7 @@ MISSING_SENTINELS = ["None", "Unknown"]     # organisation-type fields treated a
 FEATURE_ID_VERSION_SEP = "_v"               # feature_id = feature_name || '_v' || version
 ENTITY_LAT_RANGE = (-90.0, 90.0)
 ENTITY_LON_RANGE = (-180.0, 180.0)
+DMS_PATTERN = r"^(\d+)[°\s]+(\d+)['\s]+([\d.]+)[\"\s]*([NSEWnsew])"
+
+# --- fixed values: cumulative features -----------------------------------------------------------
+CATEGORY_INPUT_DAY_OFFSET = {"work": 0, "bio": -1}   # day of the daily input relative to D; others read D-1

@@ -109,17 +109,14 @@ def to_float(c, default: float | None = 0.0) -> Column:
     return v if default is None else F.coalesce(v, F.lit(float(default)))
 
 
-# deg, min, sec and hemisphere anchored at the start; then a plain float; else NULL
-_DMS = r"^(\d+)[°\s]+(\d+)['\s]+([\d.]+)[\"\s]*([NSEWnsew])"
-
-
 def dms_to_decimal(c) -> Column:
+    """Degrees, minutes, seconds and hemisphere at the start of the text; else a plain float; else NULL."""
     s = F.trim(col_of(c).cast("string"))
-    deg = F.regexp_extract(s, _DMS, 1)
+    deg = F.regexp_extract(s, K.DMS_PATTERN, 1)
     matched = deg != F.lit("")
-    dd = (deg.try_cast("double") + F.regexp_extract(s, _DMS, 2).try_cast("double") / F.lit(60.0)
-          + F.regexp_extract(s, _DMS, 3).try_cast("double") / F.lit(3600.0))
-    hemi = F.upper(F.regexp_extract(s, _DMS, 4))
+    dd = (deg.try_cast("double") + F.regexp_extract(s, K.DMS_PATTERN, 2).try_cast("double") / F.lit(60.0)
+          + F.regexp_extract(s, K.DMS_PATTERN, 3).try_cast("double") / F.lit(3600.0))
+    hemi = F.upper(F.regexp_extract(s, K.DMS_PATTERN, 4))
     signed = F.when(hemi.isin("S", "W"), -dd).otherwise(dd)
     plain = F.when(F.lower(s) == F.lit("nan"), F.lit(None).cast("double")).otherwise(s.try_cast("double"))
     return F.when(s.isNull() | (s == F.lit("")), F.lit(None).cast("double")).when(matched, signed).otherwise(plain)

@@ -16,22 +16,20 @@ from pyspark.sql import functions as F
 from riskweave import constants as K
 from riskweave.functions.columns import nan_to_null
 from riskweave.operators.windows import as_span, asof_latest
-from riskweave.sources.feature_values import load_feature_values_asof
 
 
 def _latest(scores: DataFrame, ids: list[str], as_of) -> tuple[DataFrame, list[str]]:
-    """Latest value per (entity, feature) as of one date, or as of every date of a ``DateSpan``
-    (then grouped by ``target_date`` as well)."""
+    """Latest value per (entity, feature) as of every date asked for, read the same way for one date and
+    for a ``DateSpan`` (then grouped by ``target_date`` as well)."""
     span = as_span(as_of)
-    if span.single:
-        return load_feature_values_asof(scores, ids, span.start), ["entity_id"]
     rows = scores.where(F.col("feature_id").isin(ids)).select("entity_id", "feature_id", "feature_value", "timestamp")
-    return asof_latest(rows, ["entity_id", "feature_id"], span, ["feature_value"]), ["target_date", "entity_id"]
+    latest = asof_latest(rows, ["entity_id", "feature_id"], span, ["feature_value"], tie_breaks=["feature_value"])
+    return latest, ["entity_id"] if span.single else ["target_date", "entity_id"]
 
 
 def _weights(risk_weightage: dict) -> dict[str, float]:
     if not risk_weightage:
-        raise ValueError("risk_weightage cannot be empty")
+        raise ValueError("no features to score: risk_weightage is empty")
     out = {}
     for k, v in risk_weightage.items():
         try:
@@ -54,7 +52,7 @@ def softmax_scoring(scores: DataFrame, as_of: _dt.date, risk_weightage: dict,
     k = float(kw.get("K", K_))
     alpha = float(softmax_weightage)
     if not 0 <= alpha <= 1:
-        raise ValueError("softmax_weightage must be between 0 and 1")
+        raise ValueError(f"softmax_weightage {alpha} is outside [0, 1]")
     total = sum(w.values())
     latest, g = _latest(scores, list(w), as_of)
     nw = _lookup({f: v / total for f, v in w.items()}, F.col("feature_id"))

@@ -37,7 +37,7 @@ def combine_features(fv: DataFrame, feature_ids, targets, period_in_days: float
         period_in_days = 1
     method = (agg_method or "SUM").upper()
     if method == "WEIGHTED_AVERAGE" and weights is None:
-        raise ValueError("weights must be provided when agg_method is weighted_average")
+        raise ValueError("agg_method 'weighted_average' needs weights")
     if method not in ("SUM", "AVERAGE", "MAX", "MIN", "WEIGHTED_AVERAGE"):
         raise NotImplementedError(f"unsupported aggregation method: {agg_method}")
     ids = [feature_ids] if isinstance(feature_ids, str) else list(feature_ids)

@@ -20,14 +20,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave import constants as K
+from riskweave.operators.windows import latest_per_key
 
 
 def upsert(target: DataFrame, source: DataFrame, key: str, policies: dict, now, touch: str = "source",
-           touch_col: str = "updated_at", insert: bool = True) -> DataFrame:
-    """``touch``: 'source' -> ``now`` for every key in the source; 'missing' -> ``now`` only for new
+           touch_col: str = "updated_at", insert: bool = True, source_order: list[str] | None = None) -> DataFrame:
+    """Several source rows of one key count as one: the largest by ``source_order`` (e.g. the time of change),
+    then by the other columns in their order, so no key multiplies a master row.
+
+    ``touch``: 'source' -> ``now`` for every key in the source; 'missing' -> ``now`` only for new
     keys and for keys where some fill column was missing; 'never'."""
     now_col = now if isinstance(now, Column) else F.lit(now)
     scols = [c for c in source.columns if c != key]
+    order = list(source_order or [])
+    source = latest_per_key(source, [key], order, scols) if scols else source.select(key).distinct()
     s = source.select(F.col(key), *[F.col(c).alias(f"_s_{c}") for c in scols], F.lit(True).alias("_in_s"))
     t = target.withColumn("_in_t", F.lit(True))
     j = t.join(s, key, "full_outer" if insert else "left")

@@ -1,5 +1,5 @@
 """Backfill writes: score rows in store shape (S7), slice replacement by dynamic partition
-overwrite (S8, idempotent), parameterised SQL rendering with bound arguments (S18) and multi-date
+overwrite (S8, idempotent), one day of a cumulative feature (S18) and multi-date
 scoring over a date span in one job.
 
 Tables are written under the shared folder named by ``spark.checkpoint.dir`` (tests) or any table
@@ -15,7 +15,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.functions.columns import r2
+from riskweave import constants as K
+from riskweave.functions.columns import r2, ts_literal
+from riskweave.operators.cumulative import cumulative_feature
+from riskweave.operators.windows import latest_per_key
 from riskweave.session import ensure_checkpoint_dir
 
 STORE_PARTITIONS = ["feature_id", "ds"]
@@ -36,8 +39,9 @@ def score_rows(scores: DataFrame, feature_id: str, feature_name: str, feature_ve
 
 def replace_slices(rows: DataFrame, path: str) -> None:
     """Replace exactly the (feature_id, ds) partitions present in ``rows`` -- running it twice
-    equals running it once; other slices are untouched."""
-    (rows.repartition(*STORE_PARTITIONS).write.mode("overwrite")
+    equals running it once; other slices are untouched. Rows are brought together by slice, and AQE splits
+    a slice that is too large for one writer."""
+    (rows.hint("rebalance", *STORE_PARTITIONS).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy(*STORE_PARTITIONS).parquet(path))
 
 
@@ -46,40 +50,28 @@ def scratch_table_path(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
 
 
-CUMULATIVE_DAY_SQL = """
-WITH daily AS (
-  SELECT entity_id, max_by(feature_value, struct(`timestamp`, feature_value)) AS feature_value
-  FROM {daily} WHERE feature_id = :daily_id AND to_date(`timestamp`) = :input_day GROUP BY entity_id),
-prior AS (
-  SELECT entity_id, max_by(feature_value, struct(`timestamp`, feature_value)) AS feature_value
-  FROM {store} WHERE feature_id = :cumulative_id AND to_date(`timestamp`) < :as_of GROUP BY entity_id)
-SELECT d.entity_id, :cumulative_id AS feature_id, coalesce(p.feature_value, 0D) + d.feature_value AS feature_value,
-       make_timestamp_ntz(year(:as_of), month(:as_of), day(:as_of), 23, 59, 59) AS `timestamp`
-FROM daily d LEFT JOIN prior p ON d.entity_id = p.entity_id
-"""
-
-
-# fixed values: the daily input window per category (days relative to D); other categories read D-1
-CATEGORY_INPUT_DAY_OFFSET = {"work": 0, "bio": -1}
-
-
 def render_cumulative_day(spark: SparkSession, daily: DataFrame, store: DataFrame, daily_id: str,
                           cumulative_id: str, as_of: _dt.date, category: str | None = None,
                           filter_condition: str | None = None) -> DataFrame:
-    """The cumulative-feature insert-select for one day, with every parameter bound (named
-    arguments and DataFrame references) and the 'now' of the template pinned to D 23:59:59 -- no
-    string splicing, no wall clock.
+    """The rows to insert for a cumulative feature on day D, stamped D 23:59:59 (no wall clock): one
+    step of ``cumulative_feature`` with the stored history as its seed. Days are half-open ranges on the
+    raw timestamp, so they reach the scan; a NULL daily value counts as 0, as there.
 
     P5: the daily input is read from the category's window -- work ``[D, D+1)``, bio and unlisted categories
     ``[D-1, D)``; without a category D itself.
-    P6: an optional registry predicate (trusted registry text) is applied to the daily input as a
-    DataFrame filter before the template, so it is analysed as an expression, never spliced into SQL."""
-    input_day = as_of + _dt.timedelta(days=0 if category is None else CATEGORY_INPUT_DAY_OFFSET.get(category, -1))
+    P6: an optional registry predicate (trusted registry text) is a DataFrame filter on the daily input."""
+    input_day = as_of + _dt.timedelta(days=0 if category is None else K.CATEGORY_INPUT_DAY_OFFSET.get(category, -1))
     if filter_condition:
         daily = daily.where(F.expr(filter_condition))
-    return spark.sql(CUMULATIVE_DAY_SQL, args={"daily_id": daily_id, "cumulative_id": cumulative_id, "as_of": as_of,
-                                               "input_day": input_day},
-                     daily=daily, store=store)
+    # the history up to D, also where the input is of the day before
+    history = store.where((F.col("timestamp") < ts_literal(as_of, store.schema["timestamp"].dataType))
+                          & (F.col("feature_id") == F.lit(cumulative_id)))
+    seed = latest_per_key(history, ["entity_id"], ["timestamp"], ["feature_value"], tie_breaks=["feature_value"])
+    step = cumulative_feature(daily, daily_id, input_day, input_day)
+    return (step.join(seed.select("entity_id", F.col("feature_value").alias("_before")), "entity_id", "left")
+                .select("entity_id", F.lit(cumulative_id).alias("feature_id"),
+                        (F.coalesce("_before", F.lit(0.0)) + F.col("feature_value")).alias("feature_value"),
+                        F.lit(f"{as_of} 23:59:59").cast("timestamp_ntz").alias("timestamp")))
 
 
 def typed_params(parsed_rows) -> dict:
@@ -134,10 +126,14 @@ def backfill_from_registry(registry: DataFrame, feature_values: DataFrame, score
             fn = INSTANCE_METHODS[params.pop("scoring_method")]
             scored = fn(feature_values, targets=targets, **params)
             parts.append(score_rows(scored, fid, name, version, "score"))
-        elif "scoring_function" in params and score_store is not None:
+        elif "scoring_function" in params:
+            if score_store is None:
+                raise ValueError(f"{fid} combines scores, but no score store was given")
             fn = CATEGORY_METHODS[params.pop("scoring_function")]
             scored = fn(score_store, targets, **params)
             parts.append(score_rows(scored, fid, name, version, "risk_value"))
+        else:
+            raise ValueError(f"{fid} names neither a scoring_method nor a scoring_function")
     if not parts:
         raise ValueError("no registry row names a known scoring method or function")
     out = parts[0]

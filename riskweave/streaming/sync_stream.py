@@ -1,15 +1,18 @@
 """Incremental M14: keep the newest-sync-per-entity state up to date with Structured Streaming.
 
-Both parts of the state are associative reductions, so every micro-batch folds its partial
-aggregates into the stored state exactly:
-
-* ``a_latest``   newest source-A row per entity  (max over (event_timestamp, tie-breaks, payload))
-* ``b_sessions`` per (entity, session) the column-wise max of source-B rows
-
-The final view = newest of (A row, blend of the entity's newest session). ``foreachBatch`` writes each
-new state version to ``<state>/v=<batch_id>`` (a replayed batch rewrites the same version, so a
-restart after an executor or driver loss is exactly-once), and the stream checkpoint lives in the
-shared folder. State size follows the number of entities and sessions, not the number of events.
+Both parts of the state are associative reductions by day, so every micro-batch folds its partial
+aggregates into the stored state exactly, and the window of an as-of date is applied when the state is
+read (a later as-of date sees exactly what the batch job would):
+
+* ``a_latest``   newest source-A row per (entity, day)  (max over (event_timestamp, tie-breaks, payload))
+* ``b_sessions`` per (entity, session, day) the column-wise max of source-B rows
+
+The view = newest of (A row, blend of the entity's newest session) over the days of the window.
+``foreachBatch`` writes each new state version to ``<state>/<part>/v=<batch_id>`` (a replayed batch
+rewrites the same version, so a restart after an executor or driver loss is exactly-once), and the stream
+checkpoint lives in the shared folder. The version read is the last one the checkpoint has committed, so a
+restart without new files returns the view as it was; before the first file the view is empty. State size
+follows the number of entities and sessions by day, not the number of events.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskweave.operators.master import SYNC_COLUMNS, _since
+from riskweave.operators.master import SYNC_COLUMNS
 from riskweave.operators.windows import latest_per_key
 from riskweave.sources.derived import activity_a, activity_b
 
@@ -34,41 +37,58 @@ A_TIES = ["client_type", "machine_code", "district", "latitude", "longitude"]
 B_COLS = ["district", "pincode", "state", "latitude", "longitude", "machine_code", "event_timestamp"]
 
 
-def _a_partial(events: DataFrame, as_of, days) -> DataFrame:
-    a = activity_a(events)
-    a = a.where(_since(a, "event_timestamp", as_of, days)).withColumn("opt_id", F.upper("operator_id"))
-    return latest_per_key(a, ["opt_id"], ["event_timestamp"], SYNC_COLUMNS, tie_breaks=A_TIES)
+def _newest_a(df: DataFrame, *keys: str) -> DataFrame:
+    return latest_per_key(df, list(keys), ["event_timestamp"], SYNC_COLUMNS, tie_breaks=A_TIES)
 
 
-def _b_partial(events: DataFrame, as_of, days) -> DataFrame:
-    b = activity_b(events)
-    b = (b.where(_since(b, "event_timestamp", as_of, days)).withColumn("opt_id", F.upper("operator_id"))
-          .withColumnRenamed("station_machine_code", "machine_code"))
-    return b.groupBy("opt_id", "resident_sid").agg(*[F.max(c).alias(c) for c in B_COLS])
+def _blend_b(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.max(c).alias(c) for c in B_COLS])
 
 
 def _fold_a(df: DataFrame) -> DataFrame:
-    return latest_per_key(df, ["opt_id"], ["event_timestamp"], SYNC_COLUMNS, tie_breaks=A_TIES)
+    return _newest_a(df, "opt_id", "day")
 
 
 def _fold_b(df: DataFrame) -> DataFrame:
-    return df.groupBy("opt_id", "resident_sid").agg(*[F.max(c).alias(c) for c in B_COLS])
+    return _blend_b(df, "opt_id", "resident_sid", "day")
+
+
+def _by_day(activity: DataFrame) -> DataFrame:
+    return activity.withColumn("opt_id", F.upper("operator_id")).withColumn("day", F.to_date("event_timestamp"))
+
+
+def _a_partial(events: DataFrame) -> DataFrame:
+    return _fold_a(_by_day(activity_a(events)))
+
+
+def _b_partial(events: DataFrame) -> DataFrame:
+    return _fold_b(_by_day(activity_b(events)).withColumnRenamed("station_machine_code", "machine_code"))
+
+
+_PARTS = (("a_latest", _a_partial, _fold_a), ("b_sessions", _b_partial, _fold_b))
 
 
 def _version(state_dir: str, name: str, batch_id: int) -> str:
     return os.path.join(state_dir, name, f"v={batch_id}")
 
 
-def state_view(spark: SparkSession, state_dir: str, version: int, b_client_type: str = "UC") -> DataFrame:
-    """The M14 result from state version ``version`` (the last committed batch id)."""
-    a = spark.read.parquet(_version(state_dir, "a_latest", version))
-    b = spark.read.parquet(_version(state_dir, "b_sessions", version))
+def state_view(a: DataFrame, b: DataFrame, as_of: _dt.date, days: int, b_client_type: str = "UC") -> DataFrame:
+    """The M14 result over the days of the window from the two parts of the state."""
+    in_window = F.col("day") >= F.lit(as_of - _dt.timedelta(days=days))
+    a = _newest_a(a.where(in_window), "opt_id")
+    b = _blend_b(b.where(in_window), "opt_id", "resident_sid")
     newest = latest_per_key(b, ["opt_id"], ["event_timestamp"], ["resident_sid"], tie_breaks=["resident_sid"])
     uc = b.join(newest.select("opt_id", "resident_sid"), ["opt_id", "resident_sid"]).select(
         "opt_id", "district", "pincode", "state", "latitude", "longitude", "machine_code", "event_timestamp",
         F.lit(None).cast("string").alias("client_version"), F.lit(b_client_type).alias("client_type"))
     both = a.select("opt_id", *SYNC_COLUMNS).unionByName(uc)
-    return latest_per_key(both, ["opt_id"], ["event_timestamp"], SYNC_COLUMNS, tie_breaks=A_TIES)
+    return _newest_a(both, "opt_id")
+
+
+def last_committed(spark: SparkSession, checkpoint_dir: str) -> int | None:
+    """The last batch id in the stream's commit log (one small file a batch), None before the first."""
+    log = spark.read.format("binaryFile").load(os.path.join(checkpoint_dir, "commits"))
+    return log.agg(F.max(F.regexp_extract("path", r"/(\d+)$", 1).try_cast("long"))).first()[0]
 
 
 def run_sync_stream(spark: SparkSession, source_dir: str, state_dir: str, checkpoint_dir: str,
@@ -77,20 +97,22 @@ def run_sync_stream(spark: SparkSession, source_dir: str, state_dir: str, checkp
     stream = (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", glob)
                    .option("maxFilesPerTrigger", files_per_batch).parquet(source_dir))
 
-    last = []
-
     def fold(batch: DataFrame, batch_id: int) -> None:
         # batch ids are consecutive per checkpoint: version N = version N-1 folded with batch N
-        for name, partial, folder in (("a_latest", _a_partial, _fold_a), ("b_sessions", _b_partial, _fold_b)):
-            part = partial(batch, as_of, days)
+        batch.persist()                                   # both parts read it
+        for name, partial, folder in _PARTS:
+            part = partial(batch)
             if batch_id > 0:
                 part = part.unionByName(spark.read.parquet(_version(state_dir, name, batch_id - 1)))
             folder(part).write.mode("overwrite").parquet(_version(state_dir, name, batch_id))
-        last.append(batch_id)
+        batch.unpersist()
 
     q = (stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint_dir)
                .trigger(availableNow=True).start())
     q.awaitTermination()
-    if not last:
-        raise RuntimeError("the stream processed no batch")
-    return state_view(spark, state_dir, max(last))
+    version = last_committed(spark, checkpoint_dir)
+    if version is None:
+        parts = [partial(spark.createDataFrame([], EVENTS_SCHEMA)) for _, partial, _ in _PARTS]
+    else:
+        parts = [spark.read.parquet(_version(state_dir, name, version)) for name, _, _ in _PARTS]
+    return state_view(*parts, as_of, days)
