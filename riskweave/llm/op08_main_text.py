@@ -2,10 +2,14 @@
 
 Markup is stripped so that every block element becomes one line. Lines that belong to navigation,
 headers, footers, side bars, notices, adverts, forms, comment sections or code weigh nothing; of the
-rest, lines inside an ``article`` or ``main`` element alone weigh if the page has one. Text lengths are
-summed over a sliding window of ``WINDOW`` lines. A surge is a line where that sum rises over ``SURGE``
-after nothing, a dive is one where it falls back to nothing. The main text runs from the surge to the dive
-that enclose the most text, together with every further stretch of at least a tenth as much.
+rest, lines inside an ``article`` or ``main`` element alone weigh if the page has one.
+
+On a page without such an element the distribution of text decides. A line weighs its characters outside
+links (headings: all; a page of links only: all). Weights are summed over a sliding window of ``WINDOW``
+lines. The threshold is where Otsu's method parts the page's sums, on a log scale, into low and high, and
+``SURGE`` at most, so a long article does not raise it. A surge is where the sums reach the threshold, a dive
+where they fall below it. Lines at the ends of a stretch that weigh less than their share of the threshold
+are left out, unless they are paragraphs or headings beside its lines in the same parent. All stretches are kept.
 
 Rules: null or empty html, and a page with no text line, give an empty text; unclosed elements end with
 their parent; repeated pages are ordinary rows; other columns are not read.
@@ -16,6 +20,8 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from math import log
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +30,8 @@ from pyspark.sql import functions as F
 from riskweave.llm.shared import ship
 
 WINDOW = 3
-SURGE = 1
+#: The highest threshold: a window of lines of 80 characters.
+SURGE = WINDOW * 80
 #: Elements of the HTML standard, by what they do to the text.
 CODE = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "title")
 BOILERPLATE = ("nav", "header", "footer", "aside", "form", "dialog", "menu", "button", "head")
@@ -42,25 +49,48 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/
 _LABEL = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _CODE_END = {t: re.compile(rf"</{t}\s*[^>]*>", re.I) for t in CODE}
 _ROOTS = ("article", "main")
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+_PROSE = ("p", "blockquote", "pre", "li", *_HEADINGS)
+
+
+class Line(NamedTuple):
+    text: str
+    bad: bool           # is boilerplate
+    rooted: bool        # is inside article or main
+    linked: int         # characters inside links
+    tag: str            # the block element it is in, by name and number, and the number of the parent
+    own: int
+    parent: int
 
 
-def lines(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, is boilerplate, is inside article or main) of every block of the page in order."""
-    out: list[tuple[str, bool, bool]] = []
+def lines(page: str) -> list[Line]:
+    """Every block of the page in order."""
+    out: list[Line] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool]] = []      # open block elements and whether they are boilerplate
-    bad = roots = 0
+    links: list[str] = []
+    stack: list[tuple[str, bool, int]] = []      # open block elements, whether they are boilerplate, and their number
+    bad = roots = serial = 0
+    link = -1           # how many blocks were open where the open link began
+
+    def flat(texts: list[str]) -> str:
+        text = " ".join(html.unescape("".join(texts)).split())
+        texts.clear()
+        return text
 
     def close() -> None:
-        text = " ".join(html.unescape("".join(parts)).split())
-        parts.clear()
+        text, linked = flat(parts), len(flat(links)) if links else 0
         if text:
-            out.append((text, bad > 0, roots > 0))
+            tag, _, own = stack[-1] if stack else ("", False, 0)
+            out.append(Line(text, bad > 0, roots > 0, linked, tag, own, stack[-2][2] if len(stack) > 1 else 0))
 
     at, found = 0, _TOKEN.search(page)
     while found:
         parts.append(page[at:found.start()])
+        if link >= 0:
+            links.append(parts[-1])
         at, name = found.end(), (found[2] or "").lower()
+        if name == "a":
+            link = -1 if found[1] else len(stack)
         if name in CODE and not found[1]:
             if name == "title":
                 close()
@@ -71,10 +101,12 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
             if found[1]:
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
                 if depth is not None:
-                    for gone, was in stack[depth:]:
+                    for gone, was, _ in stack[depth:]:
                         bad -= was
                         roots -= gone in _ROOTS
                     del stack[depth:]
+                    if link > depth:
+                        link = -1
             elif name not in VOID and not found[3].rstrip().endswith("/"):
                 if name == "p" or name == "li" or name in ("td", "th", "tr", "dd", "dt", "option"):
                     if stack and stack[-1][0] == name:
@@ -85,30 +117,91 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
                     NAMES.search(a or b or c) for a, b, c in _LABEL.findall(found[3])) and not plain)
                 bad += is_bad
                 roots += name in _ROOTS
-                stack.append((name, is_bad))
+                serial += 1
+                stack.append((name, is_bad, serial))
         found = _TOKEN.search(page, at)
     parts.append(page[at:])
+    if link >= 0:
+        links.append(parts[-1])
     close()
     return out
 
 
+def threshold(sums: list[int], most: int = SURGE) -> int:
+    """The smallest of the high sums where the variance between low and high logarithms is largest, at most ``most``."""
+    some = sorted(x for x in sums if x > 0)
+    if not some:
+        return 1
+    logs = [log(x) for x in some]
+    total, below, best, at = sum(logs), 0.0, 0.0, 0
+    for k in range(1, len(some)):
+        below += logs[k - 1]
+        apart = k * (len(some) - k) * ((total - below) / (len(some) - k) - below / k) ** 2
+        if some[k] > some[k - 1] and apart > best:
+            best, at = apart, k
+    return min(some[at], most)
+
+
+def stretches(blocks: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """(first, last) of every stretch of text from a surge to a dive."""
+    weigh = [len(b.text) if b.tag in _HEADINGS else max(0, len(b.text) - b.linked) for b in blocks]
+    if not any(w for w, b in zip(weigh, blocks) if b.tag not in _HEADINGS):
+        weigh = [len(b.text) for b in blocks]
+    n = len(weigh)
+    sums = [sum(weigh[i:i + window]) for i in range(max(1, n - window + 1))]
+    least = threshold(sums, surge)
+    if min(sums) >= least and least < surge:       # a short text without a dive
+        return [(0, n - 1)]
+    out: list[tuple[int, int]] = []
+    i = 0
+    while i < len(sums):
+        j = i
+        while j < len(sums) and sums[j] >= least:
+            j += 1
+        if j == i:
+            i += 1
+            continue
+        a, b = i, min(n, j + window - 1) - 1
+        while weigh[a] * window < least:
+            a += 1
+        while weigh[b] * window < least:
+            b -= 1
+
+        def beside(k: int, edge: int) -> bool:
+            x, y = blocks[k], blocks[edge]
+            return weigh[k] > 0 and (x.own == y.own or x.tag in _PROSE and y.tag in _PROSE and x.parent == y.parent)
+
+        while a > 0 and beside(a - 1, a):
+            a -= 1
+        while b + 1 < n and beside(b + 1, b):
+            b += 1
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+        i = j
+    return out
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     blocks = lines(page or "")
-    rooted = any(r and not b for _, b, r in blocks)
-    weigh = [0 if b or (rooted and not r) else len(t) for t, b, r in blocks]
+    if not any(b.rooted and not b.bad for b in blocks):
+        blocks = [b for b in blocks if not b.bad]
+        return "\n".join(blocks[k].text for a, b in (stretches(blocks, window, surge) if blocks else []) for k in range(a, b + 1))
+    weigh = [0 if b.bad or not b.rooted else len(b.text) for b in blocks]
     n, runs, i = len(weigh), [], 0
     sums = [sum(weigh[i:i + window]) for i in range(n)]
     while i < n:
-        if sums[i] >= surge and weigh[i]:                # surge: text begins
+        if sums[i] and weigh[i]:
             j = i
-            while j + 1 < n and sums[j + 1] >= surge:    # dive: a whole window without text
+            while j + 1 < n and sums[j + 1]:
                 j += 1
             runs.append((sum(weigh[i:j + 1]), i, j))
             i = j + 1
         else:
             i += 1
     most = max((r[0] for r in runs), default=0)
-    return "\n".join(blocks[k][0] for total, a, b in runs if total * 10 >= most for k in range(a, b + 1) if weigh[k])
+    return "\n".join(blocks[k].text for total, a, b in runs if total * 10 >= most for k in range(a, b + 1) if weigh[k])
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

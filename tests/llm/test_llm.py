@@ -252,6 +252,23 @@ def test_main_text():
     assert op08_main_text.main_text(None) == op08_main_text.main_text("") == op08_main_text.main_text("<p> </p>") == ""
 
 
+def test_main_text_by_the_distribution_of_text():
+    """No article, no main, no listed name: menus, adverts and footers go by their little text, short paragraphs stay."""
+    long = ["A long paragraph of the story that goes on for a good while. " * n for n in (5, 9, 3, 40)]
+    menu = "".join(f"<div><a href='/{i}'>Section number {i}</a></div>" for i in range(8))
+    body = f"<h1>Title</h1><p>{long[0]}</p><p>{long[1]}</p><p>Short one.</p><p>{long[3]}</p><p>Closing words.</p>"
+    foot = "<table><tr><td>Buy shoes now</td></tr></table><div>All rights reserved</div><div>Imprint</div>" + menu
+    expected = "\n".join(["Title", long[0].strip(), long[1].strip(), "Short one.", long[3].strip(), "Closing words."])
+    page = f"<body><div class=top>{menu}<div>Buy hats now</div></div><div class=x>{body}</div><div class=y>{foot}</div></body>"
+    assert op08_main_text.main_text(page) == expected
+    flat = f"<body>{menu}<div>Buy hats now</div>" + "".join(f"<div>{x}</div>" for x in long) + foot
+    assert op08_main_text.main_text(flat) == "\n".join(x.strip() for x in long)
+    few = "".join(f"<div>{x}</div>" for x in ("Buy hats now", long[0], long[1], "All rights reserved"))
+    assert op08_main_text.main_text(few) == long[0].strip() + "\n" + long[1].strip()
+    assert op08_main_text.main_text("<div>One</div><div>Two words</div>") == "One\nTwo words"
+    assert op08_main_text.main_text(f"<ul>{menu}</ul>").count("Section") == 8
+
+
 def test_fingerprints(docs, rows):
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
     expected = collections.Counter()
