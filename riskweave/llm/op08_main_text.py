@@ -1,10 +1,10 @@
 """Main text of HTML pages by the distribution of text over lines.
 
 Markup is stripped so that every block element becomes one line. Lines that belong to navigation,
-headers, footers, side bars, notices, adverts, forms, comment sections or code weigh nothing; of the
-rest, lines inside an ``article`` or ``main`` element alone weigh if the page has one.
+headers, footers, side bars, notices, adverts, forms, comment sections or code are left out. Of the rest, if
+the page has an ``article`` or ``main`` element with text, all lines inside such elements are the main text.
 
-On a page without such an element the distribution of text decides. A line weighs its characters outside
+On a page without one the distribution of text over the lines that are left decides. A line weighs its characters outside
 links (headings: all; a page of links only: all). Weights are summed over a sliding window of ``WINDOW``
 lines. The threshold is where Otsu's method parts the page's sums, on a log scale, into low and high, and
 ``SURGE`` at most, so a long article does not raise it. A surge is where the sums reach the threshold, a dive
@@ -184,24 +184,11 @@ def stretches(blocks: list[Line], window: int = WINDOW, surge: int = SURGE) -> l
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    blocks = lines(page or "")
-    if not any(b.rooted and not b.bad for b in blocks):
-        blocks = [b for b in blocks if not b.bad]
-        return "\n".join(blocks[k].text for a, b in (stretches(blocks, window, surge) if blocks else []) for k in range(a, b + 1))
-    weigh = [0 if b.bad or not b.rooted else len(b.text) for b in blocks]
-    n, runs, i = len(weigh), [], 0
-    sums = [sum(weigh[i:i + window]) for i in range(n)]
-    while i < n:
-        if sums[i] and weigh[i]:
-            j = i
-            while j + 1 < n and sums[j + 1]:
-                j += 1
-            runs.append((sum(weigh[i:j + 1]), i, j))
-            i = j + 1
-        else:
-            i += 1
-    most = max((r[0] for r in runs), default=0)
-    return "\n".join(blocks[k].text for total, a, b in runs if total * 10 >= most for k in range(a, b + 1) if weigh[k])
+    blocks = [b for b in lines(page or "") if not b.bad]
+    inside = [b.text for b in blocks if b.rooted]
+    if inside or not blocks:
+        return "\n".join(inside)
+    return "\n".join(blocks[k].text for a, b in stretches(blocks, window, surge) for k in range(a, b + 1))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

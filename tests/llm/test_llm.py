@@ -269,6 +269,16 @@ def test_main_text_by_the_distribution_of_text():
     assert op08_main_text.main_text(f"<ul>{menu}</ul>").count("Section") == 8
 
 
+def test_main_text_keeps_short_ends_of_articles():
+    """Whatever the length of the article and the boilerplate between."""
+    aside = "<aside><p>One</p><p>Two</p><p>Three</p><p>Four</p></aside>"
+    for root in ("article", "main"):
+        page = f"<{root}><p>{'x' * 9000}</p>{aside}<p>{'y' * 60}</p>{aside}<p>z</p></{root}><div>Imprint</div>"
+        assert op08_main_text.main_text(page) == "\n".join(["x" * 9000, "y" * 60, "z"])
+    page = f"<div><p>{'x' * 9000}</p>{aside}<p>{'y' * 60}</p></div>" + "<div>Imprint</div>" * 5
+    assert op08_main_text.main_text(page) == "x" * 9000 + "\n" + "y" * 60
+
+
 def test_fingerprints(docs, rows):
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
     expected = collections.Counter()
