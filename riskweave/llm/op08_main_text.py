@@ -1,7 +1,8 @@
 """Main text of HTML pages by the distribution of text over lines.
 
 Markup is stripped so that every block element becomes one line. Lines that belong to navigation,
-headers, footers, side bars, notices, adverts, forms, comment sections or code are left out. Of the rest, if
+headers, footers, side bars, notices, adverts, forms, comment sections or code are left out, by tag, or by
+name where the named element does not hold most of the text (of article and main, if the page has one). Of the rest, if
 the page has an ``article`` or ``main`` element with text, all lines inside such elements are the main text.
 
 On a page without one the distribution of text over the lines that are left decides. A line weighs its characters outside
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from math import log
 from typing import NamedTuple
@@ -40,19 +42,23 @@ BLOCKS = ("address", "article", "aside", "blockquote", "body", "br", "caption",
           "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "summary",
           "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
-#: Words in class, id or role that name what is no article text.
-NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|popup|modal|newsletter|"
-                   r"subscribe|comments?|replies|disqus|sidebar|side|widget|related|recommend\w*|share|social|breadcrumbs?|"
-                   r"menu|nav\w*|pagination|pager|footer|header|masthead|toolbar|login|search|alert|disclaimer|complementary|"
-                   r"contentinfo|banner)(?:$|[\s_-])", re.I)
+#: Names in class, id or role of what is no article text; a name joined by - or _ counts if all its parts are listed.
+NAMES = re.compile(r"(?:(?:^|[_-])(?:ads?|advert[^\W_]*|banner|sponsor[^\W_]*|promo[^\W_]*|cookies?|consent|notices?|popup|modal|newsletter|"
+                   r"subscribe|comments?|replies|disqus|sidebar|side|widget|related|recommend[^\W_]*|share|social|breadcrumbs?|"
+                   r"menu|nav[^\W_]*|pagination|pager|footer|header|masthead|toolbar|login|search|alert|disclaimer|complementary|"
+                   r"contentinfo)(?=$|[_-]))+", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_LABEL = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_LABEL = re.compile(r"(?<![^\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _CODE_END = {t: re.compile(rf"</{t}\s*[^>]*>", re.I) for t in CODE}
 _ROOTS = ("article", "main")
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _PROSE = ("p", "blockquote", "pre", "li", *_HEADINGS)
 
 
+def _named(attributes: str) -> bool:
+    return any(NAMES.fullmatch(x) for a, b, c in _LABEL.findall(attributes) for x in (a or b or c).split())
+
+
 class Line(NamedTuple):
     text: str
     bad: bool           # is boilerplate
@@ -68,7 +74,9 @@ def lines(page: str) -> list[Line]:
     out: list[Line] = []
     parts: list[str] = []
     links: list[str] = []
-    stack: list[tuple[str, bool, int]] = []      # open block elements, whether they are boilerplate, and their number
+    stack: list[tuple[str, bool, int]] = []      # open block elements, whether they are boilerplate by tag, and their number
+    named: list[tuple[int, int]] = []            # depth and number of the open elements that are boilerplate by name
+    held: list[tuple[int, ...]] = []             # the numbers of these around each line
     bad = roots = serial = 0
     link = -1           # how many blocks were open where the open link began
 
@@ -80,6 +88,7 @@ def lines(page: str) -> list[Line]:
     def close() -> None:
         text, linked = flat(parts), len(flat(links)) if links else 0
         if text:
+            held.append(tuple(x for _, x in named))
             tag, _, own = stack[-1] if stack else ("", False, 0)
             out.append(Line(text, bad > 0, roots > 0, linked, tag, own, stack[-2][2] if len(stack) > 1 else 0))
 
@@ -105,26 +114,45 @@ def lines(page: str) -> list[Line]:
                         bad -= was
                         roots -= gone in _ROOTS
                     del stack[depth:]
+                    while named and named[-1][0] >= depth:
+                        named.pop()
                     if link > depth:
                         link = -1
             elif name not in VOID and not found[3].rstrip().endswith("/"):
                 if name == "p" or name == "li" or name in ("td", "th", "tr", "dd", "dt", "option"):
                     if stack and stack[-1][0] == name:
                         bad -= stack.pop()[1]
+                        if named and named[-1][0] >= len(stack):
+                            named.pop()
                 # a header inside an article is part of it; the page's own is not
                 plain = name == "header" and roots > 0
-                is_bad = (name in BOILERPLATE and not plain) or (name not in ("html", "body", *_ROOTS) and any(
-                    NAMES.search(a or b or c) for a, b, c in _LABEL.findall(found[3])) and not plain)
+                is_bad = name in BOILERPLATE and not plain
                 bad += is_bad
                 roots += name in _ROOTS
                 serial += 1
+                if name not in ("html", "body", *_ROOTS) and not plain and _named(found[3]):
+                    named.append((len(stack), serial))
                 stack.append((name, is_bad, serial))
         found = _TOKEN.search(page, at)
     parts.append(page[at:])
     if link >= 0:
         links.append(parts[-1])
     close()
-    return out
+    return _judged(out, held) if any(held) else out
+
+
+def _judged(out: list[Line], held: list[tuple[int, ...]]) -> list[Line]:
+    """Lines inside named elements are boilerplate, but for elements that hold most of the text in article and
+    main, or of the page if it has none: these are wrappers."""
+    rooted = any(b.rooted and not b.bad for b in out)
+    total, own = 0, Counter()
+    for line, numbers in zip(out, held):
+        if not line.bad and (line.rooted or not rooted):
+            total += len(line.text)
+            for x in numbers:
+                own[x] += len(line.text)
+    wraps = {x for x, n in own.items() if 2 * n > total}
+    return [b if b.bad or wraps.issuperset(numbers) else b._replace(bad=True) for b, numbers in zip(out, held)]
 
 
 def threshold(sums: list[int], most: int = SURGE) -> int:

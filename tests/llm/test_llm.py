@@ -279,6 +279,16 @@ def test_main_text_keeps_short_ends_of_articles():
     assert op08_main_text.main_text(page) == "x" * 9000 + "\n" + "y" * 60
 
 
+@pytest.mark.parametrize("name", ["page no-sidebar", "has-sidebar", "search-layout", "side-by-side", "sidebar", "search page"])
+def test_main_text_in_wrappers(name):
+    story = "".join(f"<p>{c * 300}</p>" for c in "abc")
+    expected = "\n".join(c * 300 for c in "abc")
+    named = "<div class='cookie-notice'>Accept</div><div class='x ads'>Buy</div><div id=comments><article>First!</article></div>"
+    assert op08_main_text.main_text(f"<div class='{name}'><article>{story}</article>{named}</div>") == expected
+    assert op08_main_text.main_text(f"<div id='{name}'>{story}</div><div class='ad'>{'d' * 300}</div>") == expected
+    assert op08_main_text.main_text(f"<div class=ad><p>Ad<p>Ad</div><div data-class=ad>{story}</div>") == expected
+
+
 def test_fingerprints(docs, rows):
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
     expected = collections.Counter()
