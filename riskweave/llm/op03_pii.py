@@ -4,8 +4,8 @@ Base: e-mail addresses, IP addresses, card numbers and phone numbers of fixed sh
 also the seeds of the bootstrap:
 
 1. the words before a seed form its lexical pattern;
-2. tokens that look like identifiers (``TOKEN``) but match no base shape are candidates, with the patterns
-   they stand in and the kinds their shape is open to;
+2. what has the loose shape of a kind (``LOOSE``) and overlaps no base match is a candidate for that kind, with
+   the patterns it stands in;
 3. the bipartite graph of patterns and instances is scored in ``ROUNDS`` rounds: a pattern's score is the
    share of trusted instances among all instances seen in it, an instance's is ``1 - prod(1 - score)``
    over its patterns; patterns with under ``MIN_SEEDS`` distinct seeds score nothing;
@@ -43,9 +43,21 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
 #: The longest run of digits joined by single blanks or hyphens, of 13 to 19 digits.
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: A run of identifier characters with a digit near its start.
-TOKEN = (r"(?<![A-Za-z0-9._@/+\[\]-])(?=[A-Za-z._@/+\[\]-]{0,16}+[0-9])[A-Za-z0-9._@/+\[\]-]{6,64}+"
-         r"(?![A-Za-z0-9._@/+\[\]-])")
+#: ``(at)``, ``[dot]`` and the like.
+_AT, _DOT = (rf"\x20?[\[({{<]\x20?(?i:{w})\x20?[\])}}>]\x20?" for w in ("at", "dot"))
+_HOST = "[A-Za-z0-9-]++"
+#: Seps of loose IP addresses: one mark, or a point or ``dot`` in brackets.
+_SEP = r"(?:[./-]|[\[(](?:\.|(?i:dot))[\])])"
+_CARD_GAP, _PHONE_GAP = r"[\x20./-]{0,3}", r"[\x20()./+-]{0,3}"
+#: The loose shapes of candidates. Cards and phones are the longest runs of digits with gaps, of as many digits as the kind has.
+LOOSE = {
+    "email": rf"(?<![{_LOCAL}@])[{_LOCAL}]++(?:(?:@|{_AT}){_HOST}(?:(?:\.|{_DOT}|\x20(?i:dot)\x20){_HOST})*+"
+             rf"|\x20(?i:at)\x20{_HOST}(?:(?:\.|{_DOT}|\x20(?i:dot)\x20){_HOST})++)(?!@)",
+    "ip": rf"(?<![A-Za-z0-9_@])(?<![0-9][./-])[0-9]{{1,3}}+(?:{_SEP}[0-9]{{1,3}}+){{3}}(?:[/:][0-9]++)?+(?![A-Za-z0-9_@]|[./-][0-9])",
+    "card": rf"(?<![A-Za-z0-9_@])(?<![0-9]{_CARD_GAP})[0-9](?:{_CARD_GAP}+[0-9]){{12,18}}+(?![A-Za-z_@]|{_CARD_GAP}[0-9])",
+    "phone": rf"(?<![A-Za-z0-9_@])(?<![0-9]{_PHONE_GAP})(?:\+?\((?=\+?[0-9]{{1,5}}\))\+?|\+)?+[0-9](?:{_PHONE_GAP}+[0-9]){{8,14}}+"
+             rf"(?![A-Za-z_@]|{_PHONE_GAP}[0-9])",
+}
 _STEP = 256
 
 
@@ -128,25 +140,20 @@ def _pattern(before: Column) -> Column:
     return F.when(F.size(parts) >= 2, F.concat_ws(" ", F.slice(parts, -2, 2)))
 
 
-def _open_to(hit: Column) -> Column:
-    """The kinds whose loose shape a candidate has."""
-    digits, rest = F.length(_digits(hit)), F.regexp_replace(hit, r"[0-9./\-]", "")
-    shapes = F.array(
-        F.when(hit.rlike(r"^[^@\[\]]+(?:@|\[at\])[^@\[\]]+$"), F.lit("email")),
-        F.when(hit.rlike(r"^[0-9]{1,3}[./-][0-9]{1,3}[./-][0-9]{1,3}[./-][0-9]{1,3}(?:[/:][0-9]+)?$"), F.lit("ip")),
-        F.when((rest == "") & digits.between(13, 19), F.lit("card")),
-        F.when(F.regexp_replace(rest, r"\+", "").eqNullSafe(F.lit("")) & digits.between(9, 15), F.lit("phone")))
-    return F.filter(shapes, lambda s: s.isNotNull())
+def _loose(kind: str, text: Column) -> Column:
+    """The candidates of a kind: (start, end, hit, before, kind)."""
+    present = text.rlike("@|(?i:at)") if kind == "email" else text.rlike("[0-9]")
+    found = F.coalesce(F.when(present, matches(text, LOOSE[kind])), F.array().cast(_MATCH))
+    return F.transform(found, lambda m: F.struct(m["start"], m["end"], m["hit"], m["before"], F.lit(kind).alias("kind")))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, th (hash of the text), the base matches by kind, and candidates."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = rows.select("doc_id", F.xxhash64("t").alias("th"), *[base(k, F.col("t")).alias(k) for k in KINDS],
-                       F.coalesce(F.when(F.col("t").rlike("[0-9]"), matches(F.col("t"), TOKEN)), F.array().cast(_MATCH)).alias("tokens"))
+                       F.concat(*[_loose(k, F.col("t")) for k in KINDS]).alias("loose"))
     taken = F.concat(*[F.col(k) for k in KINDS])
-    free = F.filter("tokens", lambda m: (F.length(_digits(m["hit"])) >= 5) & ~F.exists(
-        taken, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    free = F.filter("loose", lambda m: ~F.exists(taken, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     return rows.select("doc_id", "th", *KINDS, free.alias("free"))
 
 
@@ -157,7 +164,7 @@ def bootstrap(scanned: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEE
 
     seeds = scanned.select(F.explode(F.concat(*map(seeded, KINDS))).alias("s")).select("s.*")
     loose = scanned.select(F.explode("free").alias("m")).select(
-        F.explode(_open_to(F.col("m.hit"))).alias("kind"), _pattern(F.col("m.before")).alias("pattern"), F.col("m.hit").alias("hit"))
+        "m.kind", _pattern(F.col("m.before")).alias("pattern"), "m.hit")
     graph = (seeds.withColumn("seed", F.lit(1.0)).unionByName(loose.withColumn("seed", F.lit(0.0)))
              .where(F.col("pattern").isNotNull()).groupBy("kind", "pattern", "hit").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")))
     graph = stored(graph, "pii-graph")
@@ -177,7 +184,7 @@ def bootstrap(scanned: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEE
 def _extra(scanned: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, th, extra): the spans of discovered identifiers by document, each document once."""
     seen = scanned.where(F.size("free") > 0).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", F.explode("free").alias("m"))
-    seen = seen.select("doc_id", "th", F.explode(_open_to(F.col("m.hit"))).alias("kind"), F.col("m.hit").alias("hit"), "m.start", "m.end")
+    seen = seen.select("doc_id", "th", "m.kind", "m.hit", "m.start", "m.end")
     return (seen.join(found, ["kind", "hit"]).groupBy("doc_id", "th")
             .agg(F.collect_set(F.struct("kind", "start", "end", "hit")).alias("extra"))
             .select(F.col("doc_id").alias("d_"), F.col("th").alias("t_"), "extra"))
@@ -197,8 +204,8 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     extra = _extra(scanned, bootstrap(scanned))
     names = docs.columns
     joined = docs.join(extra, F.col(doc_id).eqNullSafe(F.col("d_")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("t_")), "left")
-    clean = F.aggregate(F.transform(F.coalesce("extra", F.array().cast(extra.schema["extra"].dataType)),
-                                    lambda e: F.struct(e["kind"].alias("kind"), e["hit"].alias("hit"))),
+    clean = F.aggregate(F.array_sort(F.transform(F.coalesce("extra", F.array().cast(extra.schema["extra"].dataType)), lambda e: F.struct(
+                            (-F.length(e["hit"])).alias("longest"), e["kind"].alias("kind"), e["hit"].alias("hit")))),
                         F.col(text), lambda t, e: F.replace(t, e["hit"], F.concat(F.lit("["), F.upper(e["kind"]), F.lit("]"))))
     out = joined.withColumn(text, clean)
     for kind in KINDS:

@@ -179,6 +179,30 @@ def test_bootstrap_finds_what_patterns_vouch_for(spark):
     assert extra[99] == [("email", "user12345[at]mail.example.org")] and not any(extra[i] for i in range(30))
 
 
+def test_bootstrap_takes_loose_shapes_of_each_kind(spark):
+    """No digits for e-mail addresses; blanks and brackets in phone and card numbers; a sentence may end after them."""
+    base = {"email": "please write to ada{}@mail.example.org", "phone": "please call me on +1 (555) 123-4{:03}",
+            "ip": "from the host 10.0.3.{}", "card": "paid with card {}"}
+    cards = [f"{n}{next(c for c in range(10) if luhn_ok(f'{n}{c}'))}" for n in range(411111111111100, 411111111111130)]
+    made = [(k, text.format(cards[i] if k == "card" else i)) for k, text in base.items() for i in range(30)]
+    loose = {"email": ["jane.doe[at]example.org", "jane.doe (at) example (dot) org", "jane at example dot org"],
+             "phone": ["555 123 4567", "(555) 123-4567", "555.123.4567"], "ip": ["10-0-0-1", "10[.]0[.]0[.]1"],
+             "card": ["4111 1111 1111 1112", "4111  1111  1111  1111", "4111.1111.1111.1111"]}
+    asked = [(k, base[k].split("ada")[0].split("+1")[0].split("10.")[0].split("{")[0], hit, end) for k, hits in loose.items() for hit in hits for end in (".", " today")]
+    table = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(made)] + [(1000 + i, a + hit + end) for i, (_, a, hit, end) in enumerate(asked)],
+                                  "doc_id long, text string")
+    extra = {r.doc_id: [(e.kind, e.hit, e.start) for e in r.extra] for r in op03_pii.find(table).collect()}
+    for i, (k, a, hit, _) in enumerate(asked):
+        assert (k, hit, len(a)) in extra[1000 + i], (hit, extra[1000 + i])
+    assert not any(extra[i] for i in range(len(made)))
+    clean = {r.doc_id: r.text for r in op03_pii.redact(table).collect()}
+    assert [clean[1000 + i] for i in range(len(asked))] == [f"{a}[{k.upper()}]{end}" for k, a, _, end in asked]
+
+
+def luhn_ok(digits):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
 def brute_repeats(texts, length):
     data = [t.encode() for t in texts]
     seen = collections.Counter(d[i:i + length] for d in data for i in range(len(d) - length + 1))
