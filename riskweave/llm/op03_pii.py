@@ -9,7 +9,8 @@ also the seeds of the bootstrap:
 3. the bipartite graph of patterns and instances is scored in ``ROUNDS`` rounds: a pattern's score is the
    share of trusted instances among all instances seen in it, an instance's is ``1 - prod(1 - score)``
    over its patterns; patterns with under ``MIN_SEEDS`` distinct seeds score nothing;
-4. candidates that reach ``CONFIDENT`` for a kind add their spans. Base spans always stay.
+4. candidates that reach ``CONFIDENT`` for a kind are seeds of the next hop, which does 3 again; the hops end when no
+   new candidate reaches it. All that did add their spans. Base spans always stay.
 
 The graph holds one row per distinct (pattern, instance, kind); joins on patterns follow aggregation, so a
 pattern that stands before a third of all identifiers is a key of pre-aggregated rows.
@@ -168,6 +169,20 @@ def bootstrap(scanned: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEE
     graph = (seeds.withColumn("seed", F.lit(1.0)).unionByName(loose.withColumn("seed", F.lit(0.0)))
              .where(F.col("pattern").isNotNull()).groupBy("kind", "pattern", "hit").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")))
     graph = stored(graph, "pii-graph")
+    found = None
+    while True:
+        hop = graph
+        if found is not None:
+            hop = graph.join(found.withColumn("sure", F.lit(1.0)), ["kind", "hit"], "left").withColumn(
+                "seed", F.greatest("seed", F.coalesce("sure", F.lit(0.0)))).drop("sure")
+        new = stored(_trust(hop, rounds, min_seeds).where(F.col("conf") >= confident).select("kind", "hit"), "pii-new")
+        if new.isEmpty():
+            return new if found is None else found
+        found = new if found is None else stored(found.unionByName(new), "pii-found")
+
+
+def _trust(graph: DataFrame, rounds: int, min_seeds: int) -> DataFrame:
+    """(kind, hit, conf) of the instances that are no seeds."""
     trust = None
     for _ in range(rounds):
         edges = graph.withColumn("trust", F.col("seed"))
@@ -178,7 +193,7 @@ def bootstrap(scanned: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEE
         doubt = F.sum(F.log(F.lit(1.0) - F.least(F.col("score"), F.lit(0.999))))
         trust = stored(graph.where("seed = 0").join(scored, ["kind", "pattern"])
                        .groupBy("kind", "hit").agg((F.lit(1.0) - F.exp(doubt)).alias("conf")), "pii-trust")
-    return trust.where(F.col("conf") >= confident).select("kind", "hit")
+    return trust
 
 
 def _extra(scanned: DataFrame, found: DataFrame) -> DataFrame:

@@ -203,6 +203,18 @@ def luhn_ok(digits):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
 
 
+def test_bootstrap_goes_on_from_what_it_found(spark):
+    """Contexts that no base address stands in, each reached through the instances of the one before."""
+    texts = [f"please write to user{i}@mail.example.org" for i in range(40)]
+    hops = ["please write to", "reach us under", "our box is", "send it here"]
+    for n, (a, b) in enumerate(zip(hops, hops[1:])):
+        texts += [f"{x} {c}.n{n}[at]example.org" for c in "abcdefghijkl"[:(12, 8, 6)[n]] for x in (a, b)]
+    texts += ["send it here last[at]example.org", "never seen words other[at]example.org"]
+    found = op03_pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    extra = {r.doc_id: [e.hit for e in r.extra] for r in found}
+    assert [extra[i] for i in range(len(texts))] == [[t.split()[-1]] if "[at]" in t and "other" not in t else [] for t in texts]
+
+
 def brute_repeats(texts, length):
     data = [t.encode() for t in texts]
     seen = collections.Counter(d[i:i + length] for d in data for i in range(len(d) - length + 1))
