@@ -34,6 +34,8 @@ LONGEST = 5
 PER_LANG = 3000
 MAX_WORDS = 20000
 MAX_GRAMS = 8000
+#: Longer words are scored anew each time and not kept.
+LONG = 64
 #: A run of letters; the same class in Java (fitting) and in Python (prediction).
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -46,6 +48,7 @@ def _grams(word: str, n: int) -> list[str]:
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of words and n-grams; flushed when words get many, summed up by Spark."""
     held: Counter = Counter()
+    letters = 0         # of long words
 
     def flush() -> pa.RecordBatch:
         rows = []
@@ -67,9 +70,12 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
             for word, n in Counter(_WORD.findall((text.as_py() or "").lower())).items():
-                held[lang, word[:64]] += n
-            if len(held) > 50_000:
+                held[lang, word] += n
+                if len(word) > LONG:
+                    letters += len(word)
+            if len(held) > 50_000 or letters > 1_000_000:
                 yield flush()
+                letters = 0
     if held:
         yield flush()
 
@@ -101,17 +107,22 @@ class Model:
 
     def _back_off(self, word: str) -> np.ndarray:
         """The mean over the pieces of each length, longest first; pieces of a length that are not known are
-        cut into pieces of the next."""
-        rows, shares, pending = [], [], [f" {word[:64]} "]
+        cut into pieces of the next. Every place of the word counts, so the work is linear in its length."""
+        rows, shares, padded = [], [], f" {word} "
+        at = list(range(max(1, len(padded) - LONGEST + 1)))
         for size in range(LONGEST, 0, -1):
-            table = self.tables[size]
-            grams = [p[i:i + size] for p in pending for i in range(max(1, len(p) - size + 1))]
-            found = [table[g] for g in grams if g in table]
-            rows += found
-            shares += [1.0 / len(grams)] * len(found)
-            pending = list(dict.fromkeys(g for g in grams if g not in table))
-            if not pending:
+            table, unknown = self.tables[size], []
+            for i in at:
+                known = table.get(padded[i:i + size])
+                if known is None:
+                    unknown.append(i)
+                else:
+                    rows.append(known)
+            shares += [1.0 / len(at)] * (len(at) - len(unknown))
+            if not unknown:
                 break
+            last = max(0, len(padded) - size + 1)
+            at = list(dict.fromkeys(i for x in unknown for i in (x, x + 1) if i <= last))
         return np.array(shares) @ self.logs[rows] if rows else np.zeros(len(self.langs))
 
 
@@ -142,7 +153,7 @@ class Scorer:
 
     def __init__(self, model: Model, most: int = 300_000):
         self.model, self.most = model, most
-        self.place: dict[str, int] = {}
+        self.place: dict[str, int] = {}     # words of up to LONG letters
         self.rows = np.zeros((1024, max(1, len(model.langs))))
 
     def _learn(self, new: set[str]) -> None:
@@ -163,12 +174,15 @@ class Scorer:
             return UNKNOWN, 0.0
         try:
             at = [self.place[w] for w in found]
+            total = 0.0
         except KeyError:
-            different = set(found)
+            kept = [w for w in found if len(w) <= LONG]
+            different = set(kept)
             new = {w for w in different if w not in self.place}
             self._learn(different if len(self.place) + len(new) > self.most else new)
-            at = [self.place[w] for w in found]
-        total = self.rows[np.array(at)].sum(axis=0)
+            at = [self.place[w] for w in kept]
+            total = sum(self.model.of_word(w) for w in found if len(w) > LONG)
+        total = total + self.rows[np.array(at, dtype=np.int64)].sum(axis=0)
         scaled = (total - total.max()) * (min(len(found), 20) / len(found))
         return langs[int(np.argmax(total))], float(1.0 / np.exp(scaled).sum())
 

@@ -254,6 +254,18 @@ def test_language(spark):
     assert [got[i][0] for i in range(6)] == ["xx", "yy", "und", "und", "und", "und"] and 0.5 < got[0][1] <= 1
 
 
+def test_language_of_long_words(spark):
+    """A run of letters counts to its end, in fitting and in prediction."""
+    made = [(i, " ".join(RNG.choice(w) for _ in range(20)), k) for i in range(40) for k, w in
+            (("xx", ["alpha", "beta", "gamma"]), ("yy", ["uno", "dos", "tres"]))]
+    made += [(100 + i, "k" * 70 + "q" * 30, "xx") for i in range(3)] + [(200 + i, "k" * 70 + "w" * 30, "yy") for i in range(3)]
+    model = op05_langid.fit(spark.createDataFrame(made, "doc_id long, text string, lang string"))
+    assert "k" * 70 + "q" * 30 in model.tables[0] and "qqqqq" in model.tables[5] and "wwwww" in model.tables[5]
+    score = op05_langid.Scorer(model)
+    asked = ["unodostres" * 7 + "alphabetagamma" * 40, "alphabetagamma" * 5 + "unodostres" * 60, "k" * 70 + "q" * 30, "k" * 70 + "w" * 30, "dos " * 50 + "kk" * 40]
+    assert [score(t)[0] for t in asked] == ["xx", "yy", "xx", "yy", "yy"] and all(len(w) <= 64 for w in score.place)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     made = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(i, [0.5] * 8) for i in range(300, 400)]
