@@ -120,7 +120,7 @@ class Encoder(dict):
 
     A new word passes the tokenizer's own steps: normalizer, pre-tokenizer, and once for each different piece
     the model. For a word of printable ASCII the first two are lower case and the pre-tokenizer's pattern, if
-    the file has these steps."""
+    the file has these steps. A text that may hold an added token of the file goes to the tokenizer whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -130,7 +130,8 @@ class Encoder(dict):
         tok = Tokenizer.from_file(path)
         self.model, self.normalizer, self.pre_tokenizer = tok.model, tok.normalizer, tok.pre_tokenizer
         self.pieces: dict[str, bytes] = {}
-        self.cut = _ascii_pattern(json.loads(tok.to_str()))
+        made = json.loads(tok.to_str())
+        self.cut, self.tok, self.added = _ascii_pattern(made), tok, _added_pattern(made)
 
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
@@ -149,6 +150,9 @@ class Encoder(dict):
     def __call__(self, texts: list[str], end: int) -> list[np.ndarray]:
         out, last = [], end.to_bytes(4, "little")
         for text in texts:
+            if self.added is not None and self.added.search(text):
+                out.append(np.array([*self.tok.encode(text, add_special_tokens=False).ids, end], dtype="<u4"))
+                continue
             if len(self) > _CHUNK:
                 self.clear()
                 self.pieces.clear()
@@ -157,6 +161,12 @@ class Encoder(dict):
         return out
 
 
+def _added_pattern(made: dict):
+    """What finds the added tokens, in any case for those that are matched in normalized text; None without any."""
+    forms = [f"(?i:{re.escape(x['content'])})" if x["normalized"] else re.escape(x["content"]) for x in made.get("added_tokens") or []]
+    return re.compile("|".join(forms)) if forms else None
+
+
 def _ascii_pattern(made: dict):
     """The pattern of the pre-tokenizer with its classes as they are in ASCII; None for a file of other steps."""
     lower = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]

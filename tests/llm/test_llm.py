@@ -368,3 +368,17 @@ def test_packing(docs, rows):
         assert sum(len(p) for _, p, _ in pieces[doc]) == sum(len(i) * k for (d, i), k in expected.items() if d == doc)
         if n == 1 and doc != 62:
             assert sum((p for _, p, _ in sorted(pieces[doc])), ()) == ids and {t for *_, t in pieces[doc]} == {len(ids)}
+
+
+def test_packing_takes_added_tokens_as_the_tokenizer_does(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["a <|endoftext|> b", "<|startoftext|>One<|endoftext|>\nTwo", "x<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|end", "plain words", ""]
+    got = {r.doc_id: r for r in op10_packing.sequences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1),
+                                                       "word_bpe_49k.json", with_ids=True).collect() if r.length == r.doc_tokens}
+    expected = [tok.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    encode = op10_packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert [x.tolist() for x in encode(texts, 2)] == expected and expected[0] == [320, 49407, 321, 2]
+    assert got and all(r.ids == expected[i] for i, r in got.items())
