@@ -20,10 +20,11 @@ TOKENIZER = "word_bpe_49k.json"
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language of the corpus, with ``lang`` as identified from the text. Texts without a
-    letter (``und``) go; all others stay."""
+    letter go; all others stay, as ``und`` if no document has a label to learn from."""
     model = op05_langid.fit(docs, order_by=F.xxhash64("doc_id"))
     tagged = op05_langid.tag(docs.select(*COLUMNS), model, keep=COLUMNS)
-    return tagged.where(F.col("lang_pred") != op05_langid.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    named = F.col("lang_pred") != op05_langid.UNKNOWN if model.langs else F.col("text").rlike(r"\p{L}")
+    return tagged.where(named).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
