@@ -1,4 +1,4 @@
-"""The ten operators applied with production parameters to their whole tables, and the SQL that checks
+"""The operators applied with production parameters to their whole tables, and the SQL that checks
 those that SQL can express."""
 
 from __future__ import annotations
@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import (op01_mixing, op02_neardup, op03_pii, op04_repeats, op05_langid, op06_topk, op07_warc, op08_main_text,
-                           op09_fingerprint)
+                           op09_fingerprint, op11_fim, op12_trie, op13_tokenids)
 from riskweave.llm import op10_packing as packing
 from riskweave.llm.sql import ORACLES
 from riskweave.sources.tables import read_table
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +78,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequences(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outputs = op11_fim.transform(read_table(spark, sf_dir, "documents"))
+    return op11_fim.restore(outputs).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_trie.trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_tokenids.read(op13_tokenids.write(read_table(spark, sf_dir, "documents"), BYTE_TOKENIZER))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +98,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_mixing, op2_neardup, op3_pii, op4_repeats, op5_langid, op6_topk, op7_warc, op8_main_text, op9_fingerprint, op10_packing, pipeline)}
+    op1_mixing, op2_neardup, op3_pii, op4_repeats, op5_langid, op6_topk, op7_warc, op8_main_text, op9_fingerprint, op10_packing,
+    op11_fill_in_middle, op12_prefix_trie, op13_token_ids, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
