@@ -1,10 +1,10 @@
 """Token ids in binary files: ids ranked by frequency, in a byte-aligned variable-length code.
 
-1. Every text is tokenised and the ids are counted: a task counts into one array of the vocabulary's size, and
-   the partial counts are summed by id. The rank of an id is its place by falling count.
-2. The documents are dealt to tasks by ranges of doc_id and sorted there. A task tokenises them again (the ids are
-   never stored in between, they would take more disk than the files) and writes files of blocks.
-3. A block holds the document ids, the number of ids of each, one control byte for four ranks (two bits each: the
+1. The documents are dealt to tasks by ranges of doc_id and sorted there. A task tokenises them and holds the ids of one
+   file (at most ``FILE_IDS``, but for a longer document).
+2. The ids of a file are counted; the rank of an id is its place by falling count, ties by id. No pass over the whole
+   corpus comes first, and every file can be read alone.
+3. A block of a file holds the document ids, the number of ids of each, one control byte for four ranks (two bits each: the
    bytes of the rank less one) and, apart from these, the bytes of the ranks, low byte first. Frequent ids take one byte.
 4. Reading looks the control bytes up in tables of 256 rows (lengths and offsets), gathers the bytes and
    looks the ranks up in the file's list of ids.
@@ -15,21 +15,25 @@ with the number of ids before each, so retries and lost executors leave at most
 
 Rules: a null text is empty; an empty text has the end id alone. Null doc_ids come first. Rows of equal doc_id follow the
 hash of their texts; equal rows are interchangeable, and a random part of the order key lets them spread over tasks. Empty
-tables give no file and no row; other columns are not read. Only the counts of the vocabulary's ids come to the
-driver. Memory: one block, the words remembered (bounded in bytes) and the longest text.
+tables give no file and no row; other columns are not read. Nothing comes to the driver but the number of files.
+Memory: the ids of one file, the words remembered (bounded in bytes) and the longest text.
 """
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,11 +44,9 @@ from riskweave.llm.shared import shared_dir, ship, stored
 #: Fixed values of the file format.
 MAGIC = b"RWIDS\x00\x00\x01"
 _HEAD = "<IQQQ"
-BLOCK_IDS = 1 << 20
-FILE_BYTES = 256 << 20
-#: Bytes that the remembered words may take, about, and the longest word that is remembered.
-WORD_BYTES = 96 << 20
-LONGEST = 64
+BLOCK_IDS, FILE_IDS = 1 << 20, 1 << 24
+#: Bytes that the remembered words may take, about, and bytes of texts that are encoded together.
+WORD_BYTES, TEXT_BYTES = 320 << 20, 8 << 20
 
 #: By control byte: the lengths of its four values, where each begins, and the bytes of all.
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.int64)
@@ -80,66 +82,153 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out & _MASKS[lengths]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
 class Words:
-    """Ids of texts by a byte-level BPE file whose pieces never hold a space but as their first character.
+    """Ids of texts by a byte-level BPE file of the tokenizers library.
 
-    A text is cut before every space that no white space follows; the tokenizer cuts there too. The words
-    that are new in a batch of texts go to the tokenizer at once and their ids are remembered as bytes."""
+    Its pieces hold a space as their first character only, so a text may be cut before every space that no white
+    space follows, and texts so cut may be joined. The different words of a batch of texts are looked up once. New words
+    of Latin letters, with or without a sign at the end, are one or two pieces and go to the tokenizer's model. Other new
+    ones are joined to texts of ``JOINED`` words for the tokenizer; as its tokens stand for known numbers of bytes, the
+    ids of each word are found by sums. They are remembered until the words take ``WORD_BYTES``. Texts with
+    several white spaces in a row, and all texts for files with other steps, go to the tokenizer whole."""
 
-    _CUT, _ODD = re.compile(r"(?= \S)"), re.compile(r" (?:\s|\Z)")
+    JOINED = 512
+    #: A space before white space or the end: there a text must not be cut.
+    ODD = r" ([\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
+
+    #: Letters that have been letters in every version of Unicode, and signs that end a word.
+    LATIN, SIGNS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01f5]+"), frozenset(",.;:!?)")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.size = self.tok.get_vocab_size()
-        self.inner: dict[str, bytes] = {}       # words after a space, by what follows it
+        self.model = self.tok.model
+        self.letters, self.ends = _byte_letters(), {}
+        made = json.loads(self.tok.to_str())
+        step, added = made.get("pre_tokenizer") or {}, made.get("added_tokens") or []
+        self.plain = (made.get("normalizer") is None and step.get("type") == "ByteLevel" and not step["add_prefix_space"] and step["use_regex"]
+                      and not any(x["normalized"] or x["lstrip"] or x["rstrip"] or re.search(r"\s", x["content"]) for x in added))
+        # a byte-level vocabulary writes each byte as one letter; added tokens are written as they are
+        vocabulary = self.tok.get_vocab(with_added_tokens=False)
+        widths = {i: len(t) for t, i in vocabulary.items()} | {x["id"]: len(x["content"].encode()) for x in added}
+        self.width = np.zeros(max(widths, default=0) + 1, dtype=np.int64)
+        self.width[list(widths)] = list(widths.values())
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}         # words after a space, by what follows it: their row in the two arrays
+        self.start, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.held = 0
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        got = self.tok.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        heads, tails = [], []
-        for text in texts:
-            if self._ODD.search(text):
-                first, *rest = self._CUT.split(text)
-                rest = [w[1:] for w in rest]
-            else:
-                first, *rest = text.split(" ")
-            heads.append(first)
-            tails.append(rest)
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of each word after a space, from texts of many words."""
+        out: list[np.ndarray] = []
+        for a in range(0, len(words), self.JOINED):
+            part = words[a:a + self.JOINED]
+            got = self._whole([" " + " ".join(part)])[0]
+            ends = np.cumsum(np.array([len(w.encode()) + 1 for w in part], dtype=np.int64))
+            upto = (np.searchsorted(np.cumsum(self.width[got]), ends, side="left") + 1).tolist()
+            out += [got[x:y] for x, y in zip([0, *upto], upto)]
+        return out
+
+    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words after a space, number of ids of each)."""
+        tokenize, latin, signs = self.model.tokenize, self.LATIN.fullmatch, self.SIGNS
+        made: dict[str, list] = {}
+        rows: list = []
+        rest: list[int] = []
+        for word in words:
+            base = word[:-1] if word[-1:] in signs else word
+            got = made.get(base)
+            if got is None:
+                if not latin(base):
+                    rest.append(len(rows))
+                    rows.append(None)
+                    continue
+                plain = base if base.isascii() else base.encode().decode("latin-1").translate(self.letters)
+                got = made[base] = [t.id for t in tokenize("\u0120" + plain)]
+            rows.append(got if base is word else [*got, *self._sign(word[-1])])
+        for i, ids in zip(rest, self._joined([words[i] for i in rest])):
+            rows[i] = ids
+        counts = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+        return np.fromiter(chain.from_iterable(rows), dtype=np.uint32, count=int(counts.sum())), counts
+
+    def _sign(self, sign: str) -> list[int]:
+        if sign not in self.ends:
+            self.ends[sign] = [t.id for t in self.model.tokenize(sign)]
+        return self.ends[sign]
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; a null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, self.ODD).to_numpy(zero_copy_only=False) if self.plain else np.ones(len(texts), dtype=bool)
+        out: list = [None] * len(texts)
+        for i, ids in zip(np.flatnonzero(odd).tolist(), self._whole(texts.filter(pa.array(odd)).to_pylist()) if odd.any() else []):
+            out[i] = ids
+        if odd.all():
+            return out
+        lists = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        words, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        coded = words.dictionary_encode()
+        names, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        first = np.zeros(len(words), dtype=bool)
+        first[offsets[:-1]] = True              # no space before the first word of a text
+        used = np.zeros(len(names), dtype=bool)
+        used[codes[~first]] = True
+        row = self._rows(names, used)
+        heads = self._whole(words.filter(pa.array(first)).to_pylist())
+        count = self.count[row][codes]
+        count[first] = 0
+        after = np.cumsum(count)
+        ids = self.pool[np.repeat(self.start[row][codes] - (after - count), count) + np.arange(after[-1])] if after[-1] else np.zeros(0, np.uint32)
+        ends = np.concatenate([[0], after])[offsets]
+        for k, i in enumerate(np.flatnonzero(~odd).tolist()):
+            out[i] = np.concatenate([heads[k], ids[ends[k]:ends[k + 1]]])
+        return out
+
+    def _rows(self, names: list[str], used: np.ndarray) -> np.ndarray:
+        """The rows of the words that are used, new ones among them encoded; 0 for others."""
         if self.held > WORD_BYTES:
-            self.inner.clear()
-            self.held = 0
-        known = self.inner
-        new = list({w for rest in tails for w in rest if w not in known})
-        brief = {}
-        for a in range(0, len(new), 4096):
-            part = new[a:a + 4096]
-            for word, ids in zip(part, self._ids([" " + w for w in part])):
-                if len(word) <= LONGEST:
-                    known[word] = ids
-                    self.held += 160 + len(word) + len(ids)
-                else:
-                    brief[word] = ids
-        heads = self._ids(heads)
-        if not brief:
-            look = known.__getitem__
-        else:
-            def look(word):
-                got = known.get(word)
-                return brief[word] if got is None else got
-        return [head + b"".join(map(look, rest)) for head, rest in zip(heads, tails)]
-
-
-def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
-    """Runs of rows of a bounded number of bytes."""
-    for a, b, _, _ in slices(column):
-        yield a, b, [t or "" for t in column.slice(a, b - a).to_pylist()]
+            self._forget()
+        row = np.array([self.known.get(w, -1) for w in names], dtype=np.int64)
+        new = np.flatnonzero(used & (row < 0))
+        if len(new):
+            words = [names[i] for i in new.tolist()]
+            ids, counts = self._new(words)
+            at = len(self.count)
+            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(counts) - counts])
+            self.count, self.pool = np.concatenate([self.count, counts]), np.concatenate([self.pool, ids])
+            row[new] = np.arange(at, at + len(new))
+            self.known.update(zip(words, range(at, at + len(new))))
+            self.held += sum(map(len, words)) + 180 * len(words) + 4 * len(ids)
+        return np.maximum(row, 0) if len(self.count) else self._none(row)
+
+    def _none(self, row: np.ndarray) -> np.ndarray:
+        self.start, self.count = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        return np.zeros_like(row)
+
+
+_ENCODERS: dict[str, Words] = {}
+
+
+def encoder(path: str) -> Words:
+    """The encoder of a file, kept by the worker from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Words(path)
+    return _ENCODERS[path]
 
 
 def _path(tokenizer: str) -> str:
@@ -150,94 +239,72 @@ def _path(tokenizer: str) -> str:
     return public_tokenizers.path(tokenizer)
 
 
-def ranked(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int = 2) -> DataFrame:
-    """(id, n) of every id in the texts and their ends, as a stored table of at most the vocabulary's size."""
-    ship(docs.sparkSession)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Words(_path(tokenizer))
-        seen = np.zeros(max(encode.size, end_id + 1), dtype=np.int64)
-        for batch in batches:
-            for _, _, texts in _texts(batch.column(0)):
-                seen[end_id] += len(texts)
-                for a in range(0, len(texts), 64):
-                    ids = np.frombuffer(b"".join(encode(texts[a:a + 64])), dtype="<u4")
-                    more = np.bincount(ids, minlength=len(seen))
-                    if len(more) > len(seen):   # ids of added tokens can lie past the vocabulary's size
-                        seen = np.concatenate([seen, np.zeros(len(more) - len(seen), np.int64)])
-                    seen += more
-        which = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array(seen[which], pa.int64())], ["id", "n"])
-
-    partial = docs.select(F.col(text).alias("text")).mapInArrow(count, "id long, n long")
-    return stored(partial.groupBy("id").agg(F.sum("n").alias("n")), "id-counts")
+def ranked(ids: np.ndarray) -> np.ndarray:
+    """The different ids by falling count, ties by id."""
+    counts = np.bincount(ids)
+    seen = np.flatnonzero(counts)
+    return seen[np.argsort(-counts[seen], kind="stable")].astype("<u4")
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int = 2) -> DataFrame:
-    """Write the files; the manifest (path, docs, ids, before), one row per file in the order of doc_id."""
+    """Write the files; the manifest (path, docs, ids, before), one row per file in the order of doc_id.
+
+    ``tokenizer`` is the name of a file of the installed ``public_tokenizers`` package or a path."""
     spark = docs.sparkSession
     ship(spark)
     folder = f"{folder or shared_dir(spark) + '/token-ids'}/{uuid.uuid4().hex}"
-    counts = ranked(docs, tokenizer, text, end_id).orderBy(F.desc("n"), "id").select("id").toArrow().column("id")
-    by_rank = counts.to_numpy().astype("<u4")        # at most the size of the vocabulary
-    listed = zlib.compress(by_rank.tobytes())
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        encode, system, base = None, None, None
-        rank = np.zeros(int(by_rank.max(initial=0)) + 1, dtype=np.uint32)
-        rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
-        end, attempt, part = np.uint32(end_id).tobytes(), uuid.uuid4().hex, TaskContext.get().partitionId()
-        out, path, size, n_docs, n_ids, done = None, "", 0, 0, 0, []
-        names: list[int | None] = []
-        lengths: list[int] = []
-        ids: list[bytes] = []
-        held = 0
-
-        def block() -> None:
-            nonlocal size, n_docs, n_ids, held
-            nulls = np.packbits(np.array([x is None for x in names], dtype=bool)).tobytes()
-            control, data = pack(rank[np.frombuffer(b"".join(ids), dtype="<u4")])
-            for raw in (struct.pack(_HEAD, len(names), held, len(control), len(data)), nulls, np.array([x or 0 for x in names], dtype="<i8").tobytes(),
-                        np.array(lengths, dtype="<u8").tobytes(), control, data):
-                out.write(raw)
-                size += len(raw)
-            n_docs, n_ids, held = n_docs + len(names), n_ids + held, 0
-            names.clear(), lengths.clear(), ids.clear()
+        encode = system = base = None
+        end, attempt, part = np.array([end_id], dtype=np.uint32), uuid.uuid4().hex, TaskContext.get().partitionId()
+        names, lengths, ids, held, done = [], [], [], 0, []
 
         def close() -> None:
-            nonlocal out
-            out.write(struct.pack(_HEAD, 0, 0, 0, 0))
-            out.close()
-            done.append((part, len(done), f"{folder}/{path}", n_docs, n_ids))
-            out = None
-
+            nonlocal names, lengths, ids, held
+            raw = np.concatenate(ids)
+            by_rank = ranked(raw)
+            rank = np.zeros(int(by_rank.max()) + 1, dtype=np.uint32)
+            rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
+            listed, path = zlib.compress(by_rank.tobytes()), f"{part:08d}-{len(done):04d}-{attempt}.ids"
+            ends = np.cumsum(lengths)
+            with system.open_output_stream(f"{base}/{path}") as out:
+                out.write(MAGIC + struct.pack("<I", len(listed)) + listed)
+                a = 0
+                while a < len(names):
+                    start = int(ends[a]) - lengths[a]
+                    b = max(a + 1, int(np.searchsorted(ends, start + BLOCK_IDS, side="right")))
+                    control, data = pack(rank[raw[start:int(ends[b - 1])]])
+                    out.write(struct.pack(_HEAD, b - a, int(ends[b - 1]) - start, len(control), len(data)))
+                    out.write(np.packbits(np.array([x is None for x in names[a:b]], dtype=bool)).tobytes())
+                    out.write(np.array([x or 0 for x in names[a:b]], dtype="<i8").tobytes())
+                    out.write(np.array(lengths[a:b], dtype="<u8").tobytes())
+                    out.write(control)
+                    out.write(data)
+                    a = b
+                out.write(struct.pack(_HEAD, 0, 0, 0, 0))
+            done.append((part, len(done), f"{folder}/{path}", len(names), held))
+            names, lengths, ids, held = [], [], [], 0
+
+        gc.disable()                            # many small lists live for a moment, none of them in a cycle
         for batch in batches:
             if encode is None:
-                encode = Words(_path(tokenizer))
+                encode = encoder(_path(tokenizer))
                 system, base = fs.FileSystem.from_uri(folder)
                 system.create_dir(base, recursive=True)
             who = batch.column(0).to_pylist()
-            for a, b, texts in _texts(batch.column(1)):
-                for s in range(0, len(texts), 64):
-                    for name, got in zip(who[a + s:a + s + 64], encode(texts[s:s + 64])):
-                        if out is None:
-                            path, size, n_docs, n_ids = f"{part:08d}-{len(done):04d}-{attempt}.ids", 0, 0, 0
-                            out = system.open_output_stream(f"{base}/{path}")
-                            out.write(MAGIC + struct.pack("<I", len(listed)) + listed)
-                        names.append(name)
-                        lengths.append(len(got) // 4 + 1)
-                        ids += (got, end)
-                        held += lengths[-1]
-                        if held >= BLOCK_IDS:
-                            block()
-                            if size >= FILE_BYTES:
-                                close()
+            for a, b, _, _ in slices(batch.column(1), TEXT_BYTES):
+                for name, got in zip(who[a:b], encode(batch.column(1).slice(a, b - a))):
+                    names.append(name)
+                    lengths.append(len(got) + 1)
+                    ids += (got, end)
+                    held += lengths[-1]
+                    if held >= FILE_IDS:
+                        close()
         if names:
-            block()
-        if out is not None:
             close()
+        gc.enable()
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done]) for i in range(5)], ["part", "serial", "path", "docs", "ids"])
 
