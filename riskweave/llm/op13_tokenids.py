@@ -46,7 +46,7 @@ MAGIC = b"RWIDS\x00\x00\x01"
 _HEAD = "<IQQQ"
 BLOCK_IDS, FILE_IDS = 1 << 20, 1 << 24
 #: Bytes that the remembered words may take, about, and bytes of texts that are encoded together.
-WORD_BYTES, TEXT_BYTES = 320 << 20, 8 << 20
+WORD_BYTES, TEXT_BYTES = 160 << 20, 4 << 20
 
 #: By control byte: the lengths of its four values, where each begins, and the bytes of all.
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.int64)
