@@ -9,12 +9,13 @@ at the k-th score itself are opened, so ties are settled by id.
 The current k-th score is shared between shards in waves: each block searches one shard first, and takes
 the k-th score found there into the search of all others, where it prunes from the start.
 
-Of equal vectors in a shard only the ``k + 1`` smallest ids can be among a result, so the tree holds each
-vector once; a vector that fills a third of the table costs one point.
+Of equal vectors in a shard only rows of the ``k + 1`` smallest different ids can be among a result, ``k`` of each
+id, so the tree holds each vector once; a vector that fills a third of the table costs one point.
 
 Rules: a vector that is null or empty, or holds a null or a component that is not finite, takes no part;
 vectors meet those of their own length only; repeated ids are rows of their own, but a query never meets
-rows of its own id; components are held as 64-bit integers; other columns are not read.
+rows of its own id; other columns are not read. Components and scores are 64-bit integers; where the square of the
+longest vector could pass them, an error says so before anything is searched.
 """
 
 from __future__ import annotations
@@ -42,6 +43,14 @@ def quantised(vector: Column, scale: int = SCALE) -> Column:
                   F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")))
 
 
+def smallest(ids: np.ndarray, k: int) -> np.ndarray:
+    """Of ascending ids the ``k + 1`` smallest different ones, each up to ``k`` times."""
+    first = np.concatenate([[True], ids[1:] != ids[:-1]])
+    number = np.cumsum(first) - 1
+    copy = np.arange(len(ids)) - np.flatnonzero(first)[number]
+    return ids[(number <= k) & (copy < k)]
+
+
 class BallTree:
     """Over distinct integer vectors; ``ids[i]`` are the smallest ids of vector i, ascending."""
 
@@ -126,7 +135,7 @@ def _wave(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             points, group = np.unique(_matrix(left.column("v"), left.num_rows), axis=0, return_inverse=True)
             order = np.lexsort((ids, group.ravel()))
             edges = np.searchsorted(group.ravel()[order], np.arange(len(points) + 1))
-            tree = BallTree(points, [ids[order[a:min(b, a + k + 1)]] for a, b in zip(edges[:-1], edges[1:])])
+            tree = BallTree(points, [smallest(ids[order[a:b]], k) for a, b in zip(edges[:-1], edges[1:])])
             asked = _matrix(right.column("v"), right.num_rows)
             bounds = tree.bounds(asked)
             for i, (name, beat) in enumerate(zip(right.column("query_id").to_pylist(), right.column("beat").to_pylist())):
@@ -143,7 +152,10 @@ def top_k(table: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id"
     ship(table.sparkSession)
     rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), quantised(F.col(vector)).alias("v"))
     rows = rows.where(F.col("v").isNotNull() & F.col("vec_id").isNotNull()).withColumn("dim", F.size("v"))
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("q"), F.max(square).alias("most")).first()
+    if counts["most"] is not None and counts["most"] >= 2.0 ** 62:
+        raise ValueError(f"inner products of up to {counts['most']:.3g} do not fit 64 bits")
     shards, blocks = max(1, math.ceil(counts["n"] / shard)), max(1, math.ceil(counts["q"] / block))
     vectors = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     asked = rows.where(is_query).dropDuplicates(["vec_id", "v"]).select(
