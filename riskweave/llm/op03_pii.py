@@ -60,6 +60,8 @@ LOOSE = {
              rf"(?![A-Za-z_@]|{_PHONE_GAP}[0-9])",
 }
 _STEP = 256
+#: Code points of a block: places of long texts are looked up by block.
+BLOCK = 4096
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -148,13 +150,30 @@ def _loose(kind: str, text: Column) -> Column:
     return F.transform(found, lambda m: F.struct(m["start"], m["end"], m["hit"], m["before"], F.lit(kind).alias("kind")))
 
 
+def _clear(loose: Column, spans: Column) -> Column:
+    """The candidates that meet no span. Each is held against the spans of the blocks it touches, so that a text of
+    many spans and candidates does not meet each with each."""
+    def meets(m: Column, among: Column) -> Column:
+        return F.exists(among, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+
+    last = F.greatest(F.array_max(F.transform(spans, lambda b: b["end"])), F.array_max(F.transform(loose, lambda m: m["end"])))
+    blocks = F.transform(F.sequence(F.lit(0).cast("long"), F.floor(last / BLOCK)), lambda i: F.filter(
+        spans, lambda b: (b["start"] < (i + 1) * BLOCK) & (b["end"] > i * BLOCK)))
+
+    def at(by: Column, place: Column) -> Column:
+        return F.get(by, F.floor(place / BLOCK).cast("int"))
+
+    return let(blocks, lambda by: F.filter(loose, lambda m: ~F.when(
+        m["end"] - m["start"] <= BLOCK, meets(m, at(by, m["start"])) | meets(m, at(by, m["end"] - 1))).otherwise(meets(m, spans))))
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, th (hash of the text), the base matches by kind, and candidates."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = rows.select("doc_id", F.xxhash64("t").alias("th"), *[base(k, F.col("t")).alias(k) for k in KINDS],
                        F.concat(*[_loose(k, F.col("t")) for k in KINDS]).alias("loose"))
     taken = F.concat(*[F.col(k) for k in KINDS])
-    free = F.filter("loose", lambda m: ~F.exists(taken, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    free = F.when((F.size("loose") > 0) & (F.size(taken) > 0), let(taken, lambda spans: _clear(F.col("loose"), spans))).otherwise(F.col("loose"))
     return rows.select("doc_id", "th", *KINDS, free.alias("free"))
 
 
@@ -202,7 +221,7 @@ def _extra(scanned: DataFrame, found: DataFrame) -> DataFrame:
     seen = seen.select("doc_id", "th", "m.kind", "m.hit", "m.start", "m.end")
     return (seen.join(found, ["kind", "hit"]).groupBy("doc_id", "th")
             .agg(F.collect_set(F.struct("kind", "start", "end", "hit")).alias("extra"))
-            .select(F.col("doc_id").alias("d_"), F.col("th").alias("t_"), "extra"))
+            .select(F.col("doc_id").alias("d_"), F.col("th").alias("t_"), F.col("extra")))
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -213,24 +232,61 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     return joined.select("doc_id", *KINDS, F.coalesce("extra", F.array().cast(extra.schema["extra"].dataType)).alias("extra"))
 
 
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of a text cut into blocks."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    left, right = (start % BLOCK).cast("int"), (end % BLOCK).cast("int")
+    head, tail = F.coalesce(F.get(blocks, first), F.lit("")), F.coalesce(F.get(blocks, last), F.lit(""))
+    return F.when(end <= start, F.lit("")).when(first == last, F.substr(head, left + 1, right - left)).otherwise(F.concat(
+        F.substr(head, left + 1), F.array_join(F.slice(blocks, first + 2, last - first - 1), ""), F.left(tail, right)))
+
+
+def _cut(text: Column, spans: Column) -> Column:
+    """The text with its spans (start, end, kind), in order and apart, replaced by their kinds in brackets."""
+    def piece(blocks: Column) -> Column:
+        parts = F.transform(spans, lambda s, i: F.concat(
+            _between(blocks, F.coalesce(F.get(spans, i - 1)["end"], F.lit(0).cast("long")), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        rest = _between(blocks, F.element_at(spans, -1)["end"], F.length(text).cast("long"))
+        return F.concat(F.array_join(parts, ""), rest)
+
+    return let(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0)), piece)
+
+
+_SPANS = "array<struct<start:bigint,end:bigint,kind:string>>"
+
+
+def _apart(spans: Column) -> Column:
+    """Spans in order; what overlaps becomes one span, of the kind that begins first."""
+    def step(parts: Column, s: Column) -> Column:
+        last = F.element_at(parts, -1)
+        merged = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
+        return F.when((F.size(parts) > 0) & (s["start"] < F.get(parts, F.size(parts) - 1)["end"]),
+                      F.concat(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(merged))).otherwise(F.concat(parts, F.array(s)))
+
+    def chained(ordered: Column) -> Column:
+        clash = F.exists(F.sequence(F.lit(1), F.greatest(F.size(ordered) - 1, F.lit(1))),
+                         lambda i: F.coalesce(F.get(ordered, i)["start"] < F.get(ordered, i - 1)["end"], F.lit(False)))
+        return F.when(clash, F.aggregate(ordered, F.array().cast(_SPANS), step)).otherwise(ordered)
+
+    return let(F.array_sort(spans), chained)
+
+
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The input with every found span in ``text`` replaced by its kind in brackets; a null text stays null."""
+    """The input with every found span in ``text``, by its place, replaced by its kind in brackets; overlapping spans
+    become one. A null text stays null. The columns of the input travel as one, so that theirs may have any name."""
     scanned = stored(scan(docs, doc_id, text), "pii-scan")
     extra = _extra(scanned, bootstrap(scanned))
-    names = docs.columns
-    joined = docs.join(extra, F.col(doc_id).eqNullSafe(F.col("d_")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("t_")), "left")
-    clean = F.aggregate(F.array_sort(F.transform(F.coalesce("extra", F.array().cast(extra.schema["extra"].dataType)), lambda e: F.struct(
-                            (-F.length(e["hit"])).alias("longest"), e["kind"].alias("kind"), e["hit"].alias("hit")))),
-                        F.col(text), lambda t, e: F.replace(t, e["hit"], F.concat(F.lit("["), F.upper(e["kind"]), F.lit("]"))))
-    out = joined.withColumn(text, clean)
-    for kind in KINDS:
-        out = out.withColumn(text, F.when(_present(kind, F.col(text)), _replaced(kind, F.col(text))).otherwise(F.col(text)))
-    return out.select(*names)
-
-
-def _replaced(kind: str, text: Column) -> Column:
-    """The text with every valid match of the kind replaced."""
-    tags = F.transform(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)),
-                       lambda h: F.when(_valid(kind, h), F.lit(f"[{kind.upper()}]")).otherwise(h))
-    return let(tags, lambda ts: F.array_join(F.transform(
-        F.split(text, PATTERNS[kind], -1), lambda p, i: F.concat(p, F.coalesce(F.get(ts, i), F.lit("")))), ""))
+    content = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("own"),
+                       F.col(text).alias("content"), F.xxhash64(content).alias("mark"))
+    joined = rows.join(extra, F.col("own").eqNullSafe(F.col("d_")) & (F.col("mark") == F.col("t_")), "left")
+
+    def tagged(found: Column, kind: str) -> Column:
+        return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind")))
+
+    found = [F.when(_present(k, F.col("content")), tagged(base(k, F.col("content")), k)).otherwise(F.array().cast(_SPANS)) for k in KINDS]
+    more = F.transform("extra", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["kind"].alias("kind")))
+    spans = F.when(F.col("content").isNotNull(), F.concat(*found, F.coalesce(more, F.array().cast(_SPANS))))
+    marked = joined.select("row", "content", spans.alias("spans"))
+    clean = F.when(F.size("spans") > 0, let(_apart(F.col("spans")), lambda s: _cut(F.col("content"), s))).otherwise(F.col("content"))
+    return marked.withColumn("row", F.col("row").withField(f"`{text}`", clean)).select("row.*")
