@@ -1,13 +1,16 @@
 """Language identification, word first with back-off to character n-grams.
 
 Fitting counts the words of labelled documents per language in Spark (``fit``). A word that is known to
-the model scores its smoothed log frequency in every language. A word that is not falls back to its
+the model scores its log frequency in every language, mixed with ``SHARED`` parts of its frequency over all languages,
+so that neither a small nor a large language is favoured. A word that is not known falls back to its
 character 5-grams, those unknown to 4-grams, and so on down to single letters; a piece that is unknown at
 every length scores the same in all languages. The score of a text is the sum over its words.
 
-The model is bounded: at most ``per_lang`` labelled documents of each language are counted (chosen by the
+The model is bounded: about ``per_lang`` labelled documents of each language are counted (chosen by the
 hash of the id, so every run picks the same), and the ``max_words`` and ``max_grams`` most frequent
-entries of each language are kept. Prediction covers every document and its whole text.
+entries of each language are kept, fewer where all languages together would pass ``MAX_ENTRIES``. Every language
+with a labelled text is one of the model, however rare; the model grows with the entries, not with entries times languages.
+Prediction covers every document and its whole text, in time linear in its length.
 
 Rules: null text, or a text without a letter, is ``und`` with score 0; with no labelled text at all
 everything is ``und``; equal scores go to the smaller language name; null ids and repeated rows are
@@ -34,6 +37,10 @@ LONGEST = 5
 PER_LANG = 3000
 MAX_WORDS = 20000
 MAX_GRAMS = 8000
+MAX_ENTRIES = 3_000_000
+SHARED = 0.02
+#: Bytes of a worker for the scores of words met so far, and for the model as a full matrix.
+SCORE_BYTES, MATRIX_BYTES = 48 << 20, 64 << 20
 #: Longer words are scored anew each time and not kept.
 LONG = 64
 #: A run of letters; the same class in Java (fitting) and in Python (prediction).
@@ -81,29 +88,55 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 class Model:
-    """Log frequencies per language of words (size 0) and n-grams; small, sent with the task."""
+    """Log frequencies per language of words (size 0) and n-grams. A piece has a score of its own for the languages that
+    hold it, and one score for all others; small, sent with the task."""
 
     def __init__(self, langs: list[str], rows: list[tuple[str, int, str, int]]):
         self.langs = langs
         at = {x: i for i, x in enumerate(langs)}
         totals = np.zeros((LONGEST + 1, max(1, len(langs))))
-        raw: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+        #: ``tables[size]`` has the row of each piece.
+        self.tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        place, owner, count, sizes = [], [], [], []
         for lang, size, piece, n in rows:
-            raw[size].setdefault(piece, np.zeros(len(langs)))[at[lang]] += n
+            table = self.tables[size]
+            row = table.get(piece)
+            if row is None:
+                row = table[piece] = len(sizes)
+                sizes.append(size)
+            place.append(row)
+            owner.append(at[lang])
+            count.append(n)
             totals[size, at[lang]] += n
-        #: All known pieces are rows of one matrix; ``tables[size]`` has the row of each piece.
-        self.tables: list[dict[str, int]] = []
-        logs = [np.zeros((1, len(langs)))]
-        for size, table in enumerate(raw):
-            first = sum(map(len, logs))
-            self.tables.append({p: first + i for i, p in enumerate(table)})
-            if table:
-                logs.append(np.log((np.array(list(table.values())) + 0.5) / (totals[size] + 0.5 * (len(table) + 1))[:len(langs)]))
-        self.logs = np.concatenate(logs)
+        order = np.argsort(np.array(place, dtype=np.int64), kind="stable")
+        row, self.owner, held = (np.array(x, dtype=np.int64)[order] for x in (place, owner, count))
+        size = np.array(sizes, dtype=np.int64)
+        self.first = np.searchsorted(row, np.arange(len(sizes) + 1))
+        whole = np.bincount(row, weights=held, minlength=len(sizes)) / np.maximum(totals.sum(axis=1), 1)[size]
+        self.rest = np.log(SHARED * whole)
+        self.own = np.log((1 - SHARED) * held / totals[size[row], self.owner] + SHARED * whole[row])
+        self.matrix: np.ndarray | None = None
+
+    def ready(self) -> Model:
+        """In a worker: all rows as one matrix, if that stays small."""
+        if self.matrix is None and 8 * len(self.rest) * len(self.langs) <= MATRIX_BYTES:
+            self.matrix = np.repeat(self.rest[:, None], len(self.langs), axis=1)
+            self.matrix[np.repeat(np.arange(len(self.rest)), np.diff(self.first)), self.owner] = self.own
+        return self
+
+    def mixed(self, rows: list[int], shares: np.ndarray) -> np.ndarray:
+        """The scores of rows, summed with weights."""
+        if self.matrix is not None:
+            return shares @ self.matrix[rows]
+        out = np.full(len(self.langs), shares @ self.rest[rows])
+        for row, share in zip(rows, shares):
+            a, b = self.first[row], self.first[row + 1]
+            out[self.owner[a:b]] += share * (self.own[a:b] - self.rest[row])
+        return out
 
     def of_word(self, word: str) -> np.ndarray:
         known = self.tables[0].get(word)
-        return self.logs[known] if known is not None else self._back_off(word)
+        return self.mixed([known], np.ones(1)) if known is not None else self._back_off(word)
 
     def _back_off(self, word: str) -> np.ndarray:
         """The mean over the pieces of each length, longest first; pieces of a length that are not known are
@@ -123,7 +156,7 @@ class Model:
                 break
             last = max(0, len(padded) - size + 1)
             at = list(dict.fromkeys(i for x in unknown for i in (x, x + 1) if i <= last))
-        return np.array(shares) @ self.logs[rows] if rows else np.zeros(len(self.langs))
+        return self.mixed(rows, np.array(shares)) if rows else np.zeros(len(self.langs))
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order_by: Column | None = None,
@@ -133,26 +166,26 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order_by: Colum
     point = F.pmod(order_by if order_by is not None else F.xxhash64(F.col(text)), F.lit(1_000_000))
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), point.alias("point"))
-    have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-            .orderBy(F.desc("n"), "lang").limit(1000).collect()}
-    if not have:
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    langs = sorted(r["lang"] for r in sizes.select("lang").collect())      # the classes of the model
+    if not langs:
         return Model([], [])
-    share = F.create_map(*[F.lit(x) for k, n in have.items() for x in (k, min(1_000_000, math.ceil(1e6 * per_lang / n)))])
-    sample = rows.where(F.col("point") < share[F.col("lang")]).select("lang", "text")
+    share = sizes.select(F.col("lang").alias("of"), F.ceil(F.lit(1e6 * per_lang) / F.col("n")).alias("share"))
+    sample = rows.join(share, F.col("lang") == F.col("of")).where("point < share").select("lang", "text")
     counts = (sample.mapInArrow(_count_batches, "lang string, size int, piece string, n long")
               .groupBy("lang", "size", "piece").agg(F.sum("n").alias("n")))
+    most = [max(1, min(m, MAX_ENTRIES * m // (len(langs) * (max_words + LONGEST * max_grams)))) for m in (max_words, max_grams)]
     rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "piece"))
-    top = counts.where("n > 1").withColumn("r", rank).where(
-        F.col("r") <= F.when(F.col("size") == 0, F.lit(max_words)).otherwise(F.lit(max_grams)))
+    top = counts.withColumn("r", rank).where(F.col("r") <= F.when(F.col("size") == 0, F.lit(most[0])).otherwise(F.lit(most[1])))
     got = [(r["lang"], r["size"], r["piece"], r["n"]) for r in top.select("lang", "size", "piece", "n").collect()]
-    return Model(sorted({r[0] for r in got}), sorted(got))
+    return Model(langs, sorted(got))
 
 
 class Scorer:
-    """Scores texts; keeps the scores of the words met so far as rows of one matrix, up to a bound."""
+    """Scores texts; keeps the scores of the words met so far as rows of one matrix, up to a bound in bytes."""
 
-    def __init__(self, model: Model, most: int = 300_000):
-        self.model, self.most = model, most
+    def __init__(self, model: Model, most: int | None = None):
+        self.model, self.most = model.ready(), most or SCORE_BYTES // (8 * max(1, len(model.langs)) + 160)
         self.place: dict[str, int] = {}     # words of up to LONG letters
         self.rows = np.zeros((1024, max(1, len(model.langs))))
 
@@ -161,7 +194,7 @@ class Scorer:
             self.place.clear()
         need = len(self.place) + len(new)
         if need > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((need, self.rows.shape[1]))])
+            self.rows = np.concatenate([self.rows, np.zeros((max(need, len(self.rows)), self.rows.shape[1]))])
         for word in new:
             self.rows[len(self.place)] = self.model.of_word(word)
             self.place[word] = len(self.place)
