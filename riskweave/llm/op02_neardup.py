@@ -307,9 +307,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The input rows without all but one of each class: the one of the smallest id stays (of repeated
     smallest ids, one)."""
-    names = docs.columns
     held = classes(docs, doc_id, text, **how).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    held = stored(held.groupBy("part").agg(F.min("class_id").alias("d_"), F.min("node").alias("n_")).drop("part"), "dup-held")
-    marked = docs.withColumn("_node", _node(F.coalesce(F.col(text), F.lit(""))))
-    kept = marked.join(held, F.col(doc_id).eqNullSafe(F.col("d_")) & (F.col("_node") == F.col("n_")), "left_semi")
-    return kept.dropDuplicates([doc_id, "_node"]).select(*names)
+    held = stored(held.groupBy("part").agg(F.min("class_id").alias("id"), F.min("node").alias("node")).drop("part"), "dup-held")
+    # the columns of the input travel as one, so that theirs may have any name
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("own"),
+                       _node(F.coalesce(F.col(text), F.lit(""))).alias("mark"))
+    kept = rows.join(held, F.col("own").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("node")), "left_semi")
+    return kept.dropDuplicates(["own", "mark"]).select("row.*")
