@@ -37,7 +37,9 @@ CAPACITY = 4096
 ITEM = 512
 SLACK = 6
 BATCH_TOKENS = 128 * CAPACITY
-_CHUNK = 600_000
+#: Bytes that the remembered words and pieces may take, about, and the longest of them.
+WORD_BYTES = 96 << 20
+LONGEST = 64
 
 
 def karmarkar_karp(sizes: list[int], k: int) -> list[list[int]]:
@@ -116,7 +118,7 @@ def pack(lengths: list[int], capacity: int = CAPACITY, item: int = ITEM) -> list
 
 class Encoder(dict):
     """Ids of texts. A text is encoded word by word at blanks and line ends, where this vocabulary never
-    joins tokens, and the ids of words are remembered as bytes (the items of this dict), up to a bound.
+    joins tokens, and the ids of words are remembered as bytes (the items of this dict), up to a bound in bytes.
 
     A new word passes the tokenizer's own steps: normalizer, pre-tokenizer, and once for each different piece
     the model. For a word of printable ASCII the first two are lower case and the pre-tokenizer's pattern, if
@@ -130,13 +132,17 @@ class Encoder(dict):
         tok = Tokenizer.from_file(path)
         self.model, self.normalizer, self.pre_tokenizer = tok.model, tok.normalizer, tok.pre_tokenizer
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
         made = json.loads(tok.to_str())
         self.cut, self.tok, self.added = _ascii_pattern(made), tok, _added_pattern(made)
 
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            got = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(piece)], dtype="<u4").tobytes()
+            got = np.array([t.id for t in self.model.tokenize(piece)], dtype="<u4").tobytes()
+            if len(piece) <= LONGEST:
+                self.pieces[piece] = got
+                self.held += 200 + 2 * len(piece) + len(got)
         return got
 
     def __missing__(self, word: str) -> bytes:
@@ -144,7 +150,10 @@ class Encoder(dict):
             pieces = self.cut.findall(word.lower())
         else:
             pieces = [p for p, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(word))]
-        got = self[word] = b"".join(map(self._piece, pieces))
+        got = b"".join(map(self._piece, pieces))
+        if len(word) <= LONGEST:
+            self[word] = got
+            self.held += 200 + 2 * len(word) + len(got)
         return got
 
     def __call__(self, texts: list[str], end: int) -> list[np.ndarray]:
@@ -153,7 +162,8 @@ class Encoder(dict):
             if self.added is not None and self.added.search(text):
                 out.append(np.array([*self.tok.encode(text, add_special_tokens=False).ids, end], dtype="<u4"))
                 continue
-            if len(self) > _CHUNK:
+            if self.held > WORD_BYTES:
+                self.held = 0
                 self.clear()
                 self.pieces.clear()
                 self[""] = b""

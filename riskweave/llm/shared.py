@@ -46,11 +46,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+#: Bytes of texts in one Arrow batch, where the session names no bound of its own (Spark's is 64 MB, which takes about
+#: four times as much beside the heap of an executor for each of its tasks).
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per application: they need not share the
-    driver's path."""
+    driver's path. Bounds the Arrow batches of the session, unless it sets them itself."""
+    if _BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
