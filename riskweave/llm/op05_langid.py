@@ -171,7 +171,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order_by: Colum
     if not langs:
         return Model([], [])
     share = sizes.select(F.col("lang").alias("of"), F.ceil(F.lit(1e6 * per_lang) / F.col("n")).alias("share"))
-    sample = rows.join(share, F.col("lang") == F.col("of")).where("point < share").select("lang", "text")
+    # one row for each class of the model, which goes to every task itself
+    sample = rows.join(F.broadcast(share), F.col("lang") == F.col("of")).where("point < share").select("lang", "text")
     counts = (sample.mapInArrow(_count_batches, "lang string, size int, piece string, n long")
               .groupBy("lang", "size", "piece").agg(F.sum("n").alias("n")))
     most = [max(1, min(m, MAX_ENTRIES * m // (len(langs) * (max_words + LONGEST * max_grams)))) for m in (max_words, max_grams)]
