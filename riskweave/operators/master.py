@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from riskweave import constants as K
 from riskweave.functions.columns import dms_to_decimal, r6, ts_literal, wkt_point
 from riskweave.operators.ranking import with_rank_stats
-from riskweave.operators.windows import latest_per_key
+from riskweave.operators.windows import day_of, latest_per_key, normalised
 
 
 # ---------------------------------------------------------------------------------------- M11 / A12
@@ -19,25 +19,25 @@ def latest_score_date(scores: DataFrame, feature_id: str) -> Column:
     """The newest day with rows for ``feature_id`` as a scalar subquery (evaluated once,
     substituted as a literal -- no join, no driver round trip)."""
     return (scores.where(F.col("feature_id") == F.lit(feature_id))
-                  .select(F.max(F.to_date("timestamp"))).scalar())
+                  .select(F.max(day_of(scores))).scalar())
 
 
 def risk_buckets(scores: DataFrame, feature_id: str, since: Column | _dt.date | None = None) -> DataFrame:
     """Scores > 0.9 are 'Critical'; the rest ('General') by percent_rank descending: <= 0.01
-    'High', <= 0.20 'Medium', else value > 0.01 'Low', else 'No'. NULL scores excluded; one (latest)
-    score per entity (Q11). percent_rank comes from exact rank statistics, not a global window."""
+    'High', <= 0.20 'Medium', else value > 0.01 'Low', else 'No'. NULL and NaN scores and rows without an entity are
+    excluded before anything is ranked; one (latest) score per entity (Q11). percent_rank comes from exact rank
+    statistics, not a global window."""
     since = latest_score_date(scores, feature_id) if since is None else since
     since_col = since if isinstance(since, Column) else F.lit(since)
-    rows = (scores.where(F.col("feature_id") == F.lit(feature_id))
-                  .where(F.to_date("timestamp") >= since_col)
-                  .where(F.col("feature_value").isNotNull()))
+    rows = normalised(scores.where(F.col("feature_id") == F.lit(feature_id)).where(day_of(scores) >= since_col))
+    rows = rows.where(F.col("feature_value").isNotNull())
     latest = latest_per_key(rows, ["entity_id"], ["timestamp"], ["feature_value"], tie_breaks=["feature_value"])
     grouped = latest.withColumn(
-        "primary_group",
+        "score_class",
         F.when(F.col("feature_value") > F.lit(K.CRITICAL_SCORE), F.lit(K.BUCKET_CRITICAL)).otherwise(F.lit(K.BUCKET_GENERAL)))
-    ranked = with_rank_stats(grouped, ["primary_group"], "feature_value")
+    ranked = with_rank_stats(grouped, ["score_class"], "feature_value")
     pct = F.when(F.col("_n") > 1, F.col("_n_greater") / (F.col("_n") - 1)).otherwise(F.lit(0.0))
-    bucket = (F.when(F.col("primary_group") == F.lit(K.BUCKET_CRITICAL), F.lit(K.BUCKET_CRITICAL))
+    bucket = (F.when(F.col("score_class") == F.lit(K.BUCKET_CRITICAL), F.lit(K.BUCKET_CRITICAL))
                .when(pct <= F.lit(K.HIGH_PERCENT_RANK), F.lit(K.BUCKET_HIGH))
                .when(pct <= F.lit(K.MEDIUM_PERCENT_RANK), F.lit(K.BUCKET_MEDIUM))
                .when(F.col("feature_value") > F.lit(K.LOW_SCORE), F.lit(K.BUCKET_LOW))
@@ -48,15 +48,14 @@ def risk_buckets(scores: DataFrame, feature_id: str, since: Column | _dt.date |
 # ---------------------------------------------------------------------------------------- M12
 def top_anomaly(scores: DataFrame, codes: list[str], day: Column | _dt.date, store: DataFrame,
                 risk_feature_name: str = "risk_score") -> DataFrame:
-    """M12 in one pass over day D: per entity, for every code with a non-NULL ``<code>_score`` the
+    """M12 in one pass over day D (NaN counts as NULL): per entity, for every code with a non-NULL ``<code>_score`` the
     code score (NULL read as 0) and the risk score; keep the highest code score, ties to the earliest
     code in ``codes``; only entities present in ``store`` (opt_id, opt_ro, opt_district, opt_state).
     ``greatest`` over (score, -position, code) structs replaces a per-code loop, union and sort."""
     day_col = day if isinstance(day, Column) else F.lit(day)
     names = [f"{c}_score" for c in codes]
-    rows = (scores.where(F.to_date("timestamp") == day_col)
-                  .where(F.col("feature_name").isin([risk_feature_name] + names))
-                  .withColumn("opt_id", F.upper("entity_id")))
+    rows = (normalised(scores.where(day_of(scores) == day_col))
+            .where(F.col("feature_name").isin([risk_feature_name] + names)).withColumn("opt_id", F.upper("entity_id")))
     v0 = F.coalesce(F.col("feature_value"), F.lit(0.0))
     aggs = [F.max(F.when(F.col("feature_name") == F.lit(risk_feature_name), v0)).alias("risk_score")]
     for i, n in enumerate(names):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from riskweave import constants as K
 from riskweave.functions.columns import ts_literal
-from riskweave.operators.windows import between_days, latest_per_key
+from riskweave.operators.windows import between_days, day_of, latest_per_key
 
 
 def _day(c="timestamp"):
@@ -28,7 +28,9 @@ def day_spine(keys: DataFrame, start: _dt.date, end: _dt.date) -> DataFrame:
 def missing_days(rows: DataFrame, keys: list[str], start: _dt.date, end: _dt.date,
                  expected_keys: DataFrame | None = None) -> DataFrame:
     """Expected (key, day) in [start, end] with no row (left anti against present days)."""
-    present = rows.where(between_days(rows, "timestamp", start, end)).select(*keys, _day().alias("day")).distinct()
+    day = day_of(rows)
+    near = rows.where(day.between(F.lit(start), F.lit(end))) if "ds" in rows.columns else rows.where(between_days(rows, "timestamp", start, end))
+    present = near.select(*keys, day.alias("day")).distinct()
     exp = expected_keys if expected_keys is not None else rows.select(*keys).distinct()
     return day_spine(exp, start, end).join(present, keys + ["day"], "left_anti")
 
@@ -69,7 +71,7 @@ def backfill_plan(features: DataFrame, spine, destination: DataFrame, source: Da
     Counts are aggregated per (feature, day) first; the per-date window sum is a bounded range
     aggregation over those daily counts."""
     jobs = features.withColumn("target_date", F.explode(spine))
-    existing = destination.groupBy("feature_id", _day().alias("target_date")).agg(F.count(F.lit(1)).alias("existing_rows"))
+    existing = destination.groupBy("feature_id", day_of(destination).alias("target_date")).agg(F.count(F.lit(1)).alias("existing_rows"))
     src_daily = source.groupBy(F.col("feature_id").alias("source_feature_id"), _day().alias("day")).agg(
         F.count(F.lit(1)).alias("_n"))
     src = (src_daily.withColumn("target_date", F.explode(F.sequence(F.col("day"), F.date_add("day", int(lookback_days)))))

@@ -79,6 +79,12 @@ def normalised(df: DataFrame) -> DataFrame:
     return out
 
 
+def day_of(df: DataFrame) -> Column:
+    """The day of a row: the partition value ``ds`` where the table has it, so that filters on days select
+    partitions, else the day of the timestamp."""
+    return F.to_date("ds" if "ds" in df.columns else "timestamp")
+
+
 def target_window(df: DataFrame, targets, lookback_days: int, ts_col: str = "timestamp",
                   feature_ids: list[str] | None = None) -> DataFrame:
     """Rows whose day lies in the closed window [D - lookback_days, D] of each target date D.
@@ -134,6 +140,8 @@ def asof_latest(df: DataFrame, keys: list[str], targets, value_cols: list[str],
     Rows before the span keep only the last one per key as the carry-in."""
     span = as_span(targets)
     rows = normalised(df.where(F.col(ts_col) < day_end_exclusive(df, ts_col, span.end)))
+    if "ds" in df.columns:
+        rows = rows.where(F.col("ds") <= F.lit(span.end.isoformat()))
     for c in value_cols:
         rows = rows.where(F.col(c).isNotNull())
     rows = rows.withColumn("_day", F.to_date(ts_col))

@@ -1,6 +1,5 @@
-"""Backfill writes: score rows in store shape (S7), slice replacement by dynamic partition
-overwrite (S8, idempotent), one day of a cumulative feature (S18) and multi-date
-scoring over a date span in one job.
+"""Backfill writes: score rows in store shape (S7), written to versioned tables (S8), one day of a cumulative
+feature (S18) and multi-date scoring over a date span in one job.
 
 Tables are written under the shared folder named by ``spark.checkpoint.dir`` (tests) or any table
 location a caller passes (production) -- never a machine-local temporary folder.
@@ -20,9 +19,7 @@ from riskweave.functions.columns import r2, ts_literal
 from riskweave.operators.cumulative import cumulative_feature
 from riskweave.operators.windows import latest_per_key
 from riskweave.session import ensure_checkpoint_dir
-
-STORE_PARTITIONS = ["feature_id", "ds"]
-
+from riskweave.sources.versioned import VersionedTable
 
 def score_rows(scores: DataFrame, feature_id: str, feature_name: str, feature_version, value_col: str = "score",
                date_col: str | None = "target_date", as_of: _dt.date | None = None) -> DataFrame:
@@ -37,12 +34,13 @@ def score_rows(scores: DataFrame, feature_id: str, feature_name: str, feature_ve
         F.lit(None).cast("string").alias("comments"), day.cast("string").alias("ds"))
 
 
-def replace_slices(rows: DataFrame, path: str) -> None:
-    """Replace exactly the (feature_id, ds) partitions present in ``rows`` -- running it twice
-    equals running it once; other slices are untouched. Rows are brought together by slice, and AQE splits
-    a slice that is too large for one writer."""
-    (rows.hint("rebalance", *STORE_PARTITIONS).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(*STORE_PARTITIONS).parquet(path))
+STORE_SCHEMA = ("entity_id string, feature_name string, feature_version string, feature_value double, timestamp timestamp_ntz, "
+                "comments string")
+
+
+def score_table(spark: SparkSession, path: str) -> VersionedTable:
+    """A table of score rows whose (feature_id, ds) slices are replaced by versions."""
+    return VersionedTable(spark, path, STORE_SCHEMA)
 
 
 def scratch_table_path(spark: SparkSession, name: str) -> str:
@@ -142,9 +140,9 @@ def backfill_from_registry(registry: DataFrame, feature_values: DataFrame, score
     return out
 
 
-def write_scores(scores: DataFrame, path: str, feature_id: str, feature_name: str, feature_version,
+def write_scores(scores: DataFrame, table: VersionedTable, feature_id: str, feature_name: str, feature_version,
                  value_col: str = "score", date_col: str = "target_date") -> dict:
-    """S7 + S8 + P11/A18: write one feature's scores as store rows (slice replacement) and return the
+    """S7 + S8 + P11/A18: write one feature's scores as store rows, in place of the slices of the same days, and return the
     run summary -- rows written and NULL/NaN scores dropped -- counted with an ``Observation`` on the
     write itself (no extra job)."""
     from pyspark.sql import Observation
@@ -154,7 +152,7 @@ def write_scores(scores: DataFrame, path: str, feature_id: str, feature_name: st
     obs = Observation(f"write_{feature_id}")
     observed = scores.observe(obs, F.count(F.lit(1)).alias("rows_in"), F.count_if(bad).alias("rows_dropped"))
     rows = score_rows(observed, feature_id, feature_name, feature_version, value_col, date_col)
-    replace_slices(rows, path)
+    table.append(rows)
     m = obs.get
     return {"feature_id": feature_id, "rows_written": int(m["rows_in"] - m["rows_dropped"]),
             "rows_dropped": int(m["rows_dropped"])}

@@ -18,7 +18,7 @@ from riskweave.operators.cumulative import cumulative_feature
 from riskweave.operators.master import enrich_entities, latest_location, latest_score_date, latest_sync, location_points, location_rejects
 from riskweave.operators.upsert import advance_watermark, compare_and_set, registry_mirror, upsert
 from riskweave.operators.windows import DateSpan
-from riskweave.plans.backfill import render_cumulative_day, replace_slices, score_rows, scratch_table_path
+from riskweave.plans.backfill import render_cumulative_day, score_rows, score_table, scratch_table_path
 from riskweave.plans.catalog import CAT_W as _CAT_W
 from riskweave.plans.catalog import (CLICK, DS, RISK_WEIGHTS, STORE_SQL, SUM30, D, _store, day_sql, entity_store, ev,
                                      fv, job)
@@ -440,7 +440,7 @@ def _serving_document(spark, sf):
                             .select(F.col("c_custkey").cast("string").alias("entity_id")), SERVE_START, D)
     store = _store(spark, sf)
     day = latest_score_date(store, "risk_score_v1")
-    risk = store.where((F.col("feature_id") == "risk_score_v1") & (F.to_date("timestamp") == day)).select(
+    risk = store.where((F.col("feature_id") == "risk_score_v1") & (F.to_date("ds") == day)).select(
         "entity_id", F.col("feature_value").alias("overall_risk_score"),
         F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("risk_analysis_updated_at"))
     packets = e.groupBy(F.col("user_id").cast("string").alias("entity_id")).agg(
@@ -459,7 +459,7 @@ def _risk_by_region(spark, sf):
     """A stable consumer view (explicit columns, one shared definition)."""
     store = _store(spark, sf)
     day = latest_score_date(store, "risk_score_v1")
-    r = store.where((F.col("feature_id") == "risk_score_v1") & (F.to_date("timestamp") == day)).select(
+    r = store.where((F.col("feature_id") == "risk_score_v1") & (F.to_date("ds") == day)).select(
         F.upper("entity_id").alias("opt_id"), "feature_value")
     view = (r.join(entity_store(spark, sf), "opt_id").groupBy(F.col("opt_state").alias("region"))
              .agg(F.count(F.lit(1)).alias("n_entities"), r6(F.avg("feature_value")).alias("avg_risk"),
@@ -487,10 +487,6 @@ def _backfill_range(spark, sf):
     return out.select(F.col("target_date").cast("string").alias("target_date"), "entity_id", r6("score").alias("score"))
 
 
-STORE_READ_SCHEMA = ("entity_id string, feature_name string, feature_version string, feature_value double, "
-                     "timestamp timestamp_ntz, comments string, feature_id string, ds string")
-
-
 _BR_SCORE = clip(f"CASE WHEN n <= 1 OR mr <= 1 THEN {dbl(1.0)} ELSE {dbl(1.0)} - (r - 1) / (mr - 1) * {dbl(1.0)} END", 0.0, 1.0)
 
 
@@ -502,14 +498,36 @@ SELECT entity_id, 'click_score_v1' AS feature_id, 'click_score' AS feature_name,
        {s2(_BR_SCORE)} AS feature_value, TIMESTAMP '2024-01-30 00:00:00' AS "timestamp", CAST(NULL AS VARCHAR) AS comments,
        '2024-01-30' AS ds FROM m""")
 def _backfill_replace(spark, sf):
-    """S7 + S8: write the slice twice with dynamic partition overwrite; the table equals one write."""
+    """S7 + S8: write the slice twice; the table equals one write."""
     f = fv(spark, sf, start=D - _dt.timedelta(days=30), end=D, event_types=["click"])
     scores = inst.rank_scoring(f, CLICK, D, require_aggregation=True)
     rows = score_rows(scores, "click_score_v1", "click_score", 1)
-    path = scratch_table_path(spark, "score_store")
-    replace_slices(rows, path)
-    replace_slices(rows, path)
-    return spark.read.schema(STORE_READ_SCHEMA).parquet(path)
+    table = score_table(spark, scratch_table_path(spark, "score_store"))
+    table.append(rows)
+    table.append(rows)
+    return table.read()
+
+
+RW_START, RW_END = _dt.date(2024, 1, 10), _dt.date(2024, 1, 20)
+
+
+@job("backfill_replace_window", f"""WITH {score_store_cte(RISK_WEIGHTS)}
+SELECT entity_id, feature_id, feature_value, CAST("timestamp" AS DATE)::VARCHAR AS ds FROM store
+WHERE NOT (feature_id IN ('click_score_v1', 'view_score_v1') AND CAST("timestamp" AS DATE) BETWEEN DATE '{RW_START}' AND DATE '{RW_END}')
+UNION ALL SELECT entity_id, feature_id, feature_value + 1, CAST("timestamp" AS DATE)::VARCHAR FROM store
+WHERE feature_id = 'click_score_v1' AND CAST("timestamp" AS DATE) BETWEEN DATE '{RW_START}' AND DATE '{RW_END}'
+  AND day(CAST("timestamp" AS DATE)) % 2 = 0""")
+def _backfill_replace_window(spark, sf):
+    """In a window of two features the even days of one get other rows, its odd days and the other feature's days
+    get none and go; all else stays. The same push under the same id changes nothing."""
+    store = _store(spark, sf)
+    table = score_table(spark, scratch_table_path(spark, "replaced"))
+    table.append(store)
+    inside = F.col("ds").between(RW_START.isoformat(), RW_END.isoformat()) & (F.day(F.to_date("ds")) % 2 == 0)
+    rows = store.where((F.col("feature_id") == "click_score_v1") & inside).withColumn("feature_value", F.col("feature_value") + 1)
+    for _ in range(2):
+        table.replace_window(rows, ["click_score_v1", "view_score_v1"], RW_START, RW_END, source="push-1")
+    return table.read().select("entity_id", "feature_id", "feature_value", "ds")
 
 
 @job("cumulative_sql_day", f"""WITH {fv_cte()},
@@ -667,15 +685,38 @@ def _scoring_features(spark, sf):
 @job("status_log_json", f"""WITH {dv.STATUS_SQL}
 SELECT run_id, dag_id, task_key, status, cadence FROM latest_status WHERE seq % 13 <> 0""")
 def _status_log_json(spark, sf):
-    """S16 write + S6 read: latest status records written as JSON under run/dag folders, a share of
-    them corrupted on purpose; read back with an explicit schema and DROPMALFORMED."""
+    """S16 write + S6 read: latest status records written as JSON under run/dag folders; a share of the log is
+    unreadable and skipped."""
     from riskweave.sources.status import read_layer_status, write_status_records
     latest = _latest_status(spark, sf, ["category", "status", "error", "traceback", "cadence"])
     path = scratch_table_path(spark, "status")
-    write_status_records(latest, path, corrupt=F.col("seq") % 13 == 0)
+    write_status_records(latest.where("seq % 13 <> 0"), path, "20240130T0000-a")
+    torn = latest.where("seq % 13 = 0").select("run_id", "dag_id", F.concat(F.lit('{"task_key": "'), "task_key", F.lit('", "stat')).alias("value"))
+    torn.write.partitionBy("run_id", "dag_id").text(f"{path}/records/attempt=20240130T0000-b")
     return read_layer_status(spark, path).select("run_id", "dag_id", "task_key", "status", "cadence")
 
 
+@job("status_two_writes", f"""WITH {dv.STATUS_SQL},
+passes AS (SELECT run_id, dag_id, task_key, status, written_at, error, seq, 1 AS pass FROM latest_status
+         UNION ALL SELECT run_id, dag_id, task_key, 'retried', written_at, NULL, seq, 2 FROM latest_status WHERE seq % 3 = 0)
+SELECT run_id, dag_id, task_key, status, written_at, length(left(error, 2000)) AS error_len FROM passes
+QUALIFY row_number() OVER (PARTITION BY run_id, dag_id, task_key ORDER BY written_at DESC, pass DESC) = 1""")
+def _status_two_writes(spark, sf):
+    """The tasks of each run are written in two attempts, then a third of them again at the same time, then the log is
+    compacted twice: each task's newest record is there once."""
+    from riskweave.sources.status import compact, read_layer_status, write_status_records
+    latest = _latest_status(spark, sf, ["category", "status", "error", "traceback", "cadence"])
+    path = scratch_table_path(spark, "status")
+    write_status_records(latest.where("seq % 2 = 0"), path, "20240130T0000-a")
+    write_status_records(latest.where("seq % 2 <> 0"), path, "20240130T0001-a")
+    again = latest.where("seq % 3 = 0").withColumn("status", F.lit("retried")).drop("error")
+    write_status_records(again, path, "20240130T0002-a")
+    compact(spark, path, "20240130T0003-c")
+    compact(spark, path, "20240130T0004-c")
+    return read_layer_status(spark, path).select("run_id", "dag_id", "task_key", "status", F.col("written_at").cast("timestamp_ntz").alias("written_at"),
+                                                 F.length("error").cast("long").alias("error_len"))
+
+
 @job("category_gated_work", f"""WITH {dv.STATUS_SQL},
 r AS (SELECT *, (status IS NULL OR status <> 'skipped') AND (cadence IS NULL OR cadence <> 'hourly') AS relevant FROM latest_status),
 v AS (SELECT run_id, category FROM r GROUP BY run_id, category
@@ -777,11 +818,11 @@ def _backfill_summary(spark, sf):
     from riskweave.operators.instance import log_based_scoring, rank_scoring
     from riskweave.plans.backfill import write_scores
     f = fv(spark, sf, start=BF_SPAN.start - _dt.timedelta(days=30), end=BF_SPAN.end, event_types=["click", "error"])
-    path = scratch_table_path(spark, "score_store")
+    table = score_table(spark, scratch_table_path(spark, "score_store"))
     summary = [
-        write_scores(rank_scoring(f, CLICK, BF_SPAN, range_start=0.5, range_end=1, require_aggregation=True), path,
+        write_scores(rank_scoring(f, CLICK, BF_SPAN, range_start=0.5, range_end=1, require_aggregation=True), table,
                      "click_backfill_score_v1", "click_backfill_score", 1),
-        write_scores(log_based_scoring(f, "error_count_daily_v1", BF_SPAN, period_in_days=30), path,
+        write_scores(log_based_scoring(f, "error_count_daily_v1", BF_SPAN, period_in_days=30), table,
                      "error_backfill_score_v1", "error_backfill_score", 1),
     ]
     return spark.createDataFrame(summary, "feature_id string, rows_written long, rows_dropped long")

@@ -9,7 +9,7 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.operators.windows import between_days, latest_per_key
+from riskweave.operators.windows import between_days, latest_per_key, normalised
 
 ISO_LOCAL = "yyyy-MM-dd'T'HH:mm:ss"
 FEATURE_T = "array<struct<feature_id:string,feature_value:double,description:string,last_updated:string>>"
@@ -22,7 +22,7 @@ def _map(d: dict):
 def serving_latest(fv: DataFrame, active_entities: DataFrame, start: _dt.date, end: _dt.date) -> DataFrame:
     """Newest value per (entity, feature) over the window (pushing days oldest-first leaves the
     newest value), only for entities active in the master (left semi, J8). One write, no day loop."""
-    w = fv.where(between_days(fv, "timestamp", start, end))
+    w = normalised(fv.where(between_days(fv, "timestamp", start, end))).where(F.col("feature_value").isNotNull())
     last = latest_per_key(w, ["entity_id", "feature_id"], ["timestamp"], ["feature_value"], tie_breaks=["feature_value"])
     return last.join(active_entities.select("entity_id"), "entity_id", "left_semi")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.functions.columns import ts_literal
-from riskweave.operators.windows import between_days, latest_non_null_per_key
+from riskweave.operators.windows import between_days, latest_non_null_per_key, normalised
 
 FEATURE_VALUE_SCHEMA = T.StructType([
     T.StructField("entity_id", T.StringType()),
@@ -74,26 +74,25 @@ def event_feature_ids(events: DataFrame, measure: str = "count", version: str =
 
 def load_feature_values(fv: DataFrame, feature_ids: list[str], min_date: _dt.date, max_date: _dt.date) -> DataFrame:
     """Rows of the listed features with day in the closed range [min_date, max_date]; value as
-    double; duplicates kept; rows with a NULL entity dropped (pandas group-bys drop them, Q21)."""
-    return (fv.where(F.col("feature_id").isin(list(feature_ids)))
+    double, NaN as NULL; duplicates kept; rows with a NULL entity dropped (Q21)."""
+    return normalised(fv.where(F.col("feature_id").isin(list(feature_ids)))
               .where(between_days(fv, "timestamp", min_date, max_date))
-              .where(F.col("entity_id").isNotNull())
               .select("entity_id", "feature_id", F.col("feature_value").cast("double").alias("feature_value"),
                       "timestamp"))
 
 
 def load_feature_values_asof(fv: DataFrame, feature_ids: list[str], as_of: _dt.date,
                              latest_only: bool = True) -> DataFrame:
-    """All rows with day <= as_of; with ``latest_only`` the newest non-NULL value per (entity,
-    feature) (W3/Q5) and the newest timestamp."""
-    rows = (fv.where(F.col("feature_id").isin(list(feature_ids)))
+    """All rows with day <= as_of; with ``latest_only`` the newest value per (entity, feature) that is neither NULL
+    nor NaN (W3/Q5) and the newest timestamp; of rows at the same time the largest value (Q18)."""
+    rows = normalised(fv.where(F.col("feature_id").isin(list(feature_ids)))
               .where(F.col("timestamp") < ts_literal(as_of + _dt.timedelta(days=1), fv.schema["timestamp"].dataType))
-              .where(F.col("entity_id").isNotNull())
               .select("entity_id", "feature_id", "feature_name",
                       F.col("feature_value").cast("double").alias("feature_value"), "timestamp"))
     if not latest_only:
         return rows
-    return latest_non_null_per_key(rows, ["entity_id", "feature_id"], "timestamp", ["feature_name", "feature_value"])
+    return latest_non_null_per_key(rows, ["entity_id", "feature_id"], "timestamp", ["feature_name", "feature_value"],
+                                   tie_breaks=["feature_value"])
 
 
 def missing_feature_ids(fv: DataFrame, feature_ids: list[str], as_of: _dt.date, spark=None) -> DataFrame:

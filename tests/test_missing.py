@@ -43,6 +43,6 @@ def test_two_status_runs_survive(spark, tmp_path):
 
     path = str(tmp_path / "log")
     for name in ("run1", "run2"):
-        write_status_records(run(name), path)
+        write_status_records(run(name), path, name)
     got = read_layer_status(spark, path).collect()
     assert sorted(r.run_id for r in got) == ["run1", "run2"] and {r.error_type for r in got} == {"Oops"}
