@@ -35,7 +35,7 @@ def risk_buckets(scores: DataFrame, feature_id: str, since: Column | _dt.date |
     grouped = latest.withColumn(
         "score_class",
         F.when(F.col("feature_value") > F.lit(K.CRITICAL_SCORE), F.lit(K.BUCKET_CRITICAL)).otherwise(F.lit(K.BUCKET_GENERAL)))
-    ranked = with_rank_stats(grouped, ["score_class"], "feature_value")
+    ranked = with_rank_stats(grouped, ["score_class"], "feature_value", groups=2)
     pct = F.when(F.col("_n") > 1, F.col("_n_greater") / (F.col("_n") - 1)).otherwise(F.lit(0.0))
     bucket = (F.when(F.col("score_class") == F.lit(K.BUCKET_CRITICAL), F.lit(K.BUCKET_CRITICAL))
                .when(pct <= F.lit(K.HIGH_PERCENT_RANK), F.lit(K.BUCKET_HIGH))

@@ -13,7 +13,8 @@ Plan: (1) collapse to distinct (group, value) with counts -- the partial aggrega
 buckets only decide *placement*, results stay exact); (3) a running count inside each bucket plus a
 broadcast table of bucket offsets (groups x buckets rows); (4) join back to the rows with hot values
 salted. Bucket boundaries and offsets are one row per group and bucket: their size is bounded by the
-number of groups (feature x target date), which is configuration, not data.
+number of groups (feature x target date). Callers that know this number name it, and the tables are broadcast if
+it is small; without it the planner decides by their size.
 """
 
 from __future__ import annotations
@@ -30,6 +31,15 @@ from riskweave.operators.skew import HOT_ROWS, SALTS, salted_join
 BUCKETS = 200
 
 
+#: Rows of group statistics that may be sent to every task.
+BROADCAST_ROWS = 500_000
+
+
+def _hint(df: DataFrame, groups: int | None, rows_per_group: int) -> DataFrame:
+    """A broadcast hint where the number of groups is known and small; otherwise the planner decides by size."""
+    return F.broadcast(df) if groups is not None and groups * rows_per_group <= BROADCAST_ROWS else df
+
+
 def _distinct_values(df: DataFrame, group_cols: list[str], value_col: str) -> DataFrame:
     if not group_cols:
         raise ValueError("rank statistics need at least one group column (e.g. target_date)")
@@ -74,37 +84,37 @@ def _group_stats(dv: DataFrame, g: list[str], value_col: str, buckets: int, hot_
 
 def distinct_value_ranks(df: DataFrame, group_cols: list[str], value_col: str,
                          buckets: int | None = None, dv: DataFrame | None = None, stats: DataFrame | None = None,
-                         hot_rows: int = HOT_ROWS) -> DataFrame:
+                         hot_rows: int = HOT_ROWS, groups: int | None = None) -> DataFrame:
     """One row per (group, distinct value): _cnt, _n_less, _n_greater, _n, _cnt_min, _cnt_max."""
     g = list(group_cols)
     buckets = buckets or BUCKETS
     v = F.col(value_col)
     dv = _distinct_values(df, g, value_col) if dv is None else dv
     stats = _group_stats(dv, g, value_col, buckets, hot_rows) if stats is None else stats
-    dvb = dv.join(F.broadcast(stats.drop("_hot_values")), g)
+    dvb = dv.join(_hint(stats.drop("_hot_values"), groups, buckets), g)
     dvb = _count_below(dvb, "_bounds", value_col, buckets - 1).drop("_bounds")
     per_bucket = dvb.groupBy(*g, "_b").agg(F.sum("_cnt").alias("_bcnt"))
     before = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(*g, "_b", F.coalesce(F.sum("_bcnt").over(before), F.lit(0)).alias("_off"))
     inside = Window.partitionBy(*g, "_b").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
-    out = dvb.join(F.broadcast(offsets), g + ["_b"])
+    out = dvb.join(_hint(offsets, groups, buckets), g + ["_b"])
     out = out.withColumn("_n_less", F.col("_off") + F.coalesce(F.sum("_cnt").over(inside), F.lit(0)))
     out = out.withColumn("_n_greater", F.col("_n") - F.col("_n_less") - F.col("_cnt"))
     return out.drop("_b", "_off")
 
 
 def with_rank_stats(df: DataFrame, group_cols: list[str], value_col: str, buckets: int | None = None,
-                    hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
-    """Rows of ``df`` with a non-null, non-NaN value, plus the rank-statistic columns. The per-group
+                    hot_rows: int = HOT_ROWS, salts: int = SALTS, groups: int | None = None) -> DataFrame:
+    """``groups``: how many groups there are at most, where the caller knows. Rows of ``df`` with a non-null, non-NaN value, plus the rank-statistic columns. The per-group
     stats broadcast also carries the hot values, so tagging hot rows costs no extra pass."""
     g = list(group_cols)
     buckets = buckets or BUCKETS
     dv = _distinct_values(df, g, value_col)
     stats = _group_stats(dv, g, value_col, buckets, hot_rows)
-    ranks = distinct_value_ranks(df, g, value_col, buckets, dv=dv, stats=stats, hot_rows=hot_rows)
+    ranks = distinct_value_ranks(df, g, value_col, buckets, dv=dv, stats=stats, hot_rows=hot_rows, groups=groups)
     v = F.col(value_col)
     rows = (df.where(v.isNotNull() & ~F.isnan(v))
-              .join(F.broadcast(stats.select(*g, "_hot_values")), g)
+              .join(_hint(stats.select(*g, "_hot_values"), groups, buckets), g)
               .withColumn("_is_hot", F.array_contains("_hot_values", v)).drop("_hot_values"))
     spread = [c for c in df.columns if c not in g + [value_col]] or [value_col]
     out = salted_join(rows, ranks, g + [value_col], F.col("_is_hot"), F.col("_cnt") >= hot_rows, salts, spread_cols=spread)
@@ -112,12 +122,12 @@ def with_rank_stats(df: DataFrame, group_cols: list[str], value_col: str, bucket
 
 
 def quantile_rows(df: DataFrame, group_cols: list[str], value_col: str, p: float,
-                  buckets: int | None = None, out_col: str = "quantile") -> DataFrame:
+                  buckets: int | None = None, out_col: str = "quantile", groups: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantile per group (same as pandas ``quantile`` / ``quantile_cont``):
     with h = (n-1)p, the value at 0-based ascending position k is the distinct value with
     n_less <= k < n_less + cnt."""
     g = list(group_cols)
-    dv = distinct_value_ranks(df, g, value_col, buckets)
+    dv = distinct_value_ranks(df, g, value_col, buckets, groups=groups)
     h = (F.col("_n") - 1) * F.lit(float(p))
     k0, k1 = F.floor(h), F.ceil(h)
 

@@ -18,6 +18,7 @@ from riskweave import constants as K
 from riskweave.functions.columns import r2, ts_literal
 from riskweave.operators.cumulative import cumulative_feature
 from riskweave.operators.windows import latest_per_key
+from riskweave.plans.dispatch import Spec, groups_of, score_group, spec_of
 from riskweave.session import ensure_checkpoint_dir
 from riskweave.sources.versioned import VersionedTable
 
@@ -97,43 +98,53 @@ def typed_params(parsed_rows) -> dict:
     return out
 
 
-def backfill_from_registry(registry: DataFrame, feature_values: DataFrame, score_store: DataFrame | None,
-                           targets) -> DataFrame:
-    """The score backfill as one plan: registry (feature_id, feature_name, version, dependent_features)
-    -> parsed parameters -> method dispatch (instance methods read ``feature_values``, category methods
-    read ``score_store``) -> store rows for every target date of the span, unioned.
-
-    Only the parsed *parameter rows* of the registry (configuration: one row per feature parameter)
-    reach the driver, to choose the method and its arguments; all scoring runs as Spark plans over
-    the whole span at once."""
-    from riskweave.operators.category import CATEGORY_METHODS
-    from riskweave.operators.instance import INSTANCE_METHODS
+MOST_PARAMETERS = 1_000_000
+
+
+def registry_specs(registry: DataFrame) -> list[Spec]:
+    """The specs of registry rows (feature_id, feature_name, version, dependent_features), one for each row. Only parsed
+    parameters come to the driver, which are configuration; more than ``MOST_PARAMETERS`` are an error."""
     from riskweave.sources.registry import parse_dependent_features
 
-    meta = registry.select("feature_id", "feature_name", "version")
-    parsed = parse_dependent_features(registry).join(meta, "feature_id")
+    parsed = parse_dependent_features(registry).limit(MOST_PARAMETERS + 1).collect()
+    if len(parsed) > MOST_PARAMETERS:
+        raise ValueError(f"the registry names more than {MOST_PARAMETERS} parameters")
     by_feature: dict[str, list] = {}
-    for r in parsed.toLocalIterator():
-        by_feature.setdefault(r["feature_id"], []).append(r.asDict())
-    parts = []
-    for fid in sorted(by_feature):
-        rows = by_feature[fid]
-        params = typed_params(rows)
-        name, version = rows[0]["feature_name"], rows[0]["version"]
-        if "scoring_method" in params:
-            fn = INSTANCE_METHODS[params.pop("scoring_method")]
-            scored = fn(feature_values, targets=targets, **params)
-            parts.append(score_rows(scored, fid, name, version, "score"))
-        elif "scoring_function" in params:
-            if score_store is None:
-                raise ValueError(f"{fid} combines scores, but no score store was given")
-            fn = CATEGORY_METHODS[params.pop("scoring_function")]
-            scored = fn(score_store, targets, **params)
-            parts.append(score_rows(scored, fid, name, version, "risk_value"))
+    for r in parsed:
+        by_feature.setdefault(r["feature_id"], []).append(r)
+    out = []
+    for row in registry.select("feature_id", "feature_name", "version").distinct().limit(MOST_PARAMETERS).collect():
+        try:
+            params = typed_params(by_feature.get(row["feature_id"], []))
+        except (ValueError, TypeError) as e:
+            out.append(Spec(row["feature_id"], row["feature_name"], str(row["version"]), problem=f"unreadable parameters: {e}"))
         else:
-            raise ValueError(f"{fid} names neither a scoring_method nor a scoring_function")
-    if not parts:
+            out.append(spec_of(row["feature_id"], row["feature_name"], row["version"], params))
+    return sorted(out, key=lambda s: s.feature_id)
+
+
+def store_rows(scored: DataFrame, specs: list[Spec]) -> DataFrame:
+    """S7/P11 for many features: (out_id, target_date, entity_id, score) as store rows with ``ds``; NULL and NaN scores go."""
+    meta = scored.sparkSession.createDataFrame([(s.feature_id, s.feature_name, s.version) for s in specs],
+                                               "out_id string, feature_name string, feature_version string")
+    v = F.col("score")
+    return scored.where(v.isNotNull() & ~F.isnan(v)).join(F.broadcast(meta), "out_id").select(
+        F.col("entity_id").cast("string").alias("entity_id"), F.col("out_id").alias("feature_id"), "feature_name", "feature_version",
+        r2(v).alias("feature_value"), F.col("target_date").cast("timestamp_ntz").alias("timestamp"),
+        F.lit(None).cast("string").alias("comments"), F.col("target_date").cast("string").alias("ds"))
+
+
+def backfill_from_registry(registry: DataFrame, feature_values: DataFrame, score_store: DataFrame | None,
+                           targets) -> DataFrame:
+    """The score backfill as one plan: registry -> specs -> one sub-plan for each (method, parameters) -> store rows for every
+    target date of the span. A row that cannot be scored is an error here; ``plans.outcomes`` records it instead."""
+    specs = registry_specs(registry)
+    bad = [f"{s.feature_id}: {s.problem}" for s in specs if s.problem is not None]
+    if bad:
+        raise ValueError("; ".join(bad[:5]))
+    if not specs:
         raise ValueError("no registry row names a known scoring method or function")
+    parts = [store_rows(score_group(g, feature_values, score_store, targets), g) for g in groups_of(specs)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
