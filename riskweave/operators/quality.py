@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave import constants as K
@@ -63,6 +63,49 @@ def preflight(store: DataFrame, feature_id: str, daily_feature_id: str | None, s
     return out.select(F.lit(feature_id).alias("feature_id"), "*")
 
 
+def preflight_many(store: DataFrame, features: DataFrame, start: _dt.date, end: _dt.date, waivers: DataFrame | None = None) -> DataFrame:
+    """G1/J10 for many features (feature_id, daily_feature_id) in one plan: (feature_id, check_kind, first_day, last_day, n,
+    blocking, waived).
+
+    ``existing_rows`` per day of the window, ``seed_history`` (the last day before it), ``later_rows`` after it
+    (blocking), ``missing_daily`` per run of days of the window on which the daily input has no row (blocking). Runs
+    come from neighbouring present days (``lead``), not from a list of all days. ``waivers`` (feature_id or NULL
+    for all, check_kind) take a check's blocking away."""
+    days = store.groupBy("feature_id", day_of(store).alias("day")).agg(F.count(F.lit(1)).alias("n")).where("day IS NOT NULL")
+    own = days.join(features.select("feature_id").distinct(), "feature_id")
+    one = [F.col("day").alias("first_day"), F.col("day").alias("last_day")]
+    existing = own.where(F.col("day").between(F.lit(start), F.lit(end))).select("feature_id", F.lit("existing_rows").alias("check_kind"), *one, "n",
+                                                                                F.lit(False).alias("blocking"))
+    seed = own.where(F.col("day") < F.lit(start)).groupBy("feature_id").agg(F.max("day").alias("day"), F.max_by("n", "day").alias("n")).select(
+        "feature_id", F.lit("seed_history").alias("check_kind"), *one, "n", F.lit(False).alias("blocking"))
+    later = own.where(F.col("day") > F.lit(end)).groupBy("feature_id").agg(
+        F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.sum("n").alias("n")).select(
+        "feature_id", F.lit("later_rows").alias("check_kind"), "first_day", "last_day", "n", F.lit(True).alias("blocking"))
+    inputs = features.where(F.col("daily_feature_id").isNotNull()).select("feature_id", "daily_feature_id").distinct()
+    present = days.where(F.col("day").between(F.lit(start), F.lit(end))).select(F.col("feature_id").alias("daily_feature_id"), "day")
+    edges = inputs.select("feature_id", F.explode(F.array(F.lit(start - _dt.timedelta(days=1)), F.lit(end + _dt.timedelta(days=1)))).alias("day"))
+    seen = inputs.join(present, "daily_feature_id").select("feature_id", "day").unionByName(edges)
+    following = F.lead("day").over(Window.partitionBy("feature_id").orderBy("day"))         # at most the days of the window
+    runs = seen.withColumn("next", following).withColumn("n", (F.datediff("next", "day") - 1).cast("long")).where("n > 0")
+    gaps = runs.select("feature_id", F.lit("missing_daily").alias("check_kind"), F.date_add("day", 1).alias("first_day"),
+                       F.date_sub("next", 1).alias("last_day"), "n", F.lit(True).alias("blocking"))
+    report = existing.unionByName(seed).unionByName(later).unionByName(gaps)
+    if waivers is None:
+        return report.withColumn("waived", F.lit(False))
+    every = waivers.where("feature_id IS NULL").select("check_kind", F.lit(True).alias("for_all")).distinct()
+    named = waivers.where("feature_id IS NOT NULL").select("feature_id", "check_kind", F.lit(True).alias("for_one")).distinct()
+    marked = report.join(F.broadcast(every), "check_kind", "left").join(named, ["feature_id", "check_kind"], "left")
+    waived = F.col("blocking") & (F.coalesce("for_all", F.lit(False)) | F.coalesce("for_one", F.lit(False)))
+    return marked.select("feature_id", "check_kind", "first_day", "last_day", "n", (F.col("blocking") & ~waived).alias("blocking"), waived.alias("waived"))
+
+
+def preflight_verdicts(report: DataFrame, features: DataFrame) -> DataFrame:
+    """Per feature whether a check blocks it, and how many blocking findings were waived."""
+    found = report.groupBy("feature_id").agg(F.bool_or("blocking").alias("blocked"), F.count_if("waived").alias("n_waived"))
+    return features.select("feature_id").distinct().join(found, "feature_id", "left").select(
+        "feature_id", F.coalesce("blocked", F.lit(False)).alias("blocked"), F.coalesce("n_waived", F.lit(0)).alias("n_waived"))
+
+
 def backfill_plan(features: DataFrame, spine, destination: DataFrame, source: DataFrame,
                   lookback_days: int, dry_run: bool = True, force: bool = False) -> DataFrame:
     """Features (feature_id, source_feature_id) x dates (``spine`` is an array<date> column such as

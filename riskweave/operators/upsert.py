@@ -29,7 +29,8 @@ def upsert(target: DataFrame, source: DataFrame, key: str, policies: dict, now,
     then by the other columns in their order, so no key multiplies a master row.
 
     ``touch``: 'source' -> ``now`` for every key in the source; 'missing' -> ``now`` only for new
-    keys and for keys where some fill column was missing; 'never'."""
+    keys and for keys where some fill column was missing; 'changed' -> ``now`` for new keys and where the value of some
+    column becomes another (Q20); 'never'."""
     now_col = now if isinstance(now, Column) else F.lit(now)
     scols = [c for c in source.columns if c != key]
     order = list(source_order or [])
@@ -50,31 +51,41 @@ def upsert(target: DataFrame, source: DataFrame, key: str, policies: dict, now,
             fill_tests[c] = missing(c, False)
         elif pol == "fill_sentinel":
             fill_tests[c] = missing(c, True)
+    def value(c: str) -> Column | None:
+        """The column after the upsert; None without a policy."""
+        pol, sv = policies.get(c), F.col(f"_s_{c}") if c in scols else F.lit(None)
+        if pol == "overwrite":
+            return F.when(in_s, sv).otherwise(F.col(c))
+        if pol == "keep_old":
+            return F.when(in_s, F.coalesce(sv, F.col(c))).otherwise(F.col(c))
+        if pol in ("fill_missing", "fill_sentinel"):
+            return F.when(in_s & (~in_t | fill_tests[c]), sv).otherwise(F.col(c))
+        if isinstance(pol, tuple) and pol[0] == "follow":
+            return F.when(in_s & (~in_t | fill_tests[pol[1]]), sv).otherwise(F.col(c))
+        return None
+
     out = []
     for c in target.columns:
-        pol = policies.get(c)
-        sv = F.col(f"_s_{c}") if c in scols else F.lit(None)
         if c == key:
             out.append(F.col(key))
         elif c == touch_col and touch != "never":
             if touch == "source":
                 cond = in_s
+            elif touch == "changed":
+                cond = in_s & ~in_t
+                for other in target.columns:
+                    after = value(other) if other not in (key, touch_col) else None
+                    if after is not None:
+                        cond = cond | (in_s & ~after.eqNullSafe(F.col(other)))
             else:
                 any_missing = None
                 for test in fill_tests.values():
                     any_missing = test if any_missing is None else (any_missing | test)
                 cond = in_s & (~in_t | F.coalesce(any_missing, F.lit(False)))
             out.append(F.when(cond, now_col).otherwise(F.col(c)).alias(c))
-        elif pol == "overwrite":
-            out.append(F.when(in_s, sv).otherwise(F.col(c)).alias(c))
-        elif pol == "keep_old":
-            out.append(F.when(in_s, F.coalesce(sv, F.col(c))).otherwise(F.col(c)).alias(c))
-        elif pol in ("fill_missing", "fill_sentinel"):
-            out.append(F.when(in_s & (~in_t | fill_tests[c]), sv).otherwise(F.col(c)).alias(c))
-        elif isinstance(pol, tuple) and pol[0] == "follow":
-            out.append(F.when(in_s & (~in_t | fill_tests[pol[1]]), sv).otherwise(F.col(c)).alias(c))
         else:
-            out.append(F.col(c))
+            after = value(c)
+            out.append(F.col(c) if after is None else after.alias(c))
     return j.select(*out)
 
 

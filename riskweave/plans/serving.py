@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators.windows import between_days, latest_per_key, normalised
+from riskweave.sources.versioned import VersionedTable
 
 ISO_LOCAL = "yyyy-MM-dd'T'HH:mm:ss"
 FEATURE_T = "array<struct<feature_id:string,feature_value:double,description:string,last_updated:string>>"
@@ -27,6 +28,36 @@ def serving_latest(fv: DataFrame, active_entities: DataFrame, start: _dt.date, e
     return last.join(active_entities.select("entity_id"), "entity_id", "left_semi")
 
 
+SERVING_SCHEMA = "entity_id string, feature_value double, timestamp timestamp_ntz"
+
+
+def push_serving(table: VersionedTable, fv: DataFrame, active_entities: DataFrame, feature_ids: list[str], start: _dt.date, end: _dt.date,
+                 batch_id: str) -> int:
+    """S9 + S14: the serving table's days of the window become the newest values of each day, for active entities only, and the
+    features' high-water marks move to ``end`` if they are older: both in one commit. A push that fails
+    leaves rows and marks as they were; the same batch id again changes nothing."""
+    rows = normalised(fv.where(F.col("feature_id").isin(list(feature_ids))).where(between_days(fv, "timestamp", start, end)))
+    rows = rows.where(F.col("feature_value").isNotNull()).withColumn("ds", F.to_date("timestamp").cast("string"))
+    rows = rows.join(active_entities.select("entity_id").distinct(), "entity_id", "left_semi")
+    daily = latest_per_key(rows, ["entity_id", "feature_id", "ds"], ["timestamp"], ["feature_value"], tie_breaks=["feature_value"])
+
+    def advanced(notes: dict) -> dict:
+        marks = dict(notes.get("marks", {}))
+        for f in feature_ids:
+            marks[f] = max(marks.get(f, ""), end.isoformat())
+        return {**notes, "marks": marks}
+
+    return table.replace_window(daily, list(feature_ids), start, end, source=batch_id, notes=advanced)
+
+
+def pushed_values(table: VersionedTable) -> DataFrame:
+    """What the serving side shows: the newest value of each (entity, feature) with its feature's mark."""
+    last = latest_per_key(table.read(), ["entity_id", "feature_id"], ["ds", "timestamp"], ["feature_value"], tie_breaks=["feature_value"])
+    marks = list((table.commit_info().get("notes") or {}).get("marks", {}).items())        # one for each feature
+    marked = table.spark.createDataFrame(marks, "feature_id string, last_successful_run string")
+    return last.join(F.broadcast(marked), "feature_id", "left")
+
+
 def serving_document(latest: DataFrame, entities: DataFrame, feature_categories: dict[str, str],
                      descriptions: dict[str, str], category_names: list[str], zone_suffix: str = "+05:30") -> DataFrame:
     """One nested row per entity. Every configured category appears (``features: []`` and score 0

@@ -24,6 +24,7 @@ import datetime as _dt
 import json
 import threading
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -170,9 +171,10 @@ class VersionedTable:
         return rows.groupBy(*SLICE).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 0").select(
             *SLICE, F.lit(batch).alias("batch"), "n_rows")
 
-    def commit(self, batches: list[str], drop, source: str | None = None, notes: dict | None = None) -> int:
+    def commit(self, batches: list[str], drop, source: str | None = None, notes: Callable[[dict], dict] | None = None) -> int:
         """Make the next version: the present slices without those that ``drop`` (a condition on feature_id and ds, or a
-        frame of slices) holds for, and the slices of ``batches``. With a ``source`` id that was committed before nothing changes. The new version."""
+        frame of slices) holds for, and the slices of ``batches``. With a ``source`` id that was committed before nothing changes.
+        ``notes`` makes the notes of the version (a small dict, kept in the commit file) from those before. The new version."""
         if source is not None and self.applied(source):
             return self.version()
         fresh = None
@@ -192,7 +194,7 @@ class VersionedTable:
             written = {**self.commit_info(version).get("written", {}), **{b: None for b in batches}}
             written = {r["batch"]: r["n"] if written.get(r["batch"]) is None else written[r["batch"]] for r in live}
             info = {"manifest": name, "batches": sorted(written), "written": written, "slices": sum(r["n"] for r in live),
-                    "partly": any(written[r["batch"]] != r["n"] for r in live), "source": source, "notes": notes or self._notes(version)}
+                    "partly": any(written[r["batch"]] != r["n"] for r in live), "source": source, "notes": notes(self._notes(version)) if notes else self._notes(version)}
             if self.files.create(f"commits/{version + 1:012d}.json", json.dumps(info)):
                 return version + 1
             if source is not None and self.applied(source):
@@ -202,7 +204,8 @@ class VersionedTable:
     def _notes(self, version: int) -> dict:
         return self.commit_info(version).get("notes") or {}
 
-    def replace_window(self, rows: DataFrame, feature_ids: list[str], start, end, source: str | None = None, notes: dict | None = None) -> int:
+    def replace_window(self, rows: DataFrame, feature_ids: list[str], start, end, source: str | None = None,
+                       notes: Callable[[dict], dict] | None = None) -> int:
         """The slices of the features on the days ``start`` to ``end`` become exactly ``rows``: days that got no row are
         gone, other slices stay, and both show at once. Rows outside the window are an error, before anything shows."""
         first, last = day_text(start), day_text(end)

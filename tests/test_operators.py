@@ -156,9 +156,10 @@ def test_category_verdict_rules(spark):
 
 
 def test_registry_parse(spark, sf_small):
-    import __spark_entry__ as e
+    from riskweave.plans.catalog2 import _ids_with_any, registry_texts
+    from riskweave.sources.registry import parse_dependent_features
     rows = {(r.feature_id, r.param): (r.kind, r.value_text, r.list_value, r.map_value)
-            for r in e.queries()["registry_parsed"](spark, sf_small).collect()}
+            for r in parse_dependent_features(registry_texts(_ids_with_any(spark, sf_small))).collect()}
     assert rows[("click_count_daily_v1", "range_start")] == ("text", "0.5", None, None)
     assert rows[("click_count_daily_v1", "require_aggregation")][0] == "bool"
     assert rows[("purchase_count_daily_v1", "feature_id")][2] == ["purchase_count_daily_v1", "click_count_daily_v1"]
@@ -171,16 +172,14 @@ def test_registry_parse(spark, sf_small):
 
 
 def test_write_scores_counts_dropped_and_replaces(spark):
-    import os
-    import tempfile
-    from riskweave.plans.backfill import write_scores
+    from riskweave.plans.backfill import score_table, scratch_table_path, write_scores
     scores = spark.createDataFrame([(D, "a", 0.123), (D, "b", None), (D, "c", float("nan")), (D, "d", 0.995)],
                                    "target_date date, entity_id string, score double")
-    path = os.path.join(tempfile.mkdtemp(prefix="riskweave-store-"), "t")
-    s1 = write_scores(scores, path, "f_v1", "f", 1)
-    s2 = write_scores(scores, path, "f_v1", "f", 1)
+    table = score_table(spark, scratch_table_path(spark, "t"))
+    s1 = write_scores(scores, table, "f_v1", "f", 1)
+    s2 = write_scores(scores, table, "f_v1", "f", 1)
     assert s1 == s2 == {"feature_id": "f_v1", "rows_written": 2, "rows_dropped": 2}
-    got = {r.entity_id: r.feature_value for r in spark.read.parquet(path).collect()}
+    got = {r.entity_id: r.feature_value for r in table.read().collect()}
     assert got == {"a": 0.12, "d": 1.0}                     # rounded to 2 decimals, slice replaced not appended
 
 
