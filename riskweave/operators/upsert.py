@@ -113,16 +113,22 @@ def compare_and_set(registry: DataFrame, migrations: DataFrame, key: str = "feat
 
 
 def registry_mirror(registry: DataFrame, now) -> DataFrame:
-    """NULL flags -> 0, list -> JSON text, timestamps as 'yyyy-MM-dd HH:mm:ss' with ``now``
-    for NULL (an explicit as-of, never the wall clock)."""
+    """The mirror's 18 columns: NULL flags -> 0, list -> JSON text, timestamps as 'yyyy-MM-dd HH:mm:ss' with ``now``
+    for NULL (an explicit as-of, never the wall clock), an empty category; columns the registry lacks are NULL."""
     now_col = now if isinstance(now, Column) else F.lit(now)
     fmt = "yyyy-MM-dd HH:mm:ss"
     dep = registry.schema["dependent_features"].dataType
     dep_col = F.to_json("dependent_features") if dep.typeName() == "array" else F.col("dependent_features")
+
+    def own(name: str, out: str | None = None) -> Column:
+        return (F.col(name) if name in registry.columns else F.lit(None)).cast("string").alias(out or name)
+
+    def time(name: str) -> Column:
+        given = F.col(name) if name in registry.columns else F.lit(None).cast("timestamp_ntz")
+        return F.date_format(F.coalesce(given, now_col), fmt).alias(name)
+
     return registry.select(
-        F.col("feature_id").alias("id"), F.col("feature_name").alias("name"), "description",
-        F.coalesce(F.col("is_active").cast("int"), F.lit(0)).alias("is_active"),
-        F.coalesce(F.col("is_risk").cast("int"), F.lit(0)).alias("is_risk"), "version",
-        dep_col.alias("dependent_features"),
-        F.date_format(F.coalesce(F.col("created_at"), now_col), fmt).alias("created_at"),
-        F.date_format(F.coalesce(F.col("updated_at"), now_col), fmt).alias("updated_at"))
+        own("feature_id", "id"), own("feature_name", "name"), own("description"), own("data_type"), own("status"),
+        F.coalesce(F.col("is_active").cast("int"), F.lit(0)).alias("is_active"), F.coalesce(F.col("is_risk").cast("int"), F.lit(0)).alias("is_risk"),
+        own("version"), own("update_window"), own("source_table"), own("destination_table"), own("query", "source_query"),
+        dep_col.alias("dependent_features"), F.lit("").alias("category"), time("created_at"), own("created_by"), time("updated_at"), own("updated_by"))

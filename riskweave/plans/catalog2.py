@@ -19,11 +19,12 @@ from riskweave.operators.master import enrich_entities, latest_location, latest_
 from riskweave.operators.upsert import advance_watermark, compare_and_set, registry_mirror, upsert
 from riskweave.operators.windows import DateSpan
 from riskweave.plans.backfill import render_cumulative_day, score_rows, score_table, scratch_table_path
+from riskweave.plans.catalog import _BUCKET_SQL
 from riskweave.plans.catalog import CAT_W as _CAT_W
 from riskweave.plans.catalog import (CLICK, DS, RISK_WEIGHTS, STORE_SQL, SUM30, D, _store, day_sql, entity_store, ev,
                                      fv, job)
 from riskweave.plans.materialize import materialize
-from riskweave.plans.serving import serving_document, serving_latest
+from riskweave.plans.serving import category_scores, serving_document, serving_latest
 from riskweave.plans.sqlfrag import clip, dbl, fv_cte, r2 as s2, r6 as s6, score_store_cte
 from riskweave.session import ensure_checkpoint_dir
 from riskweave.sources import derived as dv
@@ -224,32 +225,56 @@ def _registry_migration(spark, sf):
     return compare_and_set(reg, mig, apply=True, force=False)
 
 
-@job("registry_mirror", f"""WITH {fv_cte()},
-reg AS (SELECT feature_id, any_value(feature_name) AS feature_name, '1' AS version,
-               'daily count of ' || any_value(feature_name) AS description,
-               CASE WHEN starts_with(feature_id, 'error') THEN NULL ELSE 1 END AS is_active,
-               CASE WHEN starts_with(feature_id, 'error') OR starts_with(feature_id, 'purchase') THEN 1 END AS is_risk,
-               list_value(any_value(feature_name), 'v1') AS dependent_features,
-               CASE WHEN starts_with(feature_id, 'signup') THEN NULL ELSE min("timestamp") END AS created_at,
-               max("timestamp") AS updated_at FROM fv GROUP BY feature_id)
-SELECT feature_id AS id, feature_name AS name, description, CAST(coalesce(is_active, 0) AS INTEGER) AS is_active,
-       CAST(coalesce(is_risk, 0) AS INTEGER) AS is_risk, version, CAST(to_json(dependent_features) AS VARCHAR) AS dependent_features,
-       strftime(coalesce(created_at, {NOW_SQL}), '%Y-%m-%d %H:%M:%S') AS created_at,
-       strftime(coalesce(updated_at, {NOW_SQL}), '%Y-%m-%d %H:%M:%S') AS updated_at FROM reg""")
-def _registry_mirror(spark, sf):
-    f = _per_type_history(spark, sf)
-    fid = F.col("feature_id")
-    reg = f.select(
-        "feature_id", "feature_name", F.lit("1").alias("version"),
-        F.concat(F.lit("daily count of "), F.col("feature_name")).alias("description"),
-        F.when(fid.startswith("error"), F.lit(None)).otherwise(F.lit(1)).alias("is_active"),
-        F.when(fid.startswith("error") | fid.startswith("purchase"), F.lit(1)).alias("is_risk"),
-        F.array(F.col("feature_name"), F.lit("v1")).alias("dependent_features"),
-        F.when(fid.startswith("signup"), F.lit(None)).otherwise(F.col("min_ts")).alias("created_at"),
-        F.col("max_ts").alias("updated_at"))
+_MIRROR_SQL = f"""WITH reg AS (SELECT 'f' || p_partkey AS feature_id, p_name AS feature_name, CAST(p_size % 3 + 1 AS VARCHAR) AS version, 'about ' || p_name AS description,
+        CASE WHEN p_partkey % 2 = 0 THEN 'double' END AS data_type, CASE WHEN p_partkey % 5 = 0 THEN 'DEV' ELSE 'PROD' END AS status,
+        CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 2 = 0 END AS is_active, CASE WHEN p_partkey % 4 > 0 THEN p_partkey % 7 = 0 END AS is_risk,
+        p_size || ' days' AS update_window, 'lake.' || p_type AS source_table, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE 'scores' END AS destination_table,
+        'select ' || p_size AS query, [p_brand, 'v' || p_size] AS dependent_features,
+        CASE WHEN p_partkey % 4 > 0 THEN TIMESTAMP '2024-01-01 00:00:00' + to_seconds(p_partkey) END AS created_at, 'ann' AS created_by,
+        CASE WHEN p_partkey % 9 > 0 THEN TIMESTAMP '2024-01-02 00:00:00' + to_seconds(p_partkey) END AS updated_at, CAST(NULL AS VARCHAR) AS updated_by FROM part),
+mirror AS (SELECT feature_id AS id, feature_name AS name, description, data_type, status, CAST(coalesce(is_active, false) AS INTEGER) AS is_active,
+       CAST(coalesce(is_risk, false) AS INTEGER) AS is_risk, version, update_window, source_table, destination_table, query AS source_query,
+       CAST(to_json(dependent_features) AS VARCHAR) AS dependent_features, '' AS category,
+       strftime(coalesce(created_at, {NOW_SQL}), '%Y-%m-%d %H:%M:%S') AS created_at, created_by,
+       strftime(coalesce(updated_at, {NOW_SQL}), '%Y-%m-%d %H:%M:%S') AS updated_at, updated_by FROM reg)"""
+
+
+def _mirrored(spark, sf):
+    """A registry with a row for every part, as the mirror has it."""
+    p, key = read_table(spark, sf, "part"), F.col("p_partkey")
+    size = F.col("p_size").cast("string")
+    base = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    at = lambda days: base + F.make_dt_interval(F.lit(days), F.lit(0), F.lit(0), key)
+    reg = p.select(
+        F.concat(F.lit("f"), key.cast("string")).alias("feature_id"), F.col("p_name").alias("feature_name"), (F.col("p_size") % 3 + 1).cast("string").alias("version"),
+        F.concat(F.lit("about "), "p_name").alias("description"), F.when(key % 2 == 0, F.lit("double")).alias("data_type"),
+        F.when(key % 5 == 0, F.lit("DEV")).otherwise(F.lit("PROD")).alias("status"), F.when(key % 3 > 0, key % 2 == 0).alias("is_active"),
+        F.when(key % 4 > 0, key % 7 == 0).alias("is_risk"), F.concat(size, F.lit(" days")).alias("update_window"),
+        F.concat(F.lit("lake."), "p_type").alias("source_table"), F.when(key % 6 > 0, F.lit("scores")).alias("destination_table"),
+        F.concat(F.lit("select "), size).alias("query"), F.array(F.col("p_brand"), F.concat(F.lit("v"), size)).alias("dependent_features"),
+        F.when(key % 4 > 0, at(0)).alias("created_at"), F.lit("ann").alias("created_by"), F.when(key % 9 > 0, at(1)).alias("updated_at"),
+        F.lit(None).cast("string").alias("updated_by"))
     return registry_mirror(reg, _now())
 
 
+@job("registry_mirror", _MIRROR_SQL + " SELECT * FROM mirror")
+def _registry_mirror(spark, sf):
+    """The 18 columns of the mirror."""
+    return _mirrored(spark, sf)
+
+
+@job("registry_mirror_upsert", _MIRROR_SQL + """, held AS (SELECT * REPLACE ('old ' || name AS name, 'kept' AS category) FROM mirror WHERE CAST(id[2:] AS BIGINT) % 3 > 0
+       UNION ALL SELECT * REPLACE ('gone' || id AS id) FROM mirror WHERE CAST(id[2:] AS BIGINT) % 10 = 0)
+SELECT * FROM mirror UNION ALL SELECT * FROM held WHERE id NOT IN (SELECT id FROM mirror)""")
+def _registry_mirror_upsert(spark, sf):
+    """S17 + S10: the mirror written over an older one: its rows take all 18 columns, rows that the registry no longer has stay."""
+    new = _mirrored(spark, sf)
+    number = F.substr("id", F.lit(2)).cast("long")
+    held = new.where(number % 3 > 0).withColumn("name", F.concat(F.lit("old "), "name")).withColumn("category", F.lit("kept"))
+    held = held.unionByName(new.where(number % 10 == 0).withColumn("id", F.concat(F.lit("gone"), "id")))
+    return upsert(held, new, "id", {c: "overwrite" for c in new.columns if c != "id"}, _now(), touch="never")
+
+
 # ------------------------------------------------------------------------------------------- step 11
 CUM = "click_count_cumulative_v1"
 PF_START, PF_END = _dt.date(2024, 1, 25), _dt.date(2024, 2, 2)
@@ -495,7 +520,7 @@ def master_steps(spark, sf, master):
 
 
 def _master_sql() -> str:
-    from riskweave.plans.catalog import _BUCKET_SQL, _anomaly_sql
+    from riskweave.plans.catalog import _anomaly_sql
     points = LOC_SQL + f""" SELECT opt_id, {s6('lat')} AS lat, {s6('lon')} AS lon FROM loc
       WHERE lat IS NOT NULL AND lon IS NOT NULL AND lat BETWEEN -90.0 AND 90.0 AND lon BETWEEN -180.0 AND 180.0"""
     return f"""WITH b AS ({_BUCKET_SQL} SELECT * FROM bucketed), s AS ({SYNC_SQL}), p AS ({points}), t AS ({_anomaly_sql()}),
@@ -579,21 +604,93 @@ CATEGORY_NAMES = ["Work Category", "Sustxn Category", "Bio Category", "Document
 DESCRIPTIONS = {k: "daily count of " + k.split("_")[0] + " events" for k in CATEGORY_OF}
 
 
-@job("serving_document", None)
-def _serving_document(spark, sf):
+CATEGORY_SCORE = {"Work Category": "click_score_v1", "Sustxn Category": "error_score_v1", "Bio Category": "signup_score_v1",
+                  "Document Category": "view_score_v1"}
+
+
+def _documents(spark, sf):
     e = ev(spark, sf)
     latest = serving_latest(fv(spark, sf, start=SERVE_START, end=D), read_table(spark, sf, "customer")
                             .select(F.col("c_custkey").cast("string").alias("entity_id")), SERVE_START, D)
     store = _store(spark, sf)
     day = latest_score_date(store, "risk_score_v1")
-    risk = store.where((F.col("feature_id") == "risk_score_v1") & (F.to_date("ds") == day)).select(
+    newest = store.where(F.to_date("ds") == day)
+    risk = newest.where(F.col("feature_id") == "risk_score_v1").select(
         "entity_id", F.col("feature_value").alias("overall_risk_score"),
         F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("risk_analysis_updated_at"))
     packets = e.groupBy(F.col("user_id").cast("string").alias("entity_id")).agg(
         F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last_packet_timestamp"))
     ro = entity_store(spark, sf).select(F.col("opt_id").alias("entity_id"), F.col("opt_ro").alias("ro_name"))
     entities = risk.join(packets, "entity_id", "left").join(ro, "entity_id", "left")
-    return serving_document(latest, entities, CATEGORY_OF, DESCRIPTIONS, CATEGORY_NAMES)
+    return serving_document(latest, entities, CATEGORY_OF, DESCRIPTIONS, CATEGORY_NAMES, category_scores=category_scores(newest, CATEGORY_SCORE))
+
+
+_DOC_SQL = f"""WITH {score_store_cte(RISK_WEIGHTS)}, {fv_cte()}, {STORE_SQL},
+newest AS (SELECT * FROM store WHERE CAST("timestamp" AS DATE) = (SELECT max(CAST("timestamp" AS DATE)) FROM store WHERE feature_id = 'risk_score_v1')),
+vals AS (SELECT entity_id, feature_id, feature_value, "timestamp" FROM fv WHERE {day_sql()} BETWEEN DATE '{SERVE_START}' AND {DS}
+         AND entity_id IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer)
+         QUALIFY row_number() OVER (PARTITION BY entity_id, feature_id ORDER BY "timestamp" DESC, feature_value DESC) = 1),
+cats(category_name, score_id) AS (VALUES {", ".join(f"('{n}', '{CATEGORY_SCORE.get(n, '')}')" for n in CATEGORY_NAMES)}),
+kinds(feature_id, category_name) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in CATEGORY_OF.items())}),
+texts AS (SELECT entity_id, category_name, string_agg(feature_id || ' ' || printf('%.3f', feature_value) || ' daily count of ' || split_part(feature_id, '_', 1) || ' events '
+                 || strftime("timestamp", '%Y-%m-%dT%H:%M:%S') || '+05:30', ';' ORDER BY "timestamp" DESC, feature_id DESC) AS features
+          FROM vals JOIN kinds USING (feature_id) GROUP BY ALL),
+heads AS (SELECT n.entity_id, n.feature_value AS overall_risk_score, strftime(n."timestamp", '%Y-%m-%d %H:%M:%S') AS risk_analysis_updated_at,
+                 o.opt_ro AS ro_name, (SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') FROM events WHERE CAST(user_id AS VARCHAR) = n.entity_id) AS last_packet_timestamp
+          FROM newest n LEFT JOIN ostore o ON o.opt_id = n.entity_id WHERE n.feature_id = 'risk_score_v1'),
+docs AS (SELECT h.*, c.category_name, coalesce((SELECT max(feature_value) FROM newest s WHERE s.entity_id = h.entity_id AND s.feature_id = c.score_id), 0.0) AS score,
+                coalesce(t.features, '') AS features
+         FROM heads h CROSS JOIN cats c LEFT JOIN texts t ON t.entity_id = h.entity_id AND t.category_name = c.category_name)
+SELECT entity_id AS operator_id, ro_name, overall_risk_score, last_packet_timestamp, risk_analysis_updated_at,
+       string_agg(category_name || '=' || printf('%.3f', score) || '[' || features || ']', '|' ORDER BY category_name) AS categories
+FROM docs GROUP BY ALL"""
+
+
+@job("serving_document", _DOC_SQL)
+def _serving_document(spark, sf):
+    """The nested documents, their categories written out as one text (times in seconds)."""
+    one = lambda f: F.concat(f["feature_id"], F.lit(" "), F.format_string("%.3f", f["feature_value"]), F.lit(" "), f["description"], F.lit(" "), f["last_updated"])
+    text = F.transform("categories", lambda c: F.concat(c["category_name"], F.lit("="), F.format_string("%.3f", c["category_score"]), F.lit("["),
+                                                        F.array_join(F.transform(c["features"], one), ";"), F.lit("]")))
+    return _documents(spark, sf).withColumn("categories", F.array_join(text, "|"))
+
+
+def _views(spark, sf) -> list[str]:
+    """The three consumer views over tables that are known by name only."""
+    from riskweave.sources.named import consumer_views
+    suffix = "_" + uuid.uuid4().hex[:12]
+    f = fv(spark, sf).withColumn("ds", F.to_date("timestamp").cast("string"))
+    places = entity_store(spark, sf).select(F.col("opt_id").alias("entity_id"), F.col("opt_state").alias("region"))
+    for name, frame in (("lake_features", f), ("lake_scores", _store(spark, sf)), ("master_places", places)):
+        frame.createOrReplaceTempView(name + suffix)
+    return consumer_views(spark, "lake_features" + suffix, "lake_scores" + suffix, "master_places" + suffix, SERVE_START, D, suffix=suffix)
+
+
+_VIEW_FEATURES = f"""{fv_cte()},
+vals AS (SELECT entity_id, feature_id, feature_value, "timestamp" AS value_time FROM fv WHERE {day_sql()} BETWEEN DATE '{SERVE_START}' AND {DS}
+         QUALIFY row_number() OVER (PARTITION BY entity_id, feature_id ORDER BY "timestamp" DESC, feature_value DESC) = 1)"""
+
+
+@job("view_entity_features", f"WITH {_VIEW_FEATURES} SELECT * FROM vals")
+def _view_entity_features(spark, sf):
+    """The features view, read by its name."""
+    return spark.table(_views(spark, sf)[0])
+
+
+@job("view_entity_risk_summary", _BUCKET_SQL + f""", {_VIEW_FEATURES}
+SELECT b.entity_id, b.risk_score, b.risk_bucket, count(v.feature_id) AS n_features,
+       (SELECT CAST(max(CAST("timestamp" AS DATE)) AS VARCHAR) FROM store WHERE feature_id = 'risk_score_v1') AS score_date
+FROM bucketed b LEFT JOIN vals v ON v.entity_id = b.entity_id GROUP BY ALL""")
+def _view_entity_risk_summary(spark, sf):
+    return spark.table(_views(spark, sf)[1])
+
+
+@job("view_entity_risk_by_region", _BUCKET_SQL + f""", {STORE_SQL}
+SELECT o.opt_state AS region, count(*) AS n_entities, {s6('avg(b.risk_score)')} AS avg_risk, max(b.risk_score) AS max_risk,
+       count(*) FILTER (WHERE b.risk_bucket IN ('Critical', 'High')) AS n_high
+FROM bucketed b JOIN ostore o ON o.opt_id = b.entity_id GROUP BY o.opt_state""")
+def _view_entity_risk_by_region(spark, sf):
+    return spark.table(_views(spark, sf)[2])
 
 
 @job("risk_by_region", f"""WITH {score_store_cte(RISK_WEIGHTS)}, {STORE_SQL},
@@ -688,6 +785,35 @@ def _cumulative_sql_day(spark, sf):
     return render_cumulative_day(spark, f, hist, CLICK, CUM, D)
 
 
+def _template_sql(category: str | None, keep: str) -> str:
+    day = D if category == "work" else D - _dt.timedelta(days=1)
+    return f"""WITH {fv_cte()},
+run AS (SELECT entity_id, {day_sql()} AS day,
+               sum(feature_value) OVER (PARTITION BY entity_id ORDER BY {day_sql()} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v
+        FROM fv WHERE feature_id = '{CLICK}'),
+prior AS (SELECT entity_id, arg_max(v, day) AS total FROM run WHERE day < DATE '{day}' GROUP BY entity_id),
+daily AS (SELECT entity_id, feature_value AS v FROM fv WHERE feature_id = '{CLICK}' AND {day_sql()} = DATE '{day}' AND {keep})
+SELECT d.entity_id, '{CUM}' AS feature_id, 'click_count_cumulative' AS feature_name, '1' AS feature_version, coalesce(p.total, 0.0) + d.v AS feature_value,
+       TIMESTAMP '2024-01-30 23:59:59' AS "timestamp", '' AS comments FROM daily d LEFT JOIN prior p USING (entity_id)"""
+
+
+def _template_job(category, condition):
+    def build(spark, sf):
+        """S18 with P5 and P6: the template's eight markers bound by Spark; work reads day D, bio the day before."""
+        from riskweave.plans.template import CUMULATIVE_DAY, run_template
+        day = D if category == "work" else D - _dt.timedelta(days=1)
+        f = fv(spark, sf, event_types=["click"])
+        history = _cum_store(fv(spark, sf, end=day - _dt.timedelta(days=1), event_types=["click"]))
+        return run_template(spark, CUMULATIVE_DAY, f, history, "click_count_cumulative", 1, D, dependent_feature_id=CLICK, category=category,
+                            filter_condition=condition)
+    return build
+
+
+job("cumulative_template", _template_sql("work", "true"))(_template_job("work", None))
+job("cumulative_template_bio", _template_sql("bio", "feature_value >= 2 AND entity_id NOT LIKE '%7'"))(
+    _template_job("bio", "feature_value >= 2 AND entity_id NOT LIKE '%7'"))
+
+
 # ------------------------------------------------------------------------------------------- step 15
 @job("job_cost_by_feature", f"""WITH st AS (SELECT l_orderkey * 10 + l_linenumber AS stage_id,
         CASE WHEN l_linenumber = 7 THEN [l_orderkey, l_orderkey + 1] ELSE [l_orderkey] END AS job_ids,
@@ -1102,3 +1228,24 @@ def _backfill_summary(spark, sf):
                      "error_backfill_score_v1", "error_backfill_score", 1),
     ]
     return spark.createDataFrame(summary, "feature_id string, rows_written long, rows_dropped long")
+
+
+@job("column_helpers", """WITH t AS (SELECT o_orderkey AS k, CASE o_orderkey % 8 WHEN 0 THEN ' TRUE ' WHEN 1 THEN 'yes' WHEN 2 THEN '1' WHEN 3 THEN 'no' WHEN 4 THEN NULL
+         WHEN 5 THEN 'true' WHEN 6 THEN '' ELSE o_orderstatus END AS flag,
+       CASE o_orderkey % 6 WHEN 0 THEN ' 1.5 ' WHEN 1 THEN 'x1' WHEN 2 THEN NULL WHEN 3 THEN '-2e3' WHEN 4 THEN '' ELSE CAST(o_totalprice AS VARCHAR) END AS num,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'hourly' END AS freq, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END AS is_daily FROM orders)
+SELECT k, coalesce(lower(trim(flag)) IN ('true', '1', 'yes'), false) AS wide_flag, coalesce(lower(trim(flag)) = 'true', false) AS strict_flag,
+       coalesce(lower(trim(flag)) IN ('true', '1', 'yes'), true) AS wide_flag_default, coalesce(TRY_CAST(trim(num) AS DOUBLE), 7.0) AS number,
+       coalesce(freq, CASE WHEN coalesce(is_daily, true) THEN 'daily' ELSE 'always' END) AS cadence FROM t""")
+def _column_helpers(spark, sf):
+    """F4 in both variants, F5 and F14 over every order."""
+    from riskweave.functions.columns import cadence_default, parse_bool, parse_bool_strict, to_float
+    k = F.col("o_orderkey")
+    flag = (F.when(k % 8 == 0, F.lit(" TRUE ")).when(k % 8 == 1, F.lit("yes")).when(k % 8 == 2, F.lit("1")).when(k % 8 == 3, F.lit("no"))
+             .when(k % 8 == 4, F.lit(None)).when(k % 8 == 5, F.lit("true")).when(k % 8 == 6, F.lit("")).otherwise(F.col("o_orderstatus")))
+    num = (F.when(k % 6 == 0, F.lit(" 1.5 ")).when(k % 6 == 1, F.lit("x1")).when(k % 6 == 2, F.lit(None)).when(k % 6 == 3, F.lit("-2e3"))
+            .when(k % 6 == 4, F.lit("")).otherwise(F.col("o_totalprice").cast("string")))
+    t = read_table(spark, sf, "orders").select(k.alias("k"), flag.alias("flag"), num.alias("num"), F.when(k % 3 == 0, F.lit("hourly")).alias("freq"),
+                                               F.when(k % 4 == 0, F.lit(None)).otherwise(k % 4 > 1).alias("is_daily"))
+    return t.select("k", parse_bool("flag").alias("wide_flag"), parse_bool_strict("flag").alias("strict_flag"), parse_bool("flag", True).alias("wide_flag_default"),
+                    to_float("num", 7.0).alias("number"), cadence_default("freq", "is_daily").alias("cadence"))

@@ -58,10 +58,19 @@ def pushed_values(table: VersionedTable) -> DataFrame:
     return last.join(F.broadcast(marked), "feature_id", "left")
 
 
+def category_scores(scores: DataFrame, score_ids: dict[str, str]) -> DataFrame:
+    """(entity_id, category_name, category_score) from the Layer-3 scores of one day, by ``score_ids`` (category -> feature id)."""
+    names = _map({v: k for k, v in score_ids.items()})
+    rows = normalised(scores).where(F.col("feature_id").isin(list(score_ids.values())))
+    return rows.groupBy("entity_id", names[F.col("feature_id")].alias("category_name")).agg(F.max("feature_value").alias("category_score"))
+
+
 def serving_document(latest: DataFrame, entities: DataFrame, feature_categories: dict[str, str],
-                     descriptions: dict[str, str], category_names: list[str], zone_suffix: str = "+05:30") -> DataFrame:
+                     descriptions: dict[str, str], category_names: list[str], zone_suffix: str = "+05:30",
+                     category_scores: DataFrame | None = None) -> DataFrame:
     """One nested row per entity. Every configured category appears (``features: []`` and score 0
-    when nothing exists); features newest first; category score = mean of its latest feature values.
+    when nothing exists); features newest first. ``category_scores`` (entity_id, category_name, category_score) are the Layer-3 scores;
+    a category without one has 0. Timestamps are local times of the zone ``zone_suffix`` and are written as they are.
 
     latest: (entity_id, feature_id, feature_value, timestamp); entities: (entity_id, ro_name,
     overall_risk_score, last_packet_timestamp, risk_analysis_updated_at). Category mapping and
@@ -74,9 +83,12 @@ def serving_document(latest: DataFrame, entities: DataFrame, feature_categories:
                  _map(descriptions)[F.col("feature_id")].alias("description"),
                  F.concat(F.date_format("timestamp", ISO_LOCAL), F.lit(zone_suffix)).alias("last_updated")).alias("f"))
     per_cat = feats.groupBy("entity_id", "category_name").agg(
-        F.sort_array(F.collect_list("f"), asc=False).alias("fs"), F.avg("f.feature_value").alias("score"))
+        F.sort_array(F.collect_list("f"), asc=False).alias("fs"))
+    if category_scores is None:
+        category_scores = latest.sparkSession.createDataFrame([], "entity_id string, category_name string, category_score double")
+    scores = category_scores.select("entity_id", "category_name", F.col("category_score").alias("score"))
     grid = entities.select("entity_id", F.explode(F.array(*[F.lit(n) for n in sorted(category_names)])).alias("category_name"))
-    full = grid.join(per_cat, ["entity_id", "category_name"], "left").select(
+    full = grid.join(per_cat, ["entity_id", "category_name"], "left").join(scores, ["entity_id", "category_name"], "left").select(
         "entity_id", F.struct(
             "category_name", F.coalesce(F.col("score"), F.lit(0.0)).alias("category_score"),
             F.coalesce(F.transform("fs", lambda x: x.dropFields("_ts")), F.array().cast(FEATURE_T)).alias("features")).alias("c"))
