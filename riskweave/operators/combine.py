@@ -6,8 +6,8 @@ Semantics kept from the reference: with no aggregation method the window is forc
 SUM / MAX / MIN (including those zeros, Q4) / AVERAGE (sum of per-feature means divided by the number of
 non-NULL rows, Q3) / WEIGHTED_AVERAGE (sum w*x / sum w).
 
-Plan: one scan with the window and ``feature_id IN (...)`` pushed down, one aggregate keyed by
-(target_date, entity, feature) with partial aggregation, then a second aggregate per (target_date,
+Plan: one scan with the window and ``feature_id IN (...)`` pushed down, summed to daily cells, one aggregate keyed by
+(target_date, entity, feature) over the cells of each date, then a second aggregate per (target_date,
 entity) that pivots the known ids with conditional aggregates (no pivot-value discovery job).
 """
 
@@ -16,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.operators.windows import target_window
+from riskweave.operators.windows import window_cells
 
-_PER_FEATURE = {"MAX": F.max, "MIN": F.min, "AVERAGE": F.avg}
+_PER_FEATURE = {"MAX": lambda: F.max("hi"), "MIN": lambda: F.min("lo"), "AVERAGE": lambda: F.try_divide(F.sum("s"), F.sum("k"))}
 
 
 def _weight(weights: dict, fid: str) -> float:
@@ -50,10 +50,8 @@ def combine_features(fv: DataFrame, feature_ids, targets, period_in_days: float
     except (TypeError, ValueError):
         lookback = 1
 
-    rows = target_window(fv, targets, lookback, feature_ids=ids).where(F.col("entity_id").isNotNull())
-    per_feature = rows.groupBy("target_date", "entity_id", "feature_id").agg(
-        _PER_FEATURE.get(method, F.sum)("feature_value").alias("_x"),
-        F.count("feature_value").alias("_nn"))
+    per_feature = window_cells(fv, targets, lookback, ids).groupBy("target_date", "entity_id", "feature_id").agg(
+        _PER_FEATURE.get(method, lambda: F.sum("s"))().alias("_x"), F.sum("k").alias("_nn"))
     wide = per_feature.groupBy("target_date", "entity_id").agg(
         *[F.max(F.when(F.col("feature_id") == F.lit(f), F.col("_x"))).alias(f"_c{i}") for i, f in enumerate(ids)],
         F.sum("_nn").alias("_nn"))

@@ -6,8 +6,8 @@ Scale notes
   map-side partial step, so a key holding a third of all rows is reduced inside every map task before
   the shuffle -- no single task ever sorts a hot key's rows (a ``row_number`` window would).
 * Window filters are half-open ranges on the raw timestamp column so they reach the Parquet scan.
-* Many target dates: each daily cell is exploded only to the dates whose window contains it (fan-out
-  <= lookback+1 per *daily cell*, after daily pre-aggregation), giving an equi-key ``target_date`` that
+* Many target dates: rows are summed to daily cells first (``daily_cells``), and each cell is exploded only to the dates
+  whose window contains it (fan-out <= lookback+1 per cell), giving an equi-key ``target_date`` that
   every downstream aggregate / rank partitions on.
 """
 
@@ -106,6 +106,30 @@ def target_window(df: DataFrame, targets, lookback_days: int, ts_col: str = "tim
     return out.withColumn("target_date", F.explode(F.sequence(first, last)))
 
 
+def daily_cells(df: DataFrame, targets, lookback_days: int, feature_ids: list[str], ts_col: str = "timestamp") -> DataFrame:
+    """One row per (feature, entity, day) of the windows of all target dates: sum ``s``, maximum ``hi``, minimum ``lo``, number of
+    values ``k`` and newest time ``ts``. Rows are summed to cells, with a partial aggregate before the shuffle,
+    before anything is spread over dates."""
+    span = as_span(targets)
+    rows = normalised(df).where(F.col("feature_id").isin(list(feature_ids)))
+    rows = rows.where(between_days(rows, ts_col, span.start - _dt.timedelta(days=int(lookback_days)), span.end))
+    v = F.col("feature_value")
+    return rows.groupBy("feature_id", "entity_id", F.to_date(ts_col).alias("day")).agg(
+        F.sum(v).alias("s"), F.max(v).alias("hi"), F.min(v).alias("lo"), F.count(v).alias("k"), F.max(ts_col).alias("ts"))
+
+
+def spread_cells(cells: DataFrame, targets, lookback_days: int) -> DataFrame:
+    """Each cell for the target dates whose window [D - lookback_days, D] holds its day."""
+    span, n = as_span(targets), int(lookback_days)
+    first, last = F.greatest("day", F.lit(span.start)), F.least(F.date_add("day", n), F.lit(span.end))
+    return cells.withColumn("target_date", F.explode(F.sequence(first, last)))
+
+
+def window_cells(df: DataFrame, targets, lookback_days: int, feature_ids: list[str]) -> DataFrame:
+    """Daily cells by target date."""
+    return spread_cells(daily_cells(df, targets, lookback_days, feature_ids), targets, lookback_days)
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order_cols: list[str], value_cols: list[str],
                    tie_breaks: list[str] | None = None) -> DataFrame:
     """Newest row per key (W1): keeps ``keys + order_cols + value_cols`` of the row with the largest

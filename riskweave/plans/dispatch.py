@@ -22,7 +22,7 @@ from riskweave.functions.columns import clip, micros_between, nan_to_null
 from riskweave.functions.params import flag, number
 from riskweave.operators.instance import rank_values, wilson_lower_bound
 from riskweave.operators.ranking import quantile_rows
-from riskweave.operators.windows import DateSpan, as_span, asof_latest, between_days, normalised
+from riskweave.operators.windows import DateSpan, as_span, asof_latest, between_days, normalised, spread_cells, window_cells
 
 OUT = ["out_id", "target_date"]
 MOST_SOURCES = 100_000
@@ -165,25 +165,18 @@ def _source_ids(group: list[Spec]) -> list[str]:
     return sorted({f for s in group for f, _ in s.sources})
 
 
-def _daily(fv: DataFrame, group: list[Spec], span: DateSpan, lookback: int) -> DataFrame:
-    """Daily cells of the sources: one row per (feature, entity, day), before anything is spread."""
-    rows = normalised(fv).where(F.col("feature_id").isin(_source_ids(group)))
-    rows = rows.where(between_days(rows, "timestamp", span.start - _dt.timedelta(days=lookback), span.end))
-    v = F.col("feature_value")
-    return rows.groupBy("feature_id", "entity_id", F.to_date("timestamp").alias("day")).agg(
-        F.sum(v).alias("s"), F.max(v).alias("hi"), F.min(v).alias("lo"), F.count(v).alias("k"), F.max("timestamp").alias("ts"))
+def _spread(fv: DataFrame, group: list[Spec], span: DateSpan, lookback: int) -> DataFrame:
+    """Daily cells for the scored features that read them and the target dates whose window holds them."""
+    return _for_outputs(window_cells(fv, span, lookback, _source_ids(group)), fv, group)
 
 
-def _spread(cells: DataFrame, fv: DataFrame, group: list[Spec], span: DateSpan, lookback: int) -> DataFrame:
-    """Cells for the scored features that read them and the target dates whose window [D - lookback, D] holds them."""
-    first, last = F.greatest("day", F.lit(span.start)), F.least(F.date_add("day", lookback), F.lit(span.end))
-    spread = cells.withColumn("target_date", F.explode(F.sequence(first, last)))
-    return spread.join(F.broadcast(_sources(fv.sparkSession, group)), "feature_id")
+def _for_outputs(cells: DataFrame, fv: DataFrame, group: list[Spec]) -> DataFrame:
+    return cells.join(F.broadcast(_sources(fv.sparkSession, group)), "feature_id")
 
 
 def _combined(fv: DataFrame, group: list[Spec], span: DateSpan, lookback: int, agg: str | None) -> DataFrame:
     """(out_id, target_date, entity_id, x): the sources of a feature as one value (M1)."""
-    cells = _spread(_daily(fv, group, span, lookback), fv, group, span, lookback)
+    cells = _spread(fv, group, span, lookback)
     kind = _PER_FEATURE.get(agg or "SUM", "sum")
     total, count = F.sum("s"), F.sum("k")
     own = {"sum": total, "max": F.max("hi"), "min": F.min("lo"), "avg": F.when(count > 0, total / count)}[kind]
@@ -208,7 +201,7 @@ def _snapshot(fv: DataFrame, group: list[Spec], span: DateSpan) -> DataFrame:
     rows = normalised(fv).where(F.col("feature_id").isin(_source_ids(group)))
     rows = rows.where(between_days(rows, "timestamp", span.start - _dt.timedelta(days=lookback), span.end)).withColumn("day", F.to_date("timestamp"))
     days = rows.select("feature_id", "day").distinct()
-    newest = _spread(days, fv, group, span, lookback).groupBy(*OUT, "feature_id").agg(F.max("day").alias("day"))
+    newest = _for_outputs(spread_cells(days, span, lookback), fv, group).groupBy(*OUT, "feature_id").agg(F.max("day").alias("day"))
     return rows.join(newest, ["feature_id", "day"]).select(*OUT, "entity_id", F.col("feature_value").alias("x"))
 
 
@@ -217,7 +210,7 @@ def _rank(fv, group, span, p):
     if p["mode"] == "weighted":
         values = _combined(fv, group, span, K.RANK_AGG_PERIOD_DAYS, "WEIGHTED_AVERAGE")
     elif p["mode"] == "sum":
-        cells = _spread(_daily(fv, group, span, K.RANK_AGG_PERIOD_DAYS), fv, group, span, K.RANK_AGG_PERIOD_DAYS)
+        cells = _spread(fv, group, span, K.RANK_AGG_PERIOD_DAYS)
         values = cells.groupBy(*OUT, "entity_id").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("x"))
     else:
         values = _snapshot(fv, group, span)
@@ -225,7 +218,7 @@ def _rank(fv, group, span, p):
                        group_cols=OUT, groups=len(group) * len(span.days()))
 
 
-def _deviation(stats_std, least=None):
+def _deviation(stats_std):
     bad = F.col(stats_std).isNull() | F.isnan(stats_std) | (F.col(stats_std) <= 0)
     return F.when(bad, F.lit(1.0)).otherwise(F.col(stats_std))
 
@@ -246,7 +239,7 @@ def _winsorized(fv, group, span, p):
 
 
 def _log(fv, group, span, p):
-    cells = _spread(_daily(fv, group, span, p["period"]), fv, group, span, p["period"])
+    cells = _spread(fv, group, span, p["period"])
     values = cells.groupBy(*OUT, "entity_id").agg(F.sum("s").alias("x")).where(F.col("x") > F.lit(p["threshold"]))
     most = values.groupBy(*OUT).agg(F.max("x").alias("most"))
     top = F.when(F.col("most") > 0, F.col("most")).otherwise(F.lit(1.0))
@@ -256,7 +249,7 @@ def _log(fv, group, span, p):
 
 
 def _wilson(fv, group, span, p):
-    cells = _spread(_daily(fv, group, span, p["period"]), fv, group, span, p["period"])
+    cells = _spread(fv, group, span, p["period"])
     up, base = F.col("place") == 0, F.col("place") == 1
     sums = cells.groupBy(*OUT, "entity_id").agg(
         F.coalesce(F.sum(F.when(up, F.col("s"))), F.lit(0.0)).alias("ups"), F.sum(F.when(base, F.col("s"))).alias("n"),
@@ -267,7 +260,7 @@ def _wilson(fv, group, span, p):
 
 
 def _decay(fv, group, span, p):
-    cells = _spread(_daily(fv, group, span, p["period"]), fv, group, span, p["period"])
+    cells = _spread(fv, group, span, p["period"])
     now = cells.groupBy(*OUT).agg(F.max("ts").alias("now"))
     age = micros_between("ts", "now") / F.lit(1e6) / F.lit(86400.0 if p["unit"] == "days" else 3600.0)
     risk = cells.join(now, OUT).groupBy(*OUT, "entity_id").agg(F.coalesce(F.sum(F.col("hi") * F.exp(-F.lit(p["rate"]) * age)), F.lit(0.0)).alias("x"))
