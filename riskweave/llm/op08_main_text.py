@@ -2,18 +2,22 @@
 
 Markup is stripped so that every block element becomes one line. Lines that belong to navigation,
 headers, footers, side bars, notices, adverts, forms, comment sections or code are left out, by tag, or by
-name where the named element does not hold most of the text (of article and main, if the page has one). Of the rest, if
-the page has an ``article`` or ``main`` element with text, all lines inside such elements are the main text.
+name where the named element does not hold most of the text (of article and main, if the page has one). Tags weigh the rest: if
+the page has an ``article`` or ``main`` element with text, only lines inside such elements count.
 
-On a page without one the distribution of text over the lines that are left decides. A line weighs its characters outside
+The distribution of text over the lines that are left decides on every page. A line weighs its characters outside
 links (headings: all; a page of links only: all). Weights are summed over a sliding window of ``WINDOW``
-lines. The threshold is where Otsu's method parts the page's sums, on a log scale, into low and high, and
+lines. Inside article and main any text is a surge, so a dive is a window without text outside links: its lines (a menu or
+list of links within the article) are left out, whatever their names. On other pages
+the threshold is where Otsu's method parts the page's sums, on a log scale, into low and high, and
 ``SURGE`` at most, so a long article does not raise it. A surge is where the sums reach the threshold, a dive
 where they fall below it. Lines at the ends of a stretch that weigh less than their share of the threshold
 are left out, unless they are paragraphs or headings beside its lines in the same parent. All stretches are kept.
 
 Rules: null or empty html, and a page with no text line, give an empty text; unclosed elements end with
-their parent; repeated pages are ordinary rows; other columns are not read.
+their parent; equal sums are treated alike; repeated pages are ordinary rows; other columns are not read. Pages of any length are
+read whole, in time linear in their length: a tag ends at the first ``>`` outside quotes; where a page's quotes never
+close, at the first ``>`` from there on; what follows the last ``>`` is text.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from math import log
 from typing import NamedTuple
 
@@ -47,9 +52,10 @@ NAMES = re.compile(r"(?:(?:^|[_-])(?:ads?|advert[^\W_]*|banner|sponsor[^\W_]*|pr
                    r"subscribe|comments?|replies|disqus|sidebar|side|widget|related|recommend[^\W_]*|share|social|breadcrumbs?|"
                    r"menu|nav[^\W_]*|pagination|pager|footer|header|masthead|toolbar|login|search|alert|disclaimer|complementary|"
                    r"contentinfo)(?=$|[_-]))+", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPEN = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+_ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
 _LABEL = re.compile(r"(?<![^\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_CODE_END = {t: re.compile(rf"</{t}\s*[^>]*>", re.I) for t in CODE}
+_CODE_END = {t: re.compile(rf"</{t}(?![A-Za-z0-9:-])", re.I) for t in CODE}
 _ROOTS = ("article", "main")
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _PROSE = ("p", "blockquote", "pre", "li", *_HEADINGS)
@@ -59,6 +65,42 @@ def _named(attributes: str) -> bool:
     return any(NAMES.fullmatch(x) for a, b, c in _LABEL.findall(attributes) for x in (a or b or c).split())
 
 
+class Tag(NamedTuple):
+    start: int
+    end: int
+    closing: bool
+    name: str           # lower case; empty for comments and declarations
+    attributes: str
+
+
+def tags(page: str) -> Iterator[Tag]:
+    """The tags, comments and declarations of a page. Send the place to go on from, if it is not the end of the tag."""
+    at, quoted = 0, True
+    while (found := _OPEN.search(page, at)) is not None:
+        start, body = found.span()
+        mark = found[0]
+        if found[2] is None:
+            close = {"<!--": "-->", "<![CDATA[": "]]>"}.get(mark, ">")
+            end = page.find(close, body)
+            if end < 0 and close == ">":
+                return
+            end = len(page) if end < 0 else end + len(close)
+            made = Tag(start, end, False, "", "")
+        else:
+            end = -1
+            if quoted:
+                end = _ATTRIBUTES.match(page, body).end()
+                if end >= len(page) or page[end] != ">":
+                    quoted, end = False, -1
+            if end < 0:
+                end = page.find(">", body)
+                if end < 0:
+                    return
+            made = Tag(start, end + 1, bool(found[1]), found[2].lower(), page[body:end])
+        resume = yield made
+        at = made.end if resume is None else resume
+
+
 class Line(NamedTuple):
     text: str
     bad: bool           # is boilerplate
@@ -75,8 +117,10 @@ def lines(page: str) -> list[Line]:
     parts: list[str] = []
     links: list[str] = []
     stack: list[tuple[str, bool, int]] = []      # open block elements, whether they are boilerplate by tag, and their number
+    opened: Counter = Counter()                  # their names
     named: list[tuple[int, int]] = []            # depth and number of the open elements that are boilerplate by name
-    held: list[tuple[int, ...]] = []             # the numbers of these around each line
+    inside: dict[int, int] = {}                  # of each of these the number of the one around it
+    held: list[int] = []                         # the number of the innermost of these around each line
     bad = roots = serial = 0
     link = -1           # how many blocks were open where the open link began
 
@@ -88,71 +132,102 @@ def lines(page: str) -> list[Line]:
     def close() -> None:
         text, linked = flat(parts), len(flat(links)) if links else 0
         if text:
-            held.append(tuple(x for _, x in named))
+            held.append(named[-1][1] if named else 0)
             tag, _, own = stack[-1] if stack else ("", False, 0)
             out.append(Line(text, bad > 0, roots > 0, linked, tag, own, stack[-2][2] if len(stack) > 1 else 0))
 
-    at, found = 0, _TOKEN.search(page)
-    while found:
-        parts.append(page[at:found.start()])
+    def pop() -> None:
+        nonlocal bad, roots
+        gone, was, _ = stack.pop()
+        opened[gone] -= 1
+        bad -= was
+        roots -= gone in _ROOTS
+        if named and named[-1][0] >= len(stack):
+            named.pop()
+
+    at, walk = 0, tags(page)
+    found = next(walk, None)
+    while found is not None:
+        parts.append(page[at:found.start])
         if link >= 0:
             links.append(parts[-1])
-        at, name = found.end(), (found[2] or "").lower()
+        at, name, resume = found.end, found.name, None
         if name == "a":
-            link = -1 if found[1] else len(stack)
-        if name in CODE and not found[1]:
+            link = -1 if found.closing else len(stack)
+        if name in CODE and not found.closing:
             if name == "title":
                 close()
             ended = _CODE_END[name].search(page, at)
-            at = ended.end() if ended else len(page)
+            at = page.find(">", ended.end()) + 1 if ended else 0
+            at = resume = at or len(page)
         elif name in BLOCKS or name in BOILERPLATE:
             close()
-            if found[1]:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                if depth is not None:
-                    for gone, was, _ in stack[depth:]:
-                        bad -= was
-                        roots -= gone in _ROOTS
-                    del stack[depth:]
-                    while named and named[-1][0] >= depth:
-                        named.pop()
-                    if link > depth:
+            if found.closing:
+                if opened[name] > 0:
+                    while stack[-1][0] != name:
+                        pop()
+                    pop()
+                    if link > len(stack):
                         link = -1
-            elif name not in VOID and not found[3].rstrip().endswith("/"):
+            elif name not in VOID and not found.attributes.rstrip().endswith("/"):
                 if name == "p" or name == "li" or name in ("td", "th", "tr", "dd", "dt", "option"):
                     if stack and stack[-1][0] == name:
-                        bad -= stack.pop()[1]
-                        if named and named[-1][0] >= len(stack):
-                            named.pop()
+                        pop()
                 # a header inside an article is part of it; the page's own is not
                 plain = name == "header" and roots > 0
                 is_bad = name in BOILERPLATE and not plain
                 bad += is_bad
                 roots += name in _ROOTS
                 serial += 1
-                if name not in ("html", "body", *_ROOTS) and not plain and _named(found[3]):
+                if name not in ("html", "body", *_ROOTS) and not plain and _named(found.attributes):
+                    inside[serial] = named[-1][1] if named else 0
                     named.append((len(stack), serial))
                 stack.append((name, is_bad, serial))
-        found = _TOKEN.search(page, at)
+                opened[name] += 1
+        try:
+            found = walk.send(resume)
+        except StopIteration:
+            found = None
     parts.append(page[at:])
     if link >= 0:
         links.append(parts[-1])
     close()
-    return _judged(out, held) if any(held) else out
+    return _judged(out, held, inside) if any(held) else out
 
 
-def _judged(out: list[Line], held: list[tuple[int, ...]]) -> list[Line]:
+def _judged(out: list[Line], held: list[int], inside: dict[int, int]) -> list[Line]:
     """Lines inside named elements are boilerplate, but for elements that hold most of the text in article and
-    main, or of the page if it has none: these are wrappers."""
+    main, or of the page if it has none: these are wrappers. An element holds at least what those in it hold, so a line's
+    innermost one tells."""
     rooted = any(b.rooted and not b.bad for b in out)
     total, own = 0, Counter()
-    for line, numbers in zip(out, held):
+    for line, number in zip(out, held):
         if not line.bad and (line.rooted or not rooted):
             total += len(line.text)
-            for x in numbers:
-                own[x] += len(line.text)
-    wraps = {x for x, n in own.items() if 2 * n > total}
-    return [b if b.bad or wraps.issuperset(numbers) else b._replace(bad=True) for b, numbers in zip(out, held)]
+            own[number] += len(line.text)
+    for x in sorted(inside, reverse=True):       # inner elements have higher numbers
+        own[inside[x]] += own[x]
+    return [b if b.bad or not x or 2 * own[x] > total else b._replace(bad=True) for b, x in zip(out, held)]
+
+
+def _weights(blocks: list[Line]) -> list[int]:
+    weigh = [len(b.text) if b.tag in _HEADINGS else max(0, len(b.text) - b.linked) for b in blocks]
+    if not any(w for w, b in zip(weigh, blocks) if b.tag not in _HEADINGS):
+        weigh = [len(b.text) for b in blocks]
+    return weigh
+
+
+def without_dives(blocks: list[Line], window: int = WINDOW) -> list[Line]:
+    """The lines of article and main that are in no window without text."""
+    weigh = _weights(blocks)
+    total = [0, *accumulate(weigh)]
+    kept, empty = [], 0          # up to where a window without text reaches
+    for i, b in enumerate(blocks):
+        if i + window <= len(blocks) and total[i + window] == total[i]:
+            empty = i + window
+        if i >= empty:
+            kept.append(b)
+    return kept
 
 
 def threshold(sums: list[int], most: int = SURGE) -> int:
@@ -172,9 +247,7 @@ def threshold(sums: list[int], most: int = SURGE) -> int:
 
 def stretches(blocks: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
     """(first, last) of every stretch of text from a surge to a dive."""
-    weigh = [len(b.text) if b.tag in _HEADINGS else max(0, len(b.text) - b.linked) for b in blocks]
-    if not any(w for w, b in zip(weigh, blocks) if b.tag not in _HEADINGS):
-        weigh = [len(b.text) for b in blocks]
+    weigh = _weights(blocks)
     n = len(weigh)
     sums = [sum(weigh[i:i + window]) for i in range(max(1, n - window + 1))]
     least = threshold(sums, surge)
@@ -213,9 +286,9 @@ def stretches(blocks: list[Line], window: int = WINDOW, surge: int = SURGE) -> l
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     blocks = [b for b in lines(page or "") if not b.bad]
-    inside = [b.text for b in blocks if b.rooted]
+    inside = [b for b in blocks if b.rooted]
     if inside or not blocks:
-        return "\n".join(inside)
+        return "\n".join(b.text for b in without_dives(inside, window))
     return "\n".join(blocks[k].text for a, b in stretches(blocks, window, surge) for k in range(a, b + 1))
 
 
