@@ -21,7 +21,7 @@ equal, and a suffix array over each such group decides.
 Texts are shuffled once, and only the texts that hold a repeated anchor are kept after that. Substrings are
 identified by 64-bit hashes.
 
-Rules: null text is empty; strings never cross rows; repeated rows are copies of each other; rows of one id
+Rules: null text is empty; strings never cross rows; repeated rows are copies of each other; rows of one id, or of none,
 are told apart by their text; empty tables give no rows; other columns are not read.
 """
 
@@ -85,10 +85,10 @@ def anchors(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH, gram: i
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows with the key that tells texts apart: the id (null as the smallest long) and 32 bits of the text."""
+    """Rows with the key that tells texts apart: a 64-bit hash of id and text, and 31 more bits of the text."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"),
-                       F.shiftrightunsigned(F.xxhash64("text"), 33).alias("th"), "text")
+    return rows.select("doc_id", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("did"),
+                       F.shiftrightunsigned(F.xxhash64("text", F.lit(7)), 33).alias("th"), "text")
 
 
 def _emit_anchors(length: int, gram: int):
@@ -310,16 +310,18 @@ def strip_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     rows = _keyed(docs, doc_id, text)
     found = rows.select("did", "th", "text").where(F.octet_length("text") >= length).mapInArrow(
         _emit_anchors(length, gram), "h long, e long, did long, tp long")
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # counts are stored before they are joined, so that a join's stage holds no aggregate and a hot anchor can be split
+    twice = stored(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "rep-twice")
     found = stored(found.join(twice, "h", "left_semi"), "rep-anchors")
     counts = found.groupBy("h", "e").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("did", "tp")).alias("pick"))
     counts = stored(counts, "rep-counts")
     sizes = counts.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least"))
-    picks = counts.join(sizes.where("n > 1 and least = 1"), "h").select(F.col("h").alias("g"), "c", "n", "pick.did", "pick.tp")
+    sizes = stored(sizes.where("n > 1 and least = 1"), "rep-sizes")
+    picks = counts.join(sizes, "h").select(F.col("h").alias("g"), "c", "n", "pick.did", "pick.tp")
     place = F.col("tp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos")
     key = F.shiftright("tp", 32).alias("th")
     whole = (found.join(counts.where("c > 1").select("h", "e"), ["h", "e"], "left_semi").select("did", key, place)
-             .groupBy("did", "th").agg(F.collect_list("pos").alias("whole")))
+             .groupBy("did", "th").agg(F.collect_set("pos").alias("whole")))       # each place once, however often a row is repeated
     marks = picks.select("did", key, F.struct(place, "g", "c", "n").alias("m")).groupBy("did", "th").agg(F.collect_list("m").alias("marks"))
     touched = whole.join(marks, ["did", "th"], "full")
     # the one shuffle of texts

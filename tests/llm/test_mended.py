@@ -120,3 +120,29 @@ def test_query_of_languages(spark, sf_small):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
     asked = [r for r in got if r.held_out and rows[r.doc_id].lang and any(c.isalpha() for c in rows[r.doc_id].text or "")]
     assert sum(r.lang_pred == rows[r.doc_id].lang for r in asked) >= 0.95 * len(asked)
+
+
+def test_repeats_among_rows_without_an_id(spark):
+    """Many rows of no id, some repeated: each text keeps its own spans."""
+    from riskweave.llm import op04_repeats
+
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    shared = "".join(RNG.choice(letters) for _ in range(260))
+    texts = ["".join(RNG.choice(letters) for _ in range(RNG.randint(1, 300))) for _ in range(60)]
+    texts = [t[:40] + shared[:k] + t[40:] if i % 3 == 0 else t for i, t in enumerate(texts) for k in (RNG.randint(150, 260),)]
+    rows = [(None, t) for t in texts] + [(None, texts[1])] * 5 + [(7, texts[2])]
+    seen = collections.Counter()
+    for _, t in rows:
+        for i in range(len(t) - 199):
+            seen[t[i:i + 200]] += 1
+    want = collections.Counter()
+    for d, t in rows:
+        gone = [False] * len(t)
+        for i in range(len(t) - 199):
+            if seen[t[i:i + 200]] > 1:
+                gone[i:i + 200] = [True] * 200
+        kept = "".join(c for c, g in zip(t, gone) if not g)
+        runs = sum(g and not p for g, p in zip(gone, [False, *gone]))
+        want[d, len(t), sum(gone), runs, hashlib.sha256(kept.encode()).hexdigest()] += 1
+    got = op04_repeats.strip_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert collections.Counter(tuple(r) for r in got) == want
