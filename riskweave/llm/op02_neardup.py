@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.bytesview import U, mix, shingles, slices, unit, words
 from riskweave.llm.components import components
-from riskweave.llm.shared import ship, stored
+from riskweave.llm.shared import lean, ship, stored
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -243,7 +243,7 @@ def _compare(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """(a, b, sim) of pairs of nodes; ``texts`` has (node, text)."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_similar(size), "a binary, b binary, sim double")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(lean(_similar(size)), "a binary, b binary, sim double")
 
 
 def _node(text: Column) -> Column:
@@ -259,7 +259,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     base = base.select("doc_id", "text", _node(F.col("text")).alias("node"))
     members = stored(base.select("doc_id", "node"), "dup-node")
     one = members.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    keys = stored(base.select("node", "text").mapInArrow(_bands(size, bands, rows), "node binary, keys array<long>, signature binary, weight long"),
+    keys = stored(base.select("node", "text").mapInArrow(lean(_bands(size, bands, rows)), "node binary, keys array<long>, signature binary, weight long"),
                   "dup-keys")
     flat = keys.select("node", F.posexplode("keys").alias("band", "key")).select(
         F.xxhash64("band", "key").alias("bucket"), "band", "node")
@@ -289,7 +289,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
                      F.xxhash64("part").alias("part"), "block", (F.col("block") == F.col("other")).cast("int").alias("one"), "band", "signature"))
 
     def in_cells(rows_: DataFrame, schema: str, exact: bool) -> DataFrame:
-        return rows_.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells(threshold, bands, rows, size, exact), schema)
+        return rows_.repartition("cell").sortWithinPartitions("cell").mapInArrow(lean(_cells(threshold, bands, rows, size, exact)), schema)
 
     likely = stored(in_cells(cells, _CELL, False), "dup-likely")
     more = stored(in_cells(likely.join(texts, "node").select("cell", "node", "part", "block", "one", "band", "signature", "text")

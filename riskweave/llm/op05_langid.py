@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.llm.shared import ship
+from riskweave.llm.shared import lean, ship
 
 UNKNOWN = "und"
 LONGEST = 5
@@ -40,7 +40,7 @@ MAX_GRAMS = 8000
 MAX_ENTRIES = 3_000_000
 SHARED = 0.02
 #: Bytes of a worker for the scores of words met so far, and for the model as a full matrix.
-SCORE_BYTES, MATRIX_BYTES = 48 << 20, 64 << 20
+SCORE_BYTES, MATRIX_BYTES = 40 << 20, 32 << 20
 #: Longer words are scored anew each time and not kept.
 LONG = 64
 #: A run of letters; the same class in Java (fitting) and in Python (prediction).
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order_by: Colum
     share = sizes.select(F.col("lang").alias("of"), F.ceil(F.lit(1e6 * per_lang) / F.col("n")).alias("share"))
     # one row for each class of the model, which goes to every task itself
     sample = rows.join(F.broadcast(share), F.col("lang") == F.col("of")).where("point < share").select("lang", "text")
-    counts = (sample.mapInArrow(_count_batches, "lang string, size int, piece string, n long")
+    counts = (sample.mapInArrow(lean(_count_batches), "lang string, size int, piece string, n long")
               .groupBy("lang", "size", "piece").agg(F.sum("n").alias("n")))
     most = [max(1, min(m, MAX_ENTRIES * m // (len(langs) * (max_words + LONGEST * max_grams)))) for m in (max_words, max_grams)]
     rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "piece"))
@@ -238,4 +238,4 @@ def tag(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
                 [*columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())],
                 [*batch.schema.names[:-1], "lang_pred", "score"])
 
-    return inner.mapInArrow(run, schema)
+    return inner.mapInArrow(lean(run), schema)

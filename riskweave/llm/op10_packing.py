@@ -18,11 +18,13 @@ repeated rows are packed each; other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.shared import ship
+from riskweave.llm.shared import lean, ship
 
 CAPACITY = 4096
 ITEM = 512
 SLACK = 6
 BATCH_TOKENS = 128 * CAPACITY
 #: Bytes that the remembered words and pieces may take, about, and the longest of them.
-WORD_BYTES = 96 << 20
+WORD_BYTES = 160 << 20
 LONGEST = 64
 
 
@@ -139,7 +141,7 @@ class Encoder(dict):
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            got = np.array([t.id for t in self.model.tokenize(piece)], dtype="<u4").tobytes()
+            got = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
             if len(piece) <= LONGEST:
                 self.pieces[piece] = got
                 self.held += 200 + 2 * len(piece) + len(got)
@@ -208,6 +210,7 @@ def sequences(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
             import public_tokenizers
 
             path = public_tokenizers.path(path)
+        gc.disable()                            # many small lists live for a moment, none of them in a cycle; ``lean`` ends this
         encode, part = Encoder(path), TaskContext.get().partitionId()
         serial, names, ids, held = 0, [], [], 0
 
@@ -238,4 +241,4 @@ def sequences(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
             yield flush()
 
     ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return inner.mapInArrow(run, ddl + (", ids array<long>" if with_ids else ""))
+    return inner.mapInArrow(lean(run), ddl + (", ids array<long>" if with_ids else ""))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm.bytesview import slices
-from riskweave.llm.shared import shared_dir, ship, stored
+from riskweave.llm.shared import lean, shared_dir, ship, stored
 
 #: Fixed values of the file format.
 MAGIC = b"RWIDS\x00\x00\x01"
@@ -287,7 +287,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, doc_id: st
             done.append((part, len(done), f"{folder}/{path}", len(names), held))
             names, lengths, ids, held = [], [], [], 0
 
-        gc.disable()                            # many small lists live for a moment, none of them in a cycle
+        gc.disable()                            # many small lists live for a moment, none of them in a cycle; ``lean`` ends this
         for batch in batches:
             if encode is None:
                 encode = encoder(_path(tokenizer))
@@ -304,7 +304,6 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, doc_id: st
                         close()
         if names:
             close()
-        gc.enable()
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done]) for i in range(5)], ["part", "serial", "path", "docs", "ids"])
 
@@ -312,7 +311,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, doc_id: st
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", F.xxhash64("text").alias("mark"), F.rand(13).alias("spread"))
     dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
-    files = stored(dealt.mapInArrow(put, "part long, serial long, path string, docs long, ids long"), "token-files")
+    files = stored(dealt.mapInArrow(lean(put), "part long, serial long, path string, docs long, ids long"), "token-files")
     earlier = Window.orderBy("part", "serial").rowsBetween(Window.unboundedPreceding, -1)   # one row per file
     before = F.coalesce(F.sum("ids").over(earlier), F.lit(0)).cast("long").alias("before")
     return stored(files.select("path", "docs", "ids", before), "token-manifest")
