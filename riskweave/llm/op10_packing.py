@@ -118,13 +118,20 @@ def pack(lengths: list[int], capacity: int = CAPACITY, item: int = ITEM) -> list
     return out
 
 
+#: Composed Latin letters, with their lower case, and the letter that stands for each byte in a byte-level vocabulary.
+_LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0139-\u0148\u014a-\u0177"
+_LATIN = re.compile(f"[!-~{_LETTERS}]+")
+_OWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: chr(b) for b in _OWN} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _OWN)}
+
+
 class Encoder(dict):
     """Ids of texts. A text is encoded word by word at blanks and line ends, where this vocabulary never
     joins tokens, and the ids of words are remembered as bytes (the items of this dict), up to a bound in bytes.
 
     A new word passes the tokenizer's own steps: normalizer, pre-tokenizer, and once for each different piece
-    the model. For a word of printable ASCII the first two are lower case and the pre-tokenizer's pattern, if
-    the file has these steps. A text that may hold an added token of the file goes to the tokenizer whole."""
+    the model. For a word of printable ASCII and composed Latin letters the first two are lower case, the pre-tokenizer's
+    pattern, and the letters that stand for bytes, if the file has these steps. A text that may hold an added token of the file goes to the tokenizer whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -150,6 +157,8 @@ class Encoder(dict):
     def __missing__(self, word: str) -> bytes:
         if self.cut is not None and word.isascii() and word.isprintable():
             pieces = self.cut.findall(word.lower())
+        elif self.cut is not None and _LATIN.fullmatch(word):
+            pieces = [p.encode().decode("latin-1").translate(_BYTES) for p in self.cut.findall(word.lower())]
         else:
             pieces = [p for p, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(word))]
         got = b"".join(map(self._piece, pieces))
@@ -188,7 +197,7 @@ def _ascii_pattern(made: dict):
     split, as_bytes = steps
     if (split["behavior"], split["invert"], as_bytes["add_prefix_space"], as_bytes["use_regex"]) != ("Removed", True, False, False):
         return None
-    return re.compile(split["pattern"]["Regex"].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9"))
+    return re.compile(split["pattern"]["Regex"].replace(r"\p{L}", "A-Za-z" + _LETTERS).replace(r"\p{N}", "0-9"))
 
 
 def sequences(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 2,
