@@ -26,6 +26,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,10 @@ from riskweave.llm.shared import lean, ship
 CAPACITY = 4096
 ITEM = 512
 SLACK = 6
+_SUM = itemgetter(0)
 BATCH_TOKENS = 128 * CAPACITY
 #: Bytes that the remembered words and pieces may take, about, and the longest of them.
-WORD_BYTES = 160 << 20
+WORD_BYTES = 224 << 20
 LONGEST = 64
 
 
@@ -63,7 +65,7 @@ def karmarkar_karp(sizes: list[int], k: int) -> list[list[int]]:
             tail = len(a) - meet
             merged = a[:tail] + b[:len(b) - meet]
             merged += [(x[0] + y[0], (x[1], y[1])) for x, y in zip(a[tail:], reversed(b[len(b) - meet:]))]
-        merged.sort(key=lambda t: -t[0])
+        merged.sort(key=_SUM, reverse=True)
         low = merged[-1][0] if len(merged) == k else 0
         heapq.heappush(heap, (low - merged[0][0], serial, merged))
         serial += 1
