@@ -21,7 +21,8 @@ ever collected or paired up in full:
    of over ``BLOCK`` members or ``BLOCK_WEIGHT`` shingles is dealt to all pairs of its blocks). There their
    whole signatures tell which members have a partner whose agreement is at most ``MARGIN`` standard
    deviations under the threshold; these members alone get their texts, and the cell compares such pairs
-   exactly, each pair in the first band it shares. A cell returns only links that join components. So
+   exactly, each pair in the first band it shares (a band key is made of the bits of the signature, so no
+   pair agrees in a band without sharing its bucket). A cell returns only links that join components. So
    neither a passage that many unlike texts share nor a large group of half-alike texts makes rows of pairs.
 
 Exact copies are one node throughout (the MD5 of the text).
@@ -125,17 +126,18 @@ def _bands(size: int, bands: int, rows: int):
             for a, b, offsets, data in slices(batch.column("text")):
                 text, sh, count = weighted_shingles(offsets, data, size)
                 ranks = dart_minhash(text, sh, count.astype(np.float64), b - a, bands * rows)
-                bits = ranks.view(U).reshape(b - a, bands, rows)
+                # keys are made of the very bits that signatures carry: texts agree in all rows of a band there
+                # if and only if they share its bucket, so the first shared band of a pair is known from signatures
+                short = (ranks.view(U) >> U(16)).astype(np.uint16).reshape(b - a, bands, rows)
                 key = np.zeros((b - a, bands), dtype=U)
                 for j in range(rows):
-                    key = mix(key * U(31) + bits[:, :, j])
+                    key = mix(key * U(31) + short[:, :, j].astype(U))
                 some = np.isin(np.arange(b - a), text)
                 at = np.flatnonzero(some)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * bands, pa.int32()),
                                                  pa.array(key[at].ravel().view(np.int64)))
-                short = (bits >> U(16)).astype(np.uint16).reshape(b - a, -1)[at]
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a).take(pa.array(at)), lists,
-                                                  pa.array([x.tobytes() for x in short], pa.binary()),
+                                                  pa.array([x.tobytes() for x in short[at]], pa.binary()),
                                                   pa.array(np.bincount(text, minlength=b - a)[at])], ["node", "keys", "signature", "weight"])
 
     return run
