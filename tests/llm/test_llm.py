@@ -270,7 +270,7 @@ def test_top_k(spark):
     rng = np.random.default_rng(2)
     made = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(i, [0.5] * 8) for i in range(300, 400)]
     made += [(1000, None), (1001, []), (1002, [float("nan")] * 8), (1003, [None] * 8), (1050, [1.0, 2.0])]
-    got = op06_topk.top_k(spark.createDataFrame(made, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, shard=64, block=4)
+    got = op06_topk.top_k(spark.createDataFrame(made, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, shard=64)
     held = {i: np.floor(256 * np.array(v, dtype=np.float32).astype(float)).astype(int) for i, v in made if i < 1000}
     expected = []
     for q in range(0, 400, 50):

@@ -25,7 +25,7 @@ def test_equal_vectors_of_repeated_ids(spark):
 def test_top_k_on_many_repeats_equals_brute_force(spark):
     points = [[float(RNG.randint(-2, 2)), float(RNG.randint(-2, 2))] for _ in range(4)]
     made = [(RNG.randint(0, 6) * 10, RNG.choice(points)) for _ in range(120)]
-    got = op06_topk.top_k(spark.createDataFrame(made, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=3, shard=16, block=2)
+    got = op06_topk.top_k(spark.createDataFrame(made, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=3, shard=16)
     want = set()
     for q, v in {(q, tuple(v)) for q, v in made if q % 20 == 0}:
         want |= {(q, v)}
@@ -36,6 +36,40 @@ def test_top_k_on_many_repeats_equals_brute_force(spark):
     assert {tuple(r) for r in got.collect()} == expected
 
 
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_top_k_with_a_hot_id_and_a_hot_vector(spark, batch):
+    """A third of the rows has one id, a third one vector; batches end anywhere in a shard."""
+    def vector():
+        return [float(RNG.randint(-3, 3)) for _ in range(3)]
+
+    made = [(20, vector()) for _ in range(100)] + [(1000 + i, [1.0, 2.0, 3.0]) for i in range(100)] + [(i, vector()) for i in range(100)]
+    made += [(i, [float(i % 5), 1.0]) for i in range(0, 60, 10)]
+    table = spark.createDataFrame(made, "vec_id long, embedding array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = {tuple(r) for r in op06_topk.top_k(table, F.col("vec_id") % 20 == 0, k=4, shard=32).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    best = collections.defaultdict(list)
+    for q, v in {(q, tuple(v)) for q, v in made if q % 20 == 0}:
+        best[q] += [(-int(np.dot(np.array(v) * 256, np.array(c) * 256)), x) for x, c in made if x != q and len(c) == len(v)]
+    assert got == {(q, i + 1, x, -s) for q, rows in best.items() for i, (s, x) in enumerate(sorted(rows)[:4])}
+
+
+def test_a_band_key_is_made_of_the_bits_of_the_signature():
+    import pyarrow as pa
+
+    words = "abc def ghi jkl mno pqr stu vwx yza bcd".split()
+    texts = [" ".join(RNG.choices(words, k=n)) for n in [40] * 30 + [5, 3, 0]]
+    texts += [t + " tail" for t in texts] + [texts[0]]
+    batch = pa.RecordBatch.from_arrays([pa.array([bytes([i]) for i in range(len(texts))]), pa.array(texts)], ["node", "text"])
+    rows = [r for out in op02_neardup._bands(5, 28, 5)([batch]) for r in out.to_pylist()]
+    signs = np.array([np.frombuffer(r["signature"], np.uint16).reshape(28, 5) for r in rows])
+    keys = np.array([r["keys"] for r in rows])
+    assert len(rows) == len(texts) - 1                          # the empty text has no signature
+    assert ((signs[:, None] == signs[None]).all(axis=3) == (keys[:, None] == keys[None])).all()
+
+
 def test_scores_past_64_bits_are_an_error(spark):
     with pytest.raises(ValueError):
         op06_topk.top_k(spark.createDataFrame([(50, [3e7, 4e7]), (1, [3e7, 4e7])], "vec_id long, embedding array<double>"), F.col("vec_id") == 50)
