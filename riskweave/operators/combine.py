@@ -3,8 +3,9 @@
 Semantics kept from the reference: with no aggregation method the window is forced to 1 (so
 [D-1, D], two calendar days) and SUM is used (Q2); per (entity, feature) the method's aggregate
 (MAX->max, MIN->min, AVERAGE->mean, anything else->sum); absent features count as 0; across features
-SUM / MAX / MIN (including those zeros, Q4) / AVERAGE (sum of per-feature means divided by the number of
-non-NULL rows, Q3) / WEIGHTED_AVERAGE (sum w*x / sum w).
+SUM / MAX / MIN (including those zeros, Q4) / AVERAGE (the mean of all values; with ``compat`` the sum of
+per-feature means divided by the number of non-NULL rows, Q3) / WEIGHTED_AVERAGE (sum w*x / sum w). The scoring
+methods ask for ``compat``, so that scores are those of the reference.
 
 Plan: one scan with the window and ``feature_id IN (...)`` pushed down, summed to daily cells, one aggregate keyed by
 (target_date, entity, feature) over the cells of each date, then a second aggregate per (target_date,
@@ -31,7 +32,7 @@ def _weight(weights: dict, fid: str) -> float:
 
 def combine_features(fv: DataFrame, feature_ids, targets, period_in_days: float = 1,
                      agg_method: str | None = None, weights: dict | None = None,
-                     out_col: str = "final_value") -> DataFrame:
+                     out_col: str = "final_value", compat: bool = False) -> DataFrame:
     """-> (target_date, entity_id, final_value)."""
     if agg_method is None:
         period_in_days = 1
@@ -50,8 +51,10 @@ def combine_features(fv: DataFrame, feature_ids, targets, period_in_days: float
     except (TypeError, ValueError):
         lookback = 1
 
+    # sums of sums over the number of values are the true mean; compat sums the means
+    per = "SUM" if method == "AVERAGE" and not compat else method
     per_feature = window_cells(fv, targets, lookback, ids).groupBy("target_date", "entity_id", "feature_id").agg(
-        _PER_FEATURE.get(method, lambda: F.sum("s"))().alias("_x"), F.sum("k").alias("_nn"))
+        _PER_FEATURE.get(per, lambda: F.sum("s"))().alias("_x"), F.sum("k").alias("_nn"))
     wide = per_feature.groupBy("target_date", "entity_id").agg(
         *[F.max(F.when(F.col("feature_id") == F.lit(f), F.col("_x"))).alias(f"_c{i}") for i, f in enumerate(ids)],
         F.sum("_nn").alias("_nn"))

@@ -1,10 +1,8 @@
 """Skew-safe joins.
 
-``lookup_join`` joins a large fact side to a lookup that has at most one row per key and knows how many
-fact rows carry each key. Keys carrying at least ``hot_rows`` rows are salted: their fact rows are
-spread over ``salts`` partitions by a deterministic hash, and only those (few) lookup rows are
-replicated ``salts`` times. The set of hot keys is bounded by construction (total rows / hot_rows), so
-the broadcast that tags them has a proven size bound.
+``salted_join`` joins a large fact side to a lookup with one row per key, where the caller knows which keys are hot: their fact
+rows are spread over ``salts`` partitions by a deterministic hash, and only those (few) lookup rows are
+replicated ``salts`` times.
 """
 
 from __future__ import annotations
@@ -16,22 +14,6 @@ HOT_ROWS = 1_000_000   # a key with this many fact rows is split over SALTS part
 SALTS = 64
 
 
-def lookup_join(fact: DataFrame, lookup: DataFrame, keys: list[str], count_col: str,
-                hot_rows: int = HOT_ROWS, salts: int = SALTS, spread_cols: list[str] | None = None,
-                counts: DataFrame | None = None) -> DataFrame:
-    """``counts`` (keys + count_col) may be a cheaper frame than ``lookup`` to find the hot keys from."""
-    hot_flag = "_hot"
-    hot = (lookup if counts is None else counts).where(F.col(count_col) >= hot_rows).select(
-        *keys, F.lit(True).alias(hot_flag))
-    spread = [F.col(c) for c in (spread_cols or [c for c in fact.columns if c not in keys])]
-    tagged = fact.join(F.broadcast(hot), keys, "left")
-    tagged = tagged.withColumn(
-        "_salt", F.when(F.col(hot_flag), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0)))
-    reps = F.when(F.col(count_col) >= hot_rows, F.lit(salts - 1)).otherwise(F.lit(0))
-    side = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), reps)))
-    return tagged.drop(hot_flag).join(side, keys + ["_salt"]).drop("_salt")
-
-
 def salted_join(fact: DataFrame, lookup: DataFrame, keys: list[str], fact_hot: Column, lookup_hot: Column,
                 salts: int = SALTS, spread_cols: list[str] | None = None) -> DataFrame:
     """Equi-join where the caller already knows which keys are hot on each side: hot fact rows get a

@@ -56,13 +56,6 @@ def as_span(targets) -> DateSpan:
     return DateSpan(as_span(a).start, as_span(b).end)
 
 
-def date_spine(spark, targets, name: str = "target_date") -> DataFrame:
-    """One row per target date, generated on executors (no driver-side list)."""
-    span = as_span(targets)
-    return spark.range(1).select(
-        F.explode(F.sequence(F.lit(span.start), F.lit(span.end))).alias(name))
-
-
 def between_days(df: DataFrame, ts_col: str, first: _dt.date, last: _dt.date) -> Column:
     """Closed day range [first, last] written as a half-open range on the raw column (pushdown)."""
     return (F.col(ts_col) >= day_start(df, ts_col, first)) & (F.col(ts_col) < day_end_exclusive(df, ts_col, last))

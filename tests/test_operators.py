@@ -52,8 +52,10 @@ def test_combine_corner_cases(spark):
     assert s == {"a": -6.0, "b": 5.0, "n": 0.0}                     # all-NULL entity scores 0 under SUM
     m = by_entity(combine_features(df, ["x", "y"], D, 3, "max"), "final_value")
     assert m == {"a": 0.0, "b": 5.0}                                # zero fill beats negatives; NULL entity gone
-    avg = by_entity(combine_features(df, ["x", "y"], D, 3, "average"), "final_value")
+    avg = by_entity(combine_features(df, ["x", "y"], D, 3, "average", compat=True), "final_value")
     assert avg["a"] == pytest.approx(-3.0 / 2) and avg["b"] == 5.0  # sum of means / row count
+    mean = by_entity(combine_features(df, ["x", "y"], D, 3, "average"), "final_value")
+    assert mean == {"a": -3.0, "b": 5.0}                            # mean of all values; NULL entity gone
     with pytest.raises(ZeroDivisionError):
         combine_features(df, ["x", "y"], D, 3, "weighted_average", {"x": 0, "y": 0})
 
