@@ -296,10 +296,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     likely = stored(in_cells(cells, _CELL, False), "dup-likely")
     more = stored(in_cells(likely.join(texts, "node").select("cell", "node", "part", "block", "one", "band", "signature", "text")
                            .dropDuplicates(["cell", "node"]), "a binary, b binary", True), "dup-rest")
-    if not more.isEmpty():
-        parts = components(found.unionByName(more))
     nodes = one.join(parts.withColumnRenamed("id", "node"), "node", "left").select(
         "node", F.coalesce("part", "node").alias("part"), "first", "copies")
+    if not more.isEmpty():
+        # the links of cells join components, so only these are merged, not all links gone over again
+        for end in ("a", "b"):
+            of = parts.select(F.col("id").alias(end), F.col("part").alias("of"))
+            more = more.join(of, end, "left").withColumn(end, F.coalesce("of", end)).drop("of")
+        merged = components(more).select(F.col("id").alias("part"), F.col("part").alias("top"))
+        nodes = nodes.join(merged, "part", "left").select("node", F.coalesce("top", "part").alias("part"), "first", "copies")
     nodes = stored(nodes, "dup-nodes")
     sizes = nodes.groupBy("part").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
     named = nodes.join(sizes, "part").select("node", "part", "class_id", "class_size")
