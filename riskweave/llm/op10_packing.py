@@ -24,7 +24,6 @@ import json
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -41,8 +40,9 @@ ITEM = 512
 SLACK = 6
 _SUM = itemgetter(0)
 BATCH_TOKENS = 128 * CAPACITY
-#: Bytes that the remembered words and pieces may take, about, and the longest of them.
+#: Bytes that the remembered words and pieces may take, about, what one takes with its ids, and the longest of them.
 WORD_BYTES = 224 << 20
+ENTRY_BYTES = 240
 LONGEST = 64
 
 
@@ -133,7 +133,8 @@ class Encoder(dict):
 
     A new word passes the tokenizer's own steps: normalizer, pre-tokenizer, and once for each different piece
     the model. For a word of printable ASCII and composed Latin letters the first two are lower case, the pre-tokenizer's
-    pattern, and the letters that stand for bytes, if the file has these steps. A text that may hold an added token of the file goes to the tokenizer whole."""
+    pattern, and the letters that stand for bytes, if the file has these steps; a piece of such a word is a word that is its
+    own only piece, so both are kept in one place. A text that may hold an added token of the file goes to the tokenizer whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -141,46 +142,47 @@ class Encoder(dict):
 
         super().__init__({"": b""})
         tok = Tokenizer.from_file(path)
-        self.model, self.normalizer, self.pre_tokenizer = tok.model, tok.normalizer, tok.pre_tokenizer
-        self.pieces: dict[str, bytes] = {}
-        self.held = 0
         made = json.loads(tok.to_str())
+        self.tokenize, self.normalizer, self.pre_tokenizer = tok.model.tokenize, tok.normalizer, tok.pre_tokenizer
+        self.pieces: dict[str, bytes] = {}
+        self.ids = [i.to_bytes(4, "little") for i in range(1 + max(made["model"]["vocab"].values()))]
         self.cut, self.tok, self.added = _ascii_pattern(made), tok, _added_pattern(made)
 
+    def _model(self, piece: str) -> bytes:
+        ids = self.ids
+        return b"".join([ids[t.id] for t in self.tokenize(piece)])
+
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            got = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+            got = self._model(piece)
             if len(piece) <= LONGEST:
                 self.pieces[piece] = got
-                self.held += 200 + 2 * len(piece) + len(got)
         return got
 
     def __missing__(self, word: str) -> bytes:
-        if self.cut is not None and word.isascii() and word.isprintable():
-            pieces = self.cut.findall(word.lower())
-        elif self.cut is not None and _LATIN.fullmatch(word):
-            pieces = [p.encode().decode("latin-1").translate(_BYTES) for p in self.cut.findall(word.lower())]
+        plain, low = word.isascii(), word.lower()
+        if self.cut is None or not (word.isprintable() if plain else _LATIN.fullmatch(word)):
+            got = b"".join([self._piece(p) for p, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(word))])
+        elif low == word and (word.isalpha() or self.cut.fullmatch(word)):          # letters are one piece
+            got = self._model(word if plain else word.encode().decode("latin-1").translate(_BYTES))
         else:
-            pieces = [p for p, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(word))]
-        got = b"".join(map(self._piece, pieces))
+            got = b"".join([self[p] for p in self.cut.findall(low)])
         if len(word) <= LONGEST:
             self[word] = got
-            self.held += 200 + 2 * len(word) + len(got)
         return got
 
     def __call__(self, texts: list[str], end: int) -> list[np.ndarray]:
-        out, last = [], end.to_bytes(4, "little")
+        out, last, get = [], end.to_bytes(4, "little"), self.__getitem__
         for text in texts:
             if self.added is not None and self.added.search(text):
                 out.append(np.array([*self.tok.encode(text, add_special_tokens=False).ids, end], dtype="<u4"))
                 continue
-            if self.held > WORD_BYTES:
-                self.held = 0
+            if ENTRY_BYTES * (len(self) + len(self.pieces)) > WORD_BYTES:
                 self.clear()
                 self.pieces.clear()
                 self[""] = b""
-            out.append(np.frombuffer(b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) + last, dtype="<u4"))
+            out.append(np.frombuffer(b"".join(map(get, text.replace("\n", " ").split(" "))) + last, dtype="<u4"))
         return out
 
 
@@ -190,16 +192,21 @@ def _added_pattern(made: dict):
     return re.compile("|".join(forms)) if forms else None
 
 
+#: A pattern each of whose matches is, read alone, its own only match.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 def _ascii_pattern(made: dict):
-    """The pattern of the pre-tokenizer with its classes as they are in ASCII; None for a file of other steps."""
+    """The pattern of the pre-tokenizer with its classes as they are in ASCII; None for a file of other steps or another pattern."""
     lower = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
     steps = (made["pre_tokenizer"] or {}).get("pretokenizers", [])
     if not lower or [x["type"] for x in steps] != ["Split", "ByteLevel"]:
         return None
     split, as_bytes = steps
-    if (split["behavior"], split["invert"], as_bytes["add_prefix_space"], as_bytes["use_regex"]) != ("Removed", True, False, False):
+    if (split["pattern"], split["behavior"], split["invert"], as_bytes["add_prefix_space"], as_bytes["use_regex"]) != (
+            {"Regex": _PATTERN}, "Removed", True, False, False):
         return None
-    return re.compile(split["pattern"]["Regex"].replace(r"\p{L}", "A-Za-z" + _LETTERS).replace(r"\p{N}", "0-9"))
+    return re.compile(_PATTERN.replace(r"\p{L}", "A-Za-z" + _LETTERS).replace(r"\p{N}", "0-9"))
 
 
 def sequences(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 2,
