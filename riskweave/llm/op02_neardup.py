@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.bytesview import U, mix, shingles, slices, unit, words
 from riskweave.llm.components import components
-from riskweave.llm.shared import lean, ship, stored
+from riskweave.llm.shared import lean, narrow, ship, stored
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -266,10 +266,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     flat = keys.select("node", F.posexplode("keys").alias("band", "key")).select(
         F.xxhash64("band", "key").alias("bucket"), "band", "node")
     low = flat.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("high")).where("lead < high").drop("high")
-    low = stored(low, "dup-low")              # as a table, so that the join can split a hot bucket
+    low = stored(narrow(low), "dup-low")              # as a table, so that the join can split a hot bucket
     # the buckets of two texts or more, copies counted once
-    shared = stored(flat.join(low, "bucket").where("node != lead").groupBy("bucket", "lead", "node").agg(F.min("band").alias("band")),
-                    "dup-shared")
+    shared = flat.join(low, "bucket").where("node != lead").groupBy("bucket", "lead", "node").agg(F.min("band").alias("band"))
+    shared = stored(narrow(shared), "dup-shared")
     star = shared.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     wanted = shared.select("node").unionByName(shared.select(F.col("lead").alias("node"))).distinct()
     pick = one.join(wanted, "node", "left_semi").select(F.col("node").alias("n_"), F.col("first").alias("f_"))
@@ -284,7 +284,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
              .select("bucket", "band", "node", F.coalesce("part", "node").alias("part")).join(signs, "node"))
     mixed = named.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.greatest(
         F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("weight") / BLOCK_WEIGHT)).cast("int").alias("blocks")).where("x != y")
-    mixed = stored(mixed.select("bucket", "blocks"), "dup-mixed")
+    mixed = stored(narrow(mixed.select("bucket", "blocks")), "dup-mixed")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cells = (named.join(mixed, "bucket").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "node",
@@ -300,7 +300,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
         parts = components(found.unionByName(more))
     nodes = one.join(parts.withColumnRenamed("id", "node"), "node", "left").select(
         "node", F.coalesce("part", "node").alias("part"), "first", "copies")
-    nodes = stored(nodes, "dup-nodes")
+    nodes = stored(narrow(nodes), "dup-nodes")
     sizes = nodes.groupBy("part").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
     named = nodes.join(sizes, "part").select("node", "part", "class_id", "class_size")
     return members.join(named, "node").select("doc_id", "node", "part", "class_id", "class_size")
@@ -310,7 +310,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how)
     """The input rows without all but one of each class: the one of the smallest id stays (of repeated
     smallest ids, one)."""
     held = classes(docs, doc_id, text, **how).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    held = stored(held.groupBy("part").agg(F.min("class_id").alias("id"), F.min("node").alias("node")).drop("part"), "dup-held")
+    held = held.groupBy("part").agg(F.min("class_id").alias("id"), F.min("node").alias("node")).drop("part")
+    held = stored(narrow(held), "dup-held")
     # the columns of the input travel as one, so that theirs may have any name
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("own"),
                        _node(F.coalesce(F.col(text), F.lit(""))).alias("mark"))

@@ -46,6 +46,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Partitions that a table of a few bytes a row is written in: so many for each core, and the least of them.
+PARTS_A_CORE, LEAST_PARTS = 4, 64
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """``df`` in no more partitions than keep all cores busy, for a table of a few bytes a row that is written: otherwise it takes a
+    file for each shuffle partition, however small, and on a local folder Hadoop starts a process for each (chmod). No shuffle."""
+    return df.coalesce(max(LEAST_PARTS, PARTS_A_CORE * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def lean(run):
     """A task's function that gives its memory back to the system when it ends: workers live on, and one that keeps what
     its largest task took leaves less for the executor."""
